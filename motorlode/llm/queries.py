@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motorlode.llm import bpe, simhash
+from motorlode.llm import bpe, secrets, simhash, sketch
 from motorlode.llm.common import read, whole_texts
 
 
+def op2_secrets(spark, sf_dir):
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def op4_bottom_k(spark, sf_dir):
+    return sketch.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -18,7 +26,7 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_bottom_k, op5_simhash, op7_byte_bpe)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
 ORACLES: dict[str, str] = {}
