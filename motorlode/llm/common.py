@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors share, as the session names it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="motorlode-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet to the shared folder and read again: smaller than a checkpoint."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, written to the cluster's shared checkpoint folder and read again: lineage ends here.
 
     The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
     a temporary one is made.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="motorlode-checkpoint-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

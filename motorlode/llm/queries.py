@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motorlode.llm import bpe, secrets, simhash, sketch
+from motorlode.llm import bpe, secrets, simhash, sketch, substrings
 from motorlode.llm.common import read, whole_texts
 
 
@@ -26,7 +26,11 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_bottom_k, op5_simhash, op7_byte_bpe)}
+def op10_substrings(spark, sf_dir):
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_bottom_k, op5_simhash, op7_byte_bpe, op10_substrings)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
 ORACLES: dict[str, str] = {}
