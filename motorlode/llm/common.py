@@ -58,3 +58,12 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of a narrow table (a few numbers each) that may be broadcast: under 100 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if a count shows it to be small; beyond that a join shuffles it."""
+    return F.broadcast(df) if df.count() <= most else df
