@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motorlode.llm import bpe, secrets, simhash, sketch, substrings, toxicity
+from motorlode.llm import bpe, mixing, paragraphs, secrets, simhash, sketch, substrings, toxicity
 from motorlode.llm.common import read, whole_texts
 
 
@@ -26,6 +26,14 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.op6_rows(read(spark, sf_dir, "documents"))
+
+
+def op8_paragraphs(spark, sf_dir):
+    return paragraphs.repeated_paragraphs(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -34,7 +42,7 @@ def op10_substrings(spark, sf_dir):
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_bottom_k, op5_simhash, op7_byte_bpe, op9_toxicity, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_bottom_k, op5_simhash, op6_mixing, op7_byte_bpe, op8_paragraphs, op9_toxicity, op10_substrings)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
