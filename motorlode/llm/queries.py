@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motorlode.llm import bpe, mixing, paragraphs, secrets, simhash, sketch, substrings, toxicity
+from motorlode.llm import bpe, mincut, mixing, paragraphs, secrets, simhash, sketch, substrings, toxicity, vectors
 from motorlode.llm.common import read, whole_texts
 
 
+def op1_collisions(spark, sf_dir):
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op2_secrets(spark, sf_dir):
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark, sf_dir):
+    return mincut.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_bottom_k(spark, sf_dir):
     return sketch.fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_substrings(spark, sf_dir):
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_bottom_k, op5_simhash, op6_mixing, op7_byte_bpe, op8_paragraphs, op9_toxicity, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_collisions, op2_secrets, op3_main_text, op4_bottom_k, op5_simhash, op6_mixing, op7_byte_bpe, op8_paragraphs, op9_toxicity, op10_substrings)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
