@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 _WORD = re.compile(r"[A-Za-z0-9_]")
 _ESCAPED = re.compile(r"\\(?:([0-7]{1,3})|x([0-9A-Fa-f]{1,2})|(.))", re.DOTALL)
@@ -111,23 +112,23 @@ def literal_prefixes(pattern: str, most: int = 1296) -> list[str]:
     return [p for p in found if p]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def wildcard_regex(keys):
     known = {k: wildcard_to_regex(k) for k in keys.dropna().unique()}
     return keys.map(known.get, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescaped(cells):
     return cells.map(unescape_copy, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def slugs(labels):
     return labels.map(slug, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_id(values):
     """canonical_id of JSON texts, however their keys are ordered."""
     return values.map(lambda v: canonical_id(json.loads(v)), na_action="ignore")

@@ -87,7 +87,7 @@ def positional_claim(vin: Column, position: Column, characters: Column) -> Colum
 
 def mask_matches(vin: Column, mask: Column) -> Column:
     """Whether each character is a dot in the mask or equal."""
-    return vin.rlike(F.concat(F.lit(r"\A"), mask, F.lit(r"\z")))
+    return F.regexp_like(vin, F.concat(F.lit(r"\A"), mask, F.lit(r"\z")))
 
 
 def full_match(value: Column, pattern: Column) -> Column:
