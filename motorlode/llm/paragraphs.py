@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import stored, whole_texts
+from motorlode.llm.common import small, stored, whole_texts
 from motorlode.llm.components import connected_components
 
 WORDS = 5
@@ -18,6 +18,8 @@ LEAST_WORDS = 20
 BANDS, ROWS = 16, 4
 #: Paragraphs of one bucket that are compared in one task; a larger bucket is split.
 BLOCK = 1024
+#: Documents with candidates up to which these are broadcast; more of them shuffle the documents.
+WANTED_ROWS = 200_000
 #: Words whose shingles are held at once.
 BATCH_WORDS = 200_000
 
@@ -180,6 +182,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     met = stored(met.select("h", "band", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
     one = kinds.join(met.select("h").distinct(), "h").select("one.doc", "one.print", F.struct("h", "one.start", "one.end").alias("w"))
     one = one.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted"))
+    one = small(stored(one), WANTED_ROWS)
     same = docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"])
     sets = docs.join(one, same).select("text", "wanted").mapInArrow(_fetch, "h long, shingles binary")
     keys = ["band", "bucket", "x", "y"]
