@@ -1 +1,156 @@
-ORACLES = {}
+"""DuckDB SQL for the registered queries: one chain of common tables, a SELECT for each query."""
+
+from __future__ import annotations
+
+from motorlode import policy as P
+from motorlode.plans import specimens as S
+
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MAY = "(market IS NULL OR len(markets) = 0 OR list_contains(markets, market)) AND (model_year IS NULL OR model_year BETWEEN coalesce(from_year, 1886) AND coalesce(to_year, 9999))"
+_SURE = "((len(markets) = 0 OR market IS NOT NULL) AND ((from_year IS NULL AND to_year IS NULL) OR model_year IS NOT NULL))"
+
+
+def _resolved(field: str) -> str:
+    return f"CASE WHEN n_{field} > 1 THEN 'AMBIGUOUS' WHEN miss_{field} THEN 'UNKNOWN' WHEN unsure THEN 'NEEDS_CONTEXT' ELSE 'KNOWN' END AS {field}_status, CASE WHEN n_{field} = 1 AND NOT miss_{field} AND NOT unsure THEN one_{field} END AS {field}"
+
+
+_FIELDS = ("brand", "manufacturer", "category", "country")
+
+_TABLES = ("manufacturers", "assignments", "types", "elements", "rich_wmis", "schemas", "patterns", "engines", "models", "conversions", "rules", "rule_claims", "approvals", "make_aliases", "model_aliases", "sources", "masks", "wmi_rows", "wmi_makes", "makes", "dump_manufacturers", "vehicle_types")
+
+# name: (tables it reads besides those before it, SQL)
+_CHAIN: list[tuple[str, str]] = [
+    ("req", S.REQUESTS_SQL),
+    ("codes_in", S.CODES_SQL),
+    *[(f"t_{t}", S.values_sql(t)) for t in _TABLES],
+    ("prep0", f"SELECT *, translate(trim(supplied, ' '), '{_LOWER}', '{_UPPER}') AS normalized FROM req"),
+    ("prep", "SELECT *, CASE WHEN length(normalized) <> 17 THEN 'UNSUPPORTED_LENGTH' WHEN regexp_full_match(normalized, '[A-HJ-NPR-Z0-9]{17}') THEN 'MODERN_FORMAT' ELSE 'INVALID_CHARACTERS' END AS structure FROM prep0"),
+    ("keyed", "SELECT *, CASE WHEN structure = 'UNSUPPORTED_LENGTH' THEN NULL WHEN substr(normalized, 1, 3) IN (SELECT substr(wmi, 1, 3) FROM t_assignments WHERE length(wmi) = 6) THEN substr(normalized, 1, 3) || substr(normalized, 12, 3) ELSE substr(normalized, 1, 3) END AS wmi FROM prep"),
+    ("found", f"SELECT k.req_id, k.structure, k.model_year, k.market, a.id AS assignment_id, a.brand, a.category, m.name AS manufacturer, m.country, CASE WHEN a.id IS NOT NULL THEN {_SURE} END AS established FROM keyed k LEFT JOIN t_assignments a ON k.wmi = a.wmi AND {_MAY} LEFT JOIN t_manufacturers m ON a.manufacturer_id = m.id"),
+    ("found_g", "SELECT req_id, any_value(structure) AS structure, count(assignment_id) AS n_candidates, coalesce(bool_or(NOT established), false) AS unsure, " + ", ".join(f"count(DISTINCT {f}) AS n_{f}, bool_or({f} IS NULL) AS miss_{f}, min({f}) AS one_{f}" for f in _FIELDS) + " FROM found GROUP BY req_id"),
+    ("brand_list", "SELECT req_id, string_agg(brand, '|' ORDER BY first_id) AS brands FROM (SELECT req_id, brand, min(assignment_id) AS first_id FROM found WHERE brand IS NOT NULL GROUP BY ALL) GROUP BY req_id"),
+    ("resolution", "SELECT g.req_id, n_candidates, CASE WHEN structure = 'UNSUPPORTED_LENGTH' THEN 'UNSUPPORTED_FORMAT' WHEN n_candidates = 0 THEN 'UNKNOWN' WHEN n_candidates > 1 THEN 'AMBIGUOUS' WHEN unsure THEN 'NEEDS_CONTEXT' ELSE 'RECOGNIZED' END AS status, coalesce(b.brands, '') AS brand_possibilities, " + ", ".join(_resolved(f) for f in _FIELDS) + " FROM found_g g LEFT JOIN brand_list b ON g.req_id = b.req_id"),
+    ("codes_p", f"SELECT req_id, translate(trim(hsn, ' '), '{_LOWER}', '{_UPPER}') AS norm_hsn, translate(trim(tsn, ' '), '{_LOWER}', '{_UPPER}') AS norm_tsn FROM codes_in"),
+    ("codes_v", "SELECT *, CASE WHEN NOT regexp_full_match(norm_hsn, '[0-9]{4}') THEN CASE WHEN NOT regexp_full_match(norm_tsn, '[A-Z0-9]{3}') THEN 'INVALID_HSN_AND_TSN' ELSE 'INVALID_HSN' END WHEN NOT regexp_full_match(norm_tsn, '[A-Z0-9]{3}') THEN 'INVALID_TSN' ELSE 'VALID' END AS input_status FROM codes_p"),
+    ("codes_f", "SELECT c.*, t.manufacturer, t.trade_name, t.source_object_id FROM codes_v c LEFT JOIN t_types t ON c.input_status = 'VALID' AND c.norm_hsn = t.hsn AND c.norm_tsn = t.tsn"),
+    ("codes_g", "SELECT req_id, any_value(input_status) AS input_status, count(source_object_id) AS n_candidates, max(trade_name) AS one FROM codes_f GROUP BY req_id"),
+    ("richkey", "SELECT *, CASE WHEN substr(normalized, 3, 1) = '9' THEN substr(normalized, 1, 3) || substr(normalized, 12, 3) ELSE substr(normalized, 1, 3) END AS wmi, substr(normalized, 4, 5) || '|' || substr(normalized, 10, 8) AS key FROM prep WHERE structure = 'MODERN_FORMAT'"),
+    ("rich", f"SELECT k.*, w.vehicle_type, w.truck_type, strpos('{P.YEAR_CODES}', substr(normalized, 10, 1)) AS code FROM richkey k JOIN t_rich_wmis w ON k.wmi = w.wmi"),
+    ("base", "SELECT *, 1979 + code AS base FROM rich WHERE code > 0"),
+    ("cycles", "SELECT *, model_year AS year FROM base WHERE model_year >= 1980 AND (model_year - base) % 30 = 0 UNION ALL SELECT * FROM (SELECT *, unnest(generate_series(base, 2028, 30)) AS year FROM base WHERE model_year IS NULL) WHERE NOT (vehicle_type IN (2, 7) OR (vehicle_type = 3 AND coalesce(truck_type, '') = '1')) OR (year < 2010) = regexp_full_match(substr(normalized, 7, 1), '[0-9]')"),
+    ("years", "SELECT req_id, normalized, model_year, market, wmi, key, year::INTEGER AS year FROM cycles"),
+    ("direct", "SELECT y.req_id, y.year, p.element_id, CASE WHEN p.capture >= 0 THEN substr(key, p.capture + 1, p.capture_length) ELSE p.value END AS value, CASE WHEN p.capture >= 0 THEN substr(key, p.capture + 1, p.capture_length) ELSE p.attribute_id END AS attribute_id, CASE WHEN p.capture >= 0 THEN 'NUMERIC_PATTERN' ELSE 'PATTERN' END AS kind, p.pattern_id::VARCHAR AS rule_id, s.schema_id, p.keys, CASE WHEN p.capture >= 0 THEN 100 ELSE s.year_from END AS priority, nullif(p.changed, '') AS changed, p.pattern_id FROM years y JOIN t_schemas s ON y.wmi = s.wmi AND y.year BETWEEN s.year_from AND coalesce(s.year_to, 2999) JOIN t_patterns p ON s.schema_id = p.schema_id AND regexp_matches(y.key, p.regex)"),
+    ("parent", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id, year ORDER BY priority DESC, changed DESC NULLS FIRST, pattern_id DESC) AS n FROM direct WHERE element_id = 18) WHERE n = 1"),
+    ("engine", "SELECT p.req_id, p.year, e.element_id, e.value, e.attribute_id, 'ENGINE_MODEL' AS kind, p.rule_id || '/engine:' || e.id AS rule_id, p.schema_id, p.keys, 50 AS priority, nullif(e.changed, '') AS changed, e.id AS pattern_id FROM parent p JOIN t_engines e ON lower(trim(p.attribute_id)) = e.engine_key"),
+    ("matched", "SELECT * FROM direct UNION ALL SELECT * FROM engine"),
+    ("ranked_direct", "SELECT *, row_number() OVER (PARTITION BY req_id, year, element_id ORDER BY priority DESC, changed DESC NULLS FIRST, length(replace(keys, '*', '')), replace(replace(keys, '[', ''), ']', ''), pattern_id) AS place FROM direct"),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY req_id, year, element_id ORDER BY priority DESC, changed DESC NULLS FIRST, length(replace(keys, '*', '')), replace(replace(keys, '[', ''), ']', ''), pattern_id) AS place FROM matched"),
+    *[(name, f"SELECT req_id, year, element_id, value, attribute_id, kind, rule_id, schema_id, keys, min(place) AS place FROM {of} WHERE place = 1 OR element_id IN {P.MULTIPLE_ELEMENTS} GROUP BY ALL") for name, of in (("chosen_direct", "ranked_direct"), ("chosen", "ranked"))],
+    *[(f"made{x}", f"SELECT c.req_id, c.year, 26 AS element_id, m.make_name AS value, m.make_id AS attribute_id, 'MODEL_MAKE' AS kind, c.rule_id || '/make:' || m.make_id AS rule_id, c.schema_id, c.keys, 1 AS place FROM chosen{x} c JOIN t_models m ON c.attribute_id = m.model_id WHERE c.element_id = 28 AND c.place = 1 UNION ALL SELECT * FROM chosen{x} c WHERE NOT (c.element_id = 26 AND EXISTS (SELECT 1 FROM chosen{x} d JOIN t_models m ON d.attribute_id = m.model_id WHERE d.element_id = 28 AND d.place = 1 AND d.req_id = c.req_id AND d.year = c.year))") for x in ("_direct", "")],
+    ("single", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY req_id, year, element_id) AS n FROM made) s WHERE n = 1 AND EXISTS (SELECT 1 FROM matched m WHERE m.req_id = s.req_id AND m.year = s.year AND m.element_id = s.element_id)"),
+    ("numbers", "SELECT s.req_id, s.year, c.to_element AS element_id, c.id, s.rule_id, s.schema_id, s.keys, round(try_cast(s.value AS DECIMAL(20, 9)) * c.factor, 6) AS number FROM single s JOIN t_conversions c ON s.element_id = c.from_element WHERE regexp_full_match(s.value, '[0-9.]+') AND try_cast(s.value AS DECIMAL(20, 9)) IS NOT NULL"),
+    ("converted", r"SELECT req_id, year, element_id, regexp_replace(regexp_replace(number::DECIMAL(20, 6)::VARCHAR, '0+$', ''), '\.$', '') AS value, rule_id || '/conversion:' || id AS rule_id, schema_id, keys FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.req_id = n.req_id AND m.year = n.year AND m.element_id = n.element_id) QUALIFY row_number() OVER (PARTITION BY req_id, year, element_id ORDER BY id) = 1"),
+    ("enriched", "SELECT req_id, year, element_id, value, attribute_id, kind, rule_id, schema_id, keys, place FROM made UNION ALL SELECT req_id, year, element_id, value, value, 'UNIT_CONVERSION', rule_id, schema_id, keys, 1 FROM converted"),
+    ("facts", "SELECT * FROM enriched WHERE element_id <> 29 UNION ALL SELECT y.req_id, y.year, 29, y.year::VARCHAR, y.year::VARCHAR, CASE WHEN y.model_year IS NOT NULL THEN 'CALLER_CONTEXT' ELSE 'VIN_YEAR' END, 'model-year', NULL, substr(y.normalized, 10, 1), 1 FROM years y WHERE EXISTS (SELECT 1 FROM enriched e WHERE e.req_id = y.req_id AND e.year = y.year)"),
+    ("n_years", "SELECT req_id, count(DISTINCT year) AS n, any_value(market) AS market FROM years GROUP BY req_id"),
+    ("first_seen", "SELECT req_id, element_id, value, min(year * 1000 + place) AS seen FROM facts GROUP BY ALL"),
+    ("in_years", "SELECT req_id, element_id, count(DISTINCT year) AS n FROM facts GROUP BY ALL"),
+    ("pfields", "SELECT f.req_id, f.element_id, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS' WHEN any_value(i.n) < any_value(y.n) THEN 'UNKNOWN' WHEN any_value(y.market) IS DISTINCT FROM 'US' THEN 'NEEDS_CONTEXT' ELSE 'KNOWN' END AS status, string_agg(f.value, '|' ORDER BY f.seen) AS possibilities, list(f.value ORDER BY f.seen) AS vals FROM first_seen f JOIN in_years i ON f.req_id = i.req_id AND f.element_id = i.element_id JOIN n_years y ON f.req_id = y.req_id GROUP BY f.req_id, f.element_id"),
+    ("lit", "SELECT p.req_id, r.id AS rule, r.scope, r.model_year AS rule_year, p.normalized, (len(r.markets) > 0 AND NOT coalesce(list_contains(r.markets, p.market), false)) AS foreign_, coalesce(r.model_year <> p.model_year, false) AS conflict FROM prep p JOIN t_rules r ON p.structure = 'MODERN_FORMAT' AND regexp_full_match(p.normalized, r.pattern) AND (r.exclude IS NULL OR NOT regexp_full_match(p.normalized, r.exclude))"),
+    ("lit_ok", "SELECT * FROM lit WHERE NOT (foreign_ AND conflict)"),
+    ("held", "SELECT DISTINCT l.req_id, l.rule, l.foreign_, l.conflict, c.code, c.value, c.source_id FROM lit_ok l JOIN t_rule_claims c ON l.rule = c.rule_id AND (c.position < 0 OR strpos(c.characters, substr(l.normalized, c.position + 1, 1)) > 0)"),
+    ("lfields", "SELECT req_id, rule, code, CASE WHEN count(DISTINCT value) > 1 THEN 'AMBIGUOUS' WHEN bool_or(foreign_) THEN 'NEEDS_CONTEXT' ELSE 'KNOWN' END AS status, list(DISTINCT value ORDER BY value) AS vals FROM held WHERE NOT conflict GROUP BY req_id, rule, code"),
+    ("allfields", "SELECT req_id, 'patterns' AS rule, code, status, vals FROM pfields JOIN t_elements USING (element_id) UNION ALL SELECT * FROM lfields"),
+    ("results", "SELECT req_id, rule, scope, CASE WHEN conflict THEN 'CONTEXT_CONFLICT' WHEN foreign_ THEN 'NEEDS_CONTEXT' ELSE 'DECODED' END AS status FROM lit_ok UNION ALL SELECT r.req_id, 'patterns', 'US', CASE WHEN NOT EXISTS (SELECT 1 FROM years y WHERE y.req_id = r.req_id) THEN CASE WHEN r.model_year IS NOT NULL THEN 'CONTEXT_CONFLICT' ELSE 'UNKNOWN' END WHEN NOT EXISTS (SELECT 1 FROM pfields f WHERE f.req_id = r.req_id) THEN 'UNKNOWN' WHEN r.market IS NOT DISTINCT FROM 'US' THEN 'DECODED' ELSE 'NEEDS_CONTEXT' END FROM rich r"),
+    ("marked", "SELECT r.*, (r.status = 'CONTEXT_CONFLICT' AND (r.scope <> 'US' OR p.market IS NOT DISTINCT FROM 'US')) AS conflicting, (EXISTS (SELECT 1 FROM allfields f WHERE f.req_id = r.req_id AND f.rule = r.rule) OR (r.rule <> 'patterns' AND r.status = 'CONTEXT_CONFLICT')) AS meaningful FROM results r JOIN prep p ON r.req_id = p.req_id"),
+    ("head", "SELECT req_id, bool_or(conflicting) AS conflict, count(*) FILTER (meaningful) AS n_results, list(DISTINCT scope ORDER BY scope) FILTER (meaningful) AS scopes, min_by(scope, rule) FILTER (conflicting) AS conflict_scope, any_value(status) FILTER (meaningful) AS one_status, max(status) FILTER (rule = 'patterns') AS pattern_status FROM marked GROUP BY req_id"),
+    ("cand_fields", "SELECT f.*, h.n_results, (f.status <> 'NEEDS_CONTEXT' AND m.status <> 'NEEDS_CONTEXT') AS applicable FROM allfields f JOIN marked m ON f.req_id = m.req_id AND f.rule = m.rule JOIN head h ON f.req_id = h.req_id WHERE NOT h.conflict"),
+    ("chosen_fields", "SELECT * FROM (SELECT *, bool_or(applicable) OVER (PARTITION BY req_id, code) AS any_applicable FROM cand_fields) WHERE applicable OR NOT any_applicable"),
+    ("merged0", "SELECT req_id, code, list_sort(list_distinct(flatten(list(vals)))) AS sorted, any_value(vals) AS own, bool_or(status = 'UNKNOWN') AS unknown, bool_or(any_applicable) AS applicable, max(n_results) AS n_results, any_value(status) AS one_status FROM chosen_fields GROUP BY req_id, code"),
+    ("merged", "SELECT req_id, code, CASE WHEN n_results = 1 THEN one_status WHEN len(sorted) > 1 THEN 'AMBIGUOUS' WHEN unknown THEN 'UNKNOWN' WHEN applicable THEN 'KNOWN' ELSE 'NEEDS_CONTEXT' END AS status, CASE WHEN n_results = 1 THEN own ELSE sorted END AS vals FROM merged0"),
+    ("details", "SELECT h.req_id, CASE WHEN h.conflict THEN 'CONTEXT_CONFLICT' WHEN n_results = 0 THEN coalesce(pattern_status, 'UNKNOWN') WHEN n_results = 1 THEN one_status WHEN EXISTS (SELECT 1 FROM merged m WHERE m.req_id = h.req_id AND m.status = 'KNOWN') THEN 'DECODED' ELSE 'NEEDS_CONTEXT' END AS status, CASE WHEN h.conflict THEN conflict_scope WHEN len(scopes) > 1 THEN 'MULTIPLE' ELSE coalesce(scopes[1], 'US') END AS scope FROM head h"),
+    ("appr", "SELECT p.req_id, a.approval_id, a.source_row, a.fields FROM prep p JOIN t_approvals a ON p.structure = 'MODERN_FORMAT' AND substr(p.normalized, 1, 3) = a.wmi AND len(list_filter(a.masks, lambda m: regexp_full_match(p.normalized, m))) > 0"),
+    ("appr_fields", "SELECT req_id, unnest(map_keys(fields)) AS code, unnest(map_values(fields)) AS value FROM appr"),
+    ("parts", r"SELECT row, category, list_transform(string_split(template, ' / '), lambda m: trim(m, ' ')) AS parts FROM t_masks"),
+    ("ok_masks", "SELECT row, category, CASE WHEN len(list_filter(parts, lambda m: NOT regexp_full_match(m, '[A-HJ-NPR-Z0-9]{3}[A-HJ-NPR-Z0-9.]{14}') OR length(replace(m, '.', '')) < 4)) = 0 THEN list_sort(list_distinct(parts)) END AS masks FROM parts"),
+    ("marques", f"SELECT f.req_id, a.make_id FROM found f LEFT JOIN t_make_aliases a ON a.alias = translate(trim(coalesce(f.brand, '')), '{_LOWER}', '{_UPPER}') WHERE f.assignment_id IS NOT NULL"),
+    ("marks", "SELECT req_id, coalesce(string_agg(DISTINCT make_id, '|' ORDER BY make_id), '') AS ids, count(DISTINCT make_id) AS n, bool_or(make_id IS NULL) AS unmapped, count(*) AS labels FROM marques GROUP BY req_id"),
+    ("export", "SELECT *, concat_ws('|', CASE WHEN NOT regexp_full_match(wmi, '[A-HJ-NPR-Z0-9]{3}([A-HJ-NPR-Z0-9]{3})?') THEN 'INVALID_WMI' END, CASE WHEN try_cast(substr(available, 1, 10) AS DATE) IS NULL THEN 'NO_AVAILABILITY_DATE' END, CASE WHEN try_cast(substr(available, 1, 10) AS DATE) > DATE '2026-09-30' THEN 'FUTURE_AVAILABILITY_DATE' END) AS reasons FROM t_wmi_rows"),
+    ("dir_c", "SELECT c_custkey % 1000 AS wmi, 'NATION ' || c_nationkey AS name FROM customer"),
+    ("dir_s", "SELECT s_suppkey % 1000 AS wmi, 'NATION ' || s_nationkey AS name FROM supplier"),
+    ("dir_n", "SELECT * FROM (SELECT wmi, string_agg(DISTINCT name, '|' ORDER BY name) AS listed FROM dir_c GROUP BY wmi) FULL JOIN (SELECT wmi, string_agg(DISTINCT name, '|' ORDER BY name) AS assigned FROM dir_s GROUP BY wmi) USING (wmi)"),
+    ("probes", "SELECT o_custkey % 500 AS prefix, CASE WHEN o_orderkey % 11 = 0 THEN 'UNKNOWN' ELSE 'KNOWN' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '' END END AS value FROM orders"),
+    ("consensus", "SELECT prefix, CASE WHEN count(DISTINCT status) > 1 THEN 'PROBE_INCOMPLETE' WHEN min(status) = 'KNOWN' THEN CASE WHEN count(DISTINCT value) = 1 THEN 'KNOWN' ELSE 'PROBE_DISAGREEMENT' END ELSE min(status) END AS status, min(value) AS v FROM probes GROUP BY prefix"),
+    ("labels_", "SELECT o_custkey % 500 AS prefix, count(*) AS weight, list(DISTINCT CASE WHEN o_custkey % 4 = 0 THEN o_orderstatus ELSE '' END) AS labels FROM orders GROUP BY ALL"),
+    ("judged", "SELECT l.*, CASE WHEN len(labels) <> 1 THEN 'SOURCE_CONFLICT' ELSE coalesce(c.status, 'UNSUPPORTED_PREFIX') END AS status, c.v FROM labels_ l LEFT JOIN consensus c USING (prefix)"),
+    ("judged_m", "SELECT *, (status = 'KNOWN' AND upper(v) = labels[1]) AS match FROM judged"),
+]
+
+
+def _summary(by: str, weight: str) -> str:
+    some = lambda c: f"coalesce(sum({weight}) FILTER ({c}), 0)::BIGINT"
+    e, k, m = some("status <> 'SOURCE_CONFLICT'"), some("status = 'KNOWN'"), some("match")
+    return f"SELECT {by}, {e} AS eligible, {k} AS known, {m} AS matches, round({k}::DOUBLE / nullif({e}, 0), 6) AS coverage, round({m}::DOUBLE / nullif({k}, 0), 6) AS precision FROM judged_m GROUP BY 1"
+
+
+_SELECTS: dict[str, str] = {
+    "vin_normalize_structure": "SELECT req_id, normalized, structure FROM prep",
+    "type_code_validity": "SELECT req_id, norm_hsn, norm_tsn, input_status FROM codes_v",
+    "wmi_key_lookup_path": "SELECT req_id, wmi FROM keyed",
+    "wmi_key_rich_path": "SELECT req_id, wmi, key AS pattern_key FROM richkey",
+    "wmi_candidates": "SELECT req_id, assignment_id, manufacturer, country, established FROM found WHERE assignment_id IS NOT NULL",
+    "wmi_resolution": "SELECT req_id, n_candidates, status, brand_status, brand, brand_possibilities, manufacturer_status, manufacturer, category_status, category, country_status, country FROM resolution",
+    "type_code_lookup": "SELECT req_id, input_status, n_candidates, CASE WHEN input_status <> 'VALID' THEN 'INVALID_INPUT' WHEN n_candidates = 0 THEN 'UNKNOWN' WHEN n_candidates = 1 THEN 'RECOGNIZED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN n_candidates = 1 THEN one END AS trade_name FROM codes_g",
+    "year_candidates": "SELECT req_id, wmi, year FROM years",
+    "pattern_matches": "SELECT req_id, year, element_id, pattern_id, priority, kind, value FROM direct",
+    "pattern_top1": "SELECT req_id, year, element_id, value, rule_id, place FROM chosen_direct",
+    "pattern_fields": "SELECT req_id, element_id, status, possibilities, CASE WHEN status = 'KNOWN' THEN vals[1] END AS value FROM pfields",
+    "formula_capture": "SELECT req_id, year, element_id, rule_id, value FROM direct WHERE kind = 'NUMERIC_PATTERN'",
+    "engine_relation": "SELECT req_id, year, element_id, value, rule_id, priority FROM engine",
+    "model_make": "SELECT req_id, year, value, attribute_id, kind, rule_id FROM made_direct WHERE element_id = 26",
+    "unit_conversion": "SELECT req_id, year, element_id, value, rule_id FROM facts WHERE kind = 'UNIT_CONVERSION'",
+    "literal_rules": "SELECT req_id, rule, scope, status FROM results WHERE rule <> 'patterns'",
+    "literal_fields": "SELECT req_id, rule, code, status, array_to_string(vals, '|') AS possibilities, CASE WHEN status = 'KNOWN' THEN vals[1] END AS value FROM lfields",
+    "merged_fields": "SELECT req_id, code, status, array_to_string(vals, '|') AS possibilities, CASE WHEN status = 'KNOWN' THEN vals[1] END AS value FROM merged",
+    "details_status": "SELECT req_id, status, scope FROM details",
+    "approval_masks": "SELECT req_id, approval_id, source_row FROM appr",
+    "approval_fields": "SELECT req_id, code, string_agg(DISTINCT value, '|' ORDER BY value) AS possibilities FROM appr_fields WHERE value <> '' AND code <> 'remarks' GROUP BY req_id, code",
+    "approval_status": "SELECT p.req_id, CASE WHEN any_value(p.structure) <> 'MODERN_FORMAT' THEN 'INVALID_INPUT' WHEN count(a.approval_id) > 0 THEN 'CANDIDATES' ELSE 'NO_MATCH' END AS status, count(a.approval_id) AS n_candidates FROM prep p LEFT JOIN appr a ON p.req_id = a.req_id GROUP BY p.req_id",
+    "template_validation": "SELECT row, array_to_string(masks, '|') AS masks, (coalesce(category IN ('M1', 'M1G'), false) AND masks IS NOT NULL) AS accepted FROM ok_masks",
+    "identity_consensus": "SELECT req_id, ids, unmapped, labels, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN unmapped OR n = 0 THEN 'UNKNOWN' ELSE 'RESOLVED' END AS status FROM marks",
+    "constraint_overlaps": "SELECT a.wmi, a.id AS id_a, b.id AS id_b FROM t_assignments a JOIN t_assignments b ON a.wmi = b.wmi AND a.id < b.id AND greatest(coalesce(a.from_year, 1886), coalesce(b.from_year, 1886)) <= least(coalesce(a.to_year, 9999), coalesce(b.to_year, 9999)) AND (len(a.markets) = 0 OR len(b.markets) = 0 OR list_has_any(a.markets, b.markets)) AND coalesce(a.ambiguity_group <> b.ambiguity_group, true)",
+    "orphan_references": "SELECT 'order' AS reference, count(*) AS n, count(DISTINCT l_orderkey) AS n_keys FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0 UNION ALL SELECT 'part', count(*), count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) HAVING count(*) > 0",
+    "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "wmi_export_filter": "SELECT wmi, reasons FROM export",
+    "assignment_etl": "SELECT w.wmi, m.manufacturer_name AS manufacturer, upper(trim(regexp_replace(k.make_name, '\\s+', ' ', 'g'))) AS brand, v.type_name AS category FROM export w JOIN t_dump_manufacturers m ON w.manufacturer_id = m.manufacturer_id LEFT JOIN t_vehicle_types v ON w.type_id = v.type_id LEFT JOIN t_wmi_makes x ON w.wmi_id = x.wmi_id LEFT JOIN t_makes k ON x.make_id = k.make_id WHERE w.reasons = ''",
+    "directory_comparison": "SELECT wmi, CASE WHEN assigned IS NULL THEN 'DIRECTORY_ONLY' WHEN listed IS NULL THEN 'ASSIGNED_ONLY' WHEN listed = assigned THEN 'SAME' ELSE 'DIFFERENT_NAMES' END AS relation, coalesce(listed, assigned) AS names FROM dir_n",
+    "directory_counts": "SELECT count(*) AS wmis, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (h > 1) AS multi_hsn, count(*) FILTER (m > 1) AS multi_name FROM (SELECT c_custkey % 1000, count(*) AS n, count(DISTINCT c_mktsegment) AS h, count(DISTINCT c_nationkey) AS m FROM customer GROUP BY 1)",
+    "inventory_difference": "SELECT wmi, CASE WHEN assigned IS NULL THEN 'a' ELSE 'b' END AS side FROM dir_n WHERE listed IS NULL OR assigned IS NULL",
+    "probe_consensus": "SELECT prefix, status, CASE WHEN status = 'KNOWN' THEN v END AS value FROM consensus",
+    "coverage_summary": _summary("'label' AS field", "1"),
+    "coverage_weighted": _summary("CASE WHEN len(labels) = 1 THEN labels[1] ELSE 'SOURCE_CONFLICT' END AS make", "weight"),
+    "top_mismatches": f"SELECT * FROM (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F') WHERE place <= {P.MISMATCHES}",
+    "systematic_sample": "SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS nth FROM orders) WHERE nth % 31 = 0",
+    "drift_guard": "SELECT old_rows, new_rows, round(new_rows / old_rows, 6) AS ratio, round(n - o, 6) AS exclusion_change, (new_rows / old_rows BETWEEN 0.95 AND 1.5 AND n - o <= 0.01) AS ok FROM (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS old_rows, count(*) FILTER (o_orderkey % 2 = 1) AS new_rows, avg((o_orderstatus = 'P')::INT::DOUBLE) FILTER (o_orderkey % 2 = 0) AS o, avg((o_orderstatus = 'P')::INT::DOUBLE) FILTER (o_orderkey % 2 = 1) AS n FROM orders)",
+}
+
+
+def sql(select: str) -> str:
+    """A query after the part of the chain that it needs."""
+    import re
+
+    needed: set[str] = set()
+    parts = dict(_CHAIN)
+
+    def need(text: str) -> None:
+        for word in set(re.findall(r"\b[a-z_0-9]+\b", text)):
+            if word in parts and word not in needed:
+                needed.add(word)
+                need(parts[word])
+
+    need(select)
+    chain = ",\n".join(f"{name} AS {'MATERIALIZED ' if not name.startswith('t_') else ''}({text})" for name, text in _CHAIN if name in needed)
+    return f"WITH {chain}\n{select}" if needed else select
+
+
+ORACLES = {name: sql(select) for name, select in _SELECTS.items()}
