@@ -151,7 +151,7 @@ def row_locator(page: Column, row: Column) -> Column:
 
 def templates(c: Column) -> Column:
     """Sorted distinct masks of a template cell; null unless every alternative is well formed."""
-    parts = F.transform(F.split(c, " / "), F.trim)
+    parts = F.transform(F.split(c, " / "), lambda m: F.trim(m))
     fixed = lambda m: F.length(F.replace(m, F.lit("."), F.lit("")))
     good = F.forall(parts, lambda m: m.rlike(r"\A[A-HJ-NPR-Z0-9]{3}[A-HJ-NPR-Z0-9.]{14}\z") & (fixed(m) >= 4))
     return F.when(good, F.array_sort(F.array_distinct(parts)))
