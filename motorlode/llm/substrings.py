@@ -329,8 +329,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, group: int = GROUP)
     wanted = kinds.join(contested, "key").select("one.doc", "one.print", F.struct("key", "seg", "one.at", "one.n").alias("w"))
     wanted = wanted.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted"))
     pieces = docs.join(wanted, ["doc", "print"]).select("doc", "print", "text", "wanted").mapInArrow(_fetch(length), PIECE)
-    for step in (length // 8, max(1, length // 64), 1):
+    steps = sorted({max(1, length // 8), max(1, length // 64), 1}, reverse=True)
+    for level, step in enumerate([*steps, None]):
         pieces = stored(pieces)
+        if level:  # equal pieces of a split hot key are all repeats; one of them stands for all from here on
+            times = pieces.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "at")).alias("one"))
+            equal = times.where("times > 1").select("key", "seg")
+            found.append(pieces.join(equal, ["key", "seg"]).select("doc", "print", "at", (F.octet_length("text") - (length - 1)).alias("n")))
+            if step is None:  # pieces are single windows by now
+                break
+            pieces = pieces.join(times.select("key", "seg", "one.doc", "one.print", "one.at"), ["key", "seg", "doc", "print", "at"], "left_semi")
         sizes = pieces.groupBy("key").agg(F.count_distinct("seg").alias("kinds")).where("kinds > 1")
         cold = pieces.join(sizes.where(F.col("kinds") <= group).select("key"), "key")
         found.append(cold.repartition("key").sortWithinPartitions("key").select("key", "doc", "print", "at", "text").mapInArrow(_transform(length), RUN))
@@ -338,10 +346,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, group: int = GROUP)
         if hot.isEmpty():
             break
         pieces = hot.mapInArrow(_split(length, step), PIECE)
-    else:  # pieces are single windows by now
-        pieces = stored(pieces)
-        many = pieces.groupBy("key", "seg").agg(F.count("*").alias("times")).where("times > 1")
-        found.append(pieces.join(many, ["key", "seg"]).select("doc", "print", "at", F.lit(1).alias("n")))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
