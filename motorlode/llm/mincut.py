@@ -30,7 +30,7 @@ _SPACE = re.compile(r"\s+")
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 #: Capacities in thousandths: what blocks of known regions, words, link text and smoothness weigh.
-REGION, WEAK_REGION, HEADING, WORD, LINK, NEUTRAL = 9000, 3000, 600, 60, 4000, 500
+REGION, WEAK_REGION, HEADING, WORD, LINK, NEUTRAL = 9000, 3000, 600, 100, 7000, 500
 ADJACENT, SIBLING = 700, 500
 LONGEST = 60
 
@@ -77,8 +77,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if text:
             if whole := _SPACE.sub(" ", entities.unescape("".join(text))).strip():
-                tag, number, region, _ = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
-                out.append(Block(whole, links, tag, number, region, len(stack)))
+                own, *above = [x for x in reversed(stack) if x[0] in BLOCKS or not x[0]]
+                out.append(Block(whole, links, own[0], (above or [own])[0][1], own[2], len(stack)))
             text.clear()
         links = 0
 
