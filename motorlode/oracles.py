@@ -87,6 +87,67 @@ _CHAIN: list[tuple[str, str]] = [
 ]
 
 
+def _status(n: str, missing: str, known: str) -> str:
+    return f"CASE WHEN {n} > 1 THEN 'AMBIGUOUS' WHEN {missing} OR {n} = 0 OR {known} = 'UNKNOWN' THEN 'UNKNOWN' WHEN {known} = 'KNOWN' THEN 'RESOLVED' WHEN {known} = 'NEEDS_CONTEXT' THEN 'SUGGESTED' ELSE {known} END"
+
+
+def _why(missing: str, status: str, reason: str) -> str:
+    return f"CASE WHEN {missing} THEN 'UNMAPPED_IDENTITY' WHEN {status} = 'AMBIGUOUS' THEN 'COMPETING_IDENTITIES' ELSE '{reason}' END"
+
+
+def _key(label: str) -> str:
+    return f"translate(trim(coalesce({label}, '')), '{_LOWER}', '{_UPPER}')"
+
+
+def _changed(name: str, when: str, status: str, identity: str, value: str, reason: str) -> str:
+    """The four columns of a primary field, new where `when` holds."""
+    new = {f"{name}_status": status, f"{name}_id": identity, name: value, f"{name}_reason": reason}
+    return "* REPLACE (" + ", ".join(f"CASE WHEN {when} THEN {v} ELSE {c} END AS {c}" for c, v in new.items()) + ")"
+
+
+def _group(of: str, identity: str) -> str:
+    return f"count(DISTINCT {of}.{identity}) AS n, bool_or({of}.{identity} IS NULL) AS un, min({of}.{identity}) AS id, min({of}.name) AS nm"
+
+
+def _taken(name: str, when: str, g: str, known: str, reason: str) -> str:
+    s = _status(f"{g}n", f"{g}un", known)
+    held = f"({s}) IN ('RESOLVED', 'SUGGESTED')"
+    return _changed(name, f"({when})", s, f"CASE WHEN {held} THEN {g}id END", f"CASE WHEN {held} THEN {g}nm END", _why(f"{g}un" if name in ("make", "model") else "false", f"({s})", reason))
+
+
+_SUGGESTED = {n: f"CASE WHEN {n}_status = 'SUGGESTED' AND {n}_reason = 'SCOPED_VIN_RULE' THEN '{n}' END" for n in P.PRIMARY}
+_RULED = f"list_filter([{', '.join(_SUGGESTED.values())}], lambda x: x IS NOT NULL)"
+
+_CHAIN += [
+    ("code_makes", f"SELECT f.req_id, {_group('a', 'make_id')} FROM codes_f f LEFT JOIN t_make_aliases a ON a.alias = {_key('f.manufacturer')} WHERE f.source_object_id IS NOT NULL GROUP BY f.req_id"),
+    ("code_models", f"SELECT f.req_id, {_group('a', 'model_id')} FROM codes_f f JOIN code_makes k ON f.req_id = k.req_id AND k.n = 1 AND NOT k.un LEFT JOIN t_model_aliases a ON a.make_id = k.id AND a.alias = {_key('f.trade_name')} WHERE f.source_object_id IS NOT NULL GROUP BY f.req_id"),
+    ("said", "SELECT req_id, code, status, unnest(vals) AS v FROM merged"),
+    ("rich_make", f"SELECT s.req_id, s.status AS k, {_group('a', 'make_id')} FROM said s LEFT JOIN t_make_aliases a ON a.alias = {_key('s.v')} WHERE s.code = 'Make' GROUP BY s.req_id, s.status"),
+    *[(f"rich_{t}", f"SELECT req_id, status AS k, count(DISTINCT try_cast(v AS INTEGER)) AS n, bool_or(try_cast(v AS INTEGER) IS NULL) AS un, NULL::VARCHAR AS id, min(try_cast(v AS INTEGER))::VARCHAR AS nm FROM said WHERE code = '{c}' GROUP BY req_id, status") for t, c in (("year", "ModelYear"), ("built", "ProductionYear"))],
+    ("wmi_make", "SELECT m.req_id, count(DISTINCT m.make_id) AS n, bool_or(m.make_id IS NULL) AS un, min(m.make_id) AS id, min(a.name) AS nm FROM marques m LEFT JOIN (SELECT DISTINCT make_id, name FROM t_make_aliases) a ON m.make_id = a.make_id GROUP BY m.req_id"),
+    ("appr_make", f"SELECT p.req_id, {_group('a', 'make_id')} FROM appr p LEFT JOIN t_make_aliases a ON a.alias = {_key("map_extract(p.fields, 'make')[1]")} GROUP BY p.req_id"),
+    ("start_", "SELECT p.req_id, p.structure, p.model_year, p.market, t.status AS rich_status, t.scope, r.brand_status, " + ", ".join(f"g{i}.k AS {n}_k, g{i}.n AS {n}_n, g{i}.un AS {n}_un, g{i}.id AS {n}_gid, g{i}.nm AS {n}_nm" for i, n in ((0, "mk"), (2, "yr"), (3, "pr"))) + ", w.n AS w_n, w.un AS w_un, w.id AS w_id, w.nm AS w_nm, m.n AS a_n, m.un AS a_un, m.id AS a_id, m.nm AS a_nm, " + ", ".join(f"'UNKNOWN' AS {n}_status, NULL::VARCHAR AS {n}_id, NULL::VARCHAR AS {n}, 'NO_EVIDENCE' AS {n}_reason" for n in P.PRIMARY) + " FROM prep p LEFT JOIN details t ON p.req_id = t.req_id LEFT JOIN resolution r ON p.req_id = r.req_id LEFT JOIN rich_make g0 ON p.req_id = g0.req_id LEFT JOIN rich_year g2 ON p.req_id = g2.req_id LEFT JOIN rich_built g3 ON p.req_id = g3.req_id LEFT JOIN wmi_make w ON p.req_id = w.req_id LEFT JOIN appr_make m ON p.req_id = m.req_id"),
+    *[(f"d_{i}", "SELECT " + _taken(n, f"structure = 'MODERN_FORMAT' AND {g}_k IS NOT NULL", f"{g}_", f"{g}_k", "SCOPED_VIN_RULE").replace(f"{g}_id", f"{g}_gid") + f" FROM {of}") for i, n, g, of in (("make", "make", "mk", "start_"), ("year", "modelYear", "yr", "d_make"), ("built", "productionYear", "pr", "d_year"))],
+    ("rich_model", f"SELECT s.req_id, s.status AS k, {_group('a', 'model_id')} FROM said s JOIN d_make d ON s.req_id = d.req_id LEFT JOIN t_model_aliases a ON a.make_id = d.make_id AND a.alias = {_key('s.v')} WHERE s.code = 'Model' GROUP BY s.req_id, s.status"),
+    ("d_model", "SELECT " + _taken("model", "structure = 'MODERN_FORMAT' AND mo_k IS NOT NULL", "mo_", "mo_k", "SCOPED_VIN_RULE").replace("mo_id", "mo_gid") + " FROM (SELECT d.*, g.k AS mo_k, g.n AS mo_n, g.un AS mo_un, g.id AS mo_gid, g.nm AS mo_nm FROM d_built d LEFT JOIN rich_model g ON d.req_id = g.req_id)"),
+    ("d_wmi", "SELECT " + _taken("make", "structure = 'MODERN_FORMAT' AND make_status <> 'RESOLVED' AND w_n IS NOT NULL AND (mk_k IS NULL OR (make_status = 'UNKNOWN' AND brand_status = 'KNOWN'))", "w_", "brand_status", "WMI_ASSIGNMENT") + " FROM d_model"),
+    ("d_agreed", "SELECT " + _taken("make", "make_status = 'SUGGESTED' AND brand_status = 'KNOWN' AND w_n = 1 AND NOT w_un AND w_id = make_id", "w_", "'KNOWN'", "WMI_ASSIGNMENT") + " FROM d_wmi"),
+    ("d_conflict", "SELECT *, (make_status = 'SUGGESTED' AND NOT (" + " OR ".join(f"({n}_status = 'SUGGESTED' AND {g}_k IS NOT NULL)" for n, g in zip(P.PRIMARY, ("mk", "mo", "yr", "pr"))) + ")) AS unconfirmed, coalesce(structure = 'MODERN_FORMAT' AND rich_status = 'CONTEXT_CONFLICT' AND (scope <> 'US' OR market IS NOT DISTINCT FROM 'US'), false) AS conflict FROM d_agreed"),
+    *[(f"d_c{i}", "SELECT " + _changed(n, "conflict", "'CONFLICT'", "NULL", "NULL", "'CALLER_CONTEXT_CONFLICT'") + f" FROM {of}") for i, n, of in ((1, "model", "d_conflict"), (2, "modelYear", "d_c1"))],
+    ("d_am0", "SELECT " + _changed("make", "(make_status = 'SUGGESTED' AND a_n IS NOT NULL AND NOT a_un AND (a_n > 1 OR a_id <> make_id))", "'AMBIGUOUS'", "NULL", "NULL", "'COMPETING_CONDITIONAL_SOURCES'") + " FROM (SELECT *, make_status AS was_make FROM d_c2)"),
+    ("d_am", "SELECT *, (was_make = 'UNKNOWN' AND a_n IS NOT NULL AND make_status = 'SUGGESTED') AS cat_make, (a_n = 1 AND NOT a_un AND a_id = make_id AND NOT conflict) AS may FROM (SELECT " + _taken("make", "was_make = 'UNKNOWN' AND a_n IS NOT NULL", "a_", "'NEEDS_CONTEXT'", "CATALOGUE_CONSENSUS") + " FROM d_am0)"),
+    ("appr_model", f"SELECT p.req_id, {_group('a', 'model_id')} FROM appr p JOIN d_am d ON p.req_id = d.req_id LEFT JOIN t_model_aliases a ON a.make_id = d.make_id AND a.alias = {_key("map_extract(p.fields, 'type')[1]")} GROUP BY p.req_id"),
+    ("d_ao0", "SELECT " + _changed("model", "(coalesce(may, false) AND model_status = 'SUGGESTED' AND NOT b_un AND (b_n > 1 OR b_gid <> model_id))", "'AMBIGUOUS'", "NULL", "NULL", "'COMPETING_CONDITIONAL_SOURCES'") + " FROM (SELECT d.*, d.model_status AS was_model, g.n AS b_n, g.un AS b_un, g.id AS b_gid, g.nm AS b_nm FROM d_am d LEFT JOIN appr_model g ON d.req_id = g.req_id)"),
+    ("d_ao", "SELECT *, (coalesce(may, false) AND was_model = 'UNKNOWN' AND model_status = 'SUGGESTED') AS cat_model FROM (SELECT " + _taken("model", "coalesce(may, false) AND was_model = 'UNKNOWN'", "b_", "'NEEDS_CONTEXT'", "CATALOGUE_CONSENSUS").replace("b_id", "b_gid") + " FROM d_ao0)"),
+    ("d_8", "SELECT " + _changed("model", "(make_id IS NULL AND model_id IS NOT NULL)", "'AMBIGUOUS'", "NULL", "NULL", "'PRIMARY_MAKE_UNRESOLVED'") + " FROM d_ao"),
+    ("d_9", "SELECT " + _changed("modelYear", "(model_status IN ('AMBIGUOUS', 'CONFLICT') AND modelYear_status = 'SUGGESTED')", "'UNKNOWN'", "NULL", "NULL", "'IDENTITY_APPLICABILITY_UNRESOLVED'") + " FROM d_8"),
+    ("d_given", "SELECT *, (structure = 'MODERN_FORMAT' AND model_year IS NOT NULL AND NOT conflict) AS given, coalesce(structure = 'MODERN_FORMAT' AND model_year IS NOT NULL AND NOT conflict AND modelYear <> model_year::VARCHAR, false) AS clash FROM d_9"),
+    ("d_10", "SELECT " + _changed("modelYear", "clash", "'CONFLICT'", "NULL", "NULL", "'CALLER_CONTEXT_CONFLICT'") + " FROM d_given"),
+    ("d_11", "SELECT " + _changed("modelYear", "(given AND NOT clash)", "'PROVIDED'", "NULL", "model_year::VARCHAR", "'CALLER_CONTEXT'") + " FROM d_10"),
+    ("decided", f"SELECT *, {_RULED} AS ruled, list_filter([CASE WHEN cat_make AND make_status = 'SUGGESTED' THEN 'make' END, CASE WHEN cat_model AND model_status = 'SUGGESTED' THEN 'model' END], lambda x: x IS NOT NULL) AS catalogued FROM d_11"),
+]
+
+
 def _summary(by: str, weight: str) -> str:
     some = lambda c: f"coalesce(sum({weight}) FILTER ({c}), 0)::BIGINT"
     e, k, m = some("status <> 'SOURCE_CONFLICT'"), some("status = 'KNOWN'"), some("match")
@@ -118,6 +179,8 @@ _SELECTS: dict[str, str] = {
     "approval_status": "SELECT p.req_id, CASE WHEN any_value(p.structure) <> 'MODERN_FORMAT' THEN 'INVALID_INPUT' WHEN count(a.approval_id) > 0 THEN 'CANDIDATES' ELSE 'NO_MATCH' END AS status, count(a.approval_id) AS n_candidates FROM prep p LEFT JOIN appr a ON p.req_id = a.req_id GROUP BY p.req_id",
     "template_validation": "SELECT row, array_to_string(masks, '|') AS masks, (coalesce(category IN ('M1', 'M1G'), false) AND masks IS NOT NULL) AS accepted FROM ok_masks",
     "identity_consensus": "SELECT req_id, ids, unmapped, labels, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN unmapped OR n = 0 THEN 'UNKNOWN' ELSE 'RESOLVED' END AS status FROM marks",
+    "decision_status": "SELECT req_id, make_status, make, make_reason, make_id, model_status, model, model_reason, model_id, modelYear_status, modelYear, modelYear_reason, productionYear_status, productionYear, concat_ws('|', CASE WHEN unconfirmed AND make_status = 'SUGGESTED' THEN 'MATCH_CONSTRAINTS_UNCONFIRMED:make' END, CASE WHEN len(catalogued) > 0 THEN 'CATALOGUE_MEMBERSHIP_UNCONFIRMED:' || array_to_string(catalogued, ',') END, CASE WHEN len(ruled) > 0 THEN CASE WHEN market IS NULL AND scope = 'US' THEN 'US_MARKET_ASSUMED:' ELSE 'CROSS_MARKET_MATCH:' END || array_to_string(ruled, ',') END) AS assumptions FROM decided",
+    "code_decision": "SELECT g.req_id, g.input_status, " + _status("coalesce(k.n, 0)", "coalesce(k.un, true)", "'KNOWN'") + " AS make_status, CASE WHEN k.n = 1 AND NOT k.un THEN k.nm END AS make, CASE WHEN k.n = 1 AND NOT k.un THEN k.id END AS make_id, CASE WHEN k.n IS NULL THEN CASE WHEN g.input_status = 'VALID' THEN 'NO_TYPE_CODE_MATCH' ELSE 'NO_EVIDENCE' END WHEN k.un THEN 'UNMAPPED_IDENTITY' WHEN k.n > 1 THEN 'COMPETING_IDENTITIES' ELSE 'TYPE_CODE_LOOKUP' END AS make_reason, " + _status("coalesce(m.n, 0)", "coalesce(m.un, true)", "'KNOWN'") + " AS model_status, CASE WHEN m.n = 1 AND NOT m.un THEN m.nm END AS model, CASE WHEN m.n = 1 AND NOT m.un THEN m.id END AS model_id, CASE WHEN m.n IS NULL THEN CASE WHEN g.input_status = 'VALID' AND g.n_candidates = 0 THEN 'NO_TYPE_CODE_MATCH' ELSE 'NO_EVIDENCE' END WHEN m.un THEN 'UNMAPPED_IDENTITY' WHEN m.n > 1 THEN 'COMPETING_IDENTITIES' ELSE 'TYPE_CODE_LOOKUP' END AS model_reason FROM codes_g g LEFT JOIN code_makes k ON g.req_id = k.req_id LEFT JOIN code_models m ON g.req_id = m.req_id",
     "constraint_overlaps": "SELECT a.wmi, a.id AS id_a, b.id AS id_b FROM t_assignments a JOIN t_assignments b ON a.wmi = b.wmi AND a.id < b.id AND greatest(coalesce(a.from_year, 1886), coalesce(b.from_year, 1886)) <= least(coalesce(a.to_year, 9999), coalesce(b.to_year, 9999)) AND (len(a.markets) = 0 OR len(b.markets) = 0 OR list_has_any(a.markets, b.markets)) AND coalesce(a.ambiguity_group <> b.ambiguity_group, true)",
     "orphan_references": "SELECT 'order' AS reference, count(*) AS n, count(DISTINCT l_orderkey) AS n_keys FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0 UNION ALL SELECT 'part', count(*), count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) HAVING count(*) > 0",
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
