@@ -15,7 +15,7 @@ WORD, LOW = 8, 255
 #: Bytes of a pre-token from which on buckets are heaps.
 LONG = 256
 #: Chunks and pre-tokens that a worker remembers at most (about 200 bytes each).
-KNOWN = 400_000
+KNOWN = 250_000
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:

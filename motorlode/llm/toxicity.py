@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from motorlode.llm.common import mapped, small, stored, whole_texts
 
 WORD_BITS = 20
-PAIR_BITS = 22
+PAIR_BITS = 21
 BLOCK_BITS = 16
 #: Words over which a local mean is taken; a phrase in a long text stands out in it.
 WINDOW = 8
@@ -93,7 +93,7 @@ def _count(batches):
             n = "n1" if toxic else "n0"
             held[n].append(s := slots(text))
             size[n] += len(s[0])
-            if size[n] > 2_000_000:
+            if size[n] > 1_000_000:
                 add(held[n], n)
                 held[n], size[n] = [], 0
     for n, h in held.items():
