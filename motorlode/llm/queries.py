@@ -53,4 +53,4 @@ def op10_substrings(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_collisions, op2_secrets, op3_main_text, op4_bottom_k, op5_simhash, op6_mixing, op7_byte_bpe, op8_paragraphs, op9_toxicity, op10_substrings)}
 
 #: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_collisions": vectors.ORACLE, "op6_mixing": mixing.ORACLE}
