@@ -145,6 +145,8 @@ _CHAIN += [
     ("d_10", "SELECT " + _changed("modelYear", "clash", "'CONFLICT'", "NULL", "NULL", "'CALLER_CONTEXT_CONFLICT'") + " FROM d_given"),
     ("d_11", "SELECT " + _changed("modelYear", "(given AND NOT clash)", "'PROVIDED'", "NULL", "model_year::VARCHAR", "'CALLER_CONTEXT'") + " FROM d_10"),
     ("decided", f"SELECT *, {_RULED} AS ruled, list_filter([CASE WHEN cat_make AND make_status = 'SUGGESTED' THEN 'make' END, CASE WHEN cat_model AND model_status = 'SUGGESTED' THEN 'model' END], lambda x: x IS NOT NULL) AS catalogued FROM d_11"),
+    ("used", "SELECT DISTINCT u.req_id, m.field, u.source_id FROM (SELECT f.req_id, e.code, 'patterns' AS source_id FROM facts f JOIN t_elements e ON f.element_id = e.element_id UNION ALL SELECT req_id, code, source_id FROM held WHERE NOT conflict) u JOIN (VALUES " + ", ".join(f"('{c}', '{n}')" for n, c in P.PRIMARY.items()) + ") m(code, field) ON u.code = m.code"),
+    ("paths", "SELECT req_id, source_id, unnest(CASE WHEN v IS NULL THEN ['/fieldStatus/' || field] WHEN field IN ('make', 'model') THEN ['/vehicle/' || field, '/vehicle/' || field || 'Id'] ELSE ['/vehicle/' || field] END) AS path FROM (SELECT u.*, CASE field " + " ".join(f"WHEN '{n}' THEN d.{n}" for n in P.PRIMARY) + " END AS v FROM used u JOIN decided d ON u.req_id = d.req_id)"),
 ]
 
 
@@ -180,6 +182,7 @@ _SELECTS: dict[str, str] = {
     "template_validation": "SELECT row, array_to_string(masks, '|') AS masks, (coalesce(category IN ('M1', 'M1G'), false) AND masks IS NOT NULL) AS accepted FROM ok_masks",
     "identity_consensus": "SELECT req_id, ids, unmapped, labels, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN unmapped OR n = 0 THEN 'UNKNOWN' ELSE 'RESOLVED' END AS status FROM marks",
     "decision_status": "SELECT req_id, make_status, make, make_reason, make_id, model_status, model, model_reason, model_id, modelYear_status, modelYear, modelYear_reason, productionYear_status, productionYear, concat_ws('|', CASE WHEN unconfirmed AND make_status = 'SUGGESTED' THEN 'MATCH_CONSTRAINTS_UNCONFIRMED:make' END, CASE WHEN len(catalogued) > 0 THEN 'CATALOGUE_MEMBERSHIP_UNCONFIRMED:' || array_to_string(catalogued, ',') END, CASE WHEN len(ruled) > 0 THEN CASE WHEN market IS NULL AND scope = 'US' THEN 'US_MARKET_ASSUMED:' ELSE 'CROSS_MARKET_MATCH:' END || array_to_string(ruled, ',') END) AS assumptions FROM decided",
+    "source_credits": "SELECT p.req_id, p.source_id, string_agg(DISTINCT p.path, '|' ORDER BY p.path) AS paths, any_value(coalesce(s.terms_url, s.license_url, s.reuse_url)) AS terms FROM paths p LEFT JOIN t_sources s ON p.source_id = s.id GROUP BY p.req_id, p.source_id",
     "code_decision": "SELECT g.req_id, g.input_status, " + _status("coalesce(k.n, 0)", "coalesce(k.un, true)", "'KNOWN'") + " AS make_status, CASE WHEN k.n = 1 AND NOT k.un THEN k.nm END AS make, CASE WHEN k.n = 1 AND NOT k.un THEN k.id END AS make_id, CASE WHEN k.n IS NULL THEN CASE WHEN g.input_status = 'VALID' THEN 'NO_TYPE_CODE_MATCH' ELSE 'NO_EVIDENCE' END WHEN k.un THEN 'UNMAPPED_IDENTITY' WHEN k.n > 1 THEN 'COMPETING_IDENTITIES' ELSE 'TYPE_CODE_LOOKUP' END AS make_reason, " + _status("coalesce(m.n, 0)", "coalesce(m.un, true)", "'KNOWN'") + " AS model_status, CASE WHEN m.n = 1 AND NOT m.un THEN m.nm END AS model, CASE WHEN m.n = 1 AND NOT m.un THEN m.id END AS model_id, CASE WHEN m.n IS NULL THEN CASE WHEN g.input_status = 'VALID' AND g.n_candidates = 0 THEN 'NO_TYPE_CODE_MATCH' ELSE 'NO_EVIDENCE' END WHEN m.un THEN 'UNMAPPED_IDENTITY' WHEN m.n > 1 THEN 'COMPETING_IDENTITIES' ELSE 'TYPE_CODE_LOOKUP' END AS model_reason FROM codes_g g LEFT JOIN code_makes k ON g.req_id = k.req_id LEFT JOIN code_models m ON g.req_id = m.req_id",
     "constraint_overlaps": "SELECT a.wmi, a.id AS id_a, b.id AS id_b FROM t_assignments a JOIN t_assignments b ON a.wmi = b.wmi AND a.id < b.id AND greatest(coalesce(a.from_year, 1886), coalesce(b.from_year, 1886)) <= least(coalesce(a.to_year, 9999), coalesce(b.to_year, 9999)) AND (len(a.markets) = 0 OR len(b.markets) = 0 OR list_has_any(a.markets, b.markets)) AND coalesce(a.ambiguity_group <> b.ambiguity_group, true)",
     "orphan_references": "SELECT 'order' AS reference, count(*) AS n, count(DISTINCT l_orderkey) AS n_keys FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0 UNION ALL SELECT 'part', count(*), count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) HAVING count(*) > 0",
