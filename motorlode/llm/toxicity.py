@@ -2,22 +2,26 @@
 
 Each class has a bigram model. Its first backoff is the class's continuation counts (in how many
 contexts a word occurs); their backoff, shared, is the continuation count one level up, in how many
-of the classes it occurs. So expressions rare in either class weigh little. All counts live in hashed slots of a fixed number,
-so that the model has a fixed size whatever the corpus; they are summed over all training rows.
+of the classes it occurs. So expressions rare in either class weigh little. Every pair of words is
+counted for itself, over all training rows. The pair table grows with the corpus and is dealt to
+blocks by the pair's hash; texts ask the blocks for their pairs' weights. The words' values, some
+tens of bytes for each distinct word of the training rows, are broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import mapped, small, stored, whole_texts
+from motorlode.llm.common import small, stored, whole_texts
 
-WORD_BITS = 20
-PAIR_BITS = 21
-BLOCK_BITS = 16
+#: Words of texts that a task holds at once, and documents (numbered by two bytes).
+BATCH_WORDS, BATCH_DOCS = 2_000_000, 60_000
+#: Words by which the sums over words are dealt out.
+RANGE_BITS = 18
 #: Words over which a local mean is taken; a phrase in a long text stands out in it.
 WINDOW = 8
 #: Labelled rows at most on which the weights of the final score are fitted (counts use all).
@@ -28,165 +32,384 @@ FOLDS, HELD_OUT, FIT_FOLD = 5, 0, 4
 _SPACES = bytes.maketrans(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 31)
 
 
-def slots(text: str):
-    """(previous word's slot, word's slot, pair's slot) of each word of a text."""
+def hashes(text: str):
+    """A 64-bit hash of each word of a text."""
     import numpy as np
     import xxhash
 
     words = text.lower().encode().translate(_SPACES).split()
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    v = np.concatenate((np.zeros(1, np.uint64), w[:-1])) if len(w) else w
-    pair = (v * np.uint64(0x9E3779B97F4A7C15) ^ w) * np.uint64(0xC4CEB9FE1A85EC53)
-    cut = lambda x, bits: (x >> np.uint64(64 - bits)).astype(np.int32)
-    return cut(v, WORD_BITS), cut(w, WORD_BITS), cut(pair, PAIR_BITS)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _fields():
+def pairs_of(texts, vocabulary):
+    """(previous word, word, text's number) of all words of some texts, given their hashes.
+
+    A word is its place in the vocabulary, from 1 on; 0 is the start of a text, and unknown words
+    are all the number after the last.
+    """
+    import numpy as np
+
+    sizes = np.array([len(t) for t in texts])
+    h = np.concatenate(texts)
+    w = np.full(len(h), len(vocabulary) + 1, np.uint64)
+    if len(vocabulary):
+        at = np.searchsorted(vocabulary, h)
+        known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h
+        w[known] = at[known] + 1
+    v = np.zeros_like(w)
+    v[1:] = w[:-1]
+    v[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return v, w, np.repeat(np.arange(len(texts)), sizes)
+
+
+def blocks_of(keys, bits: int):
     import numpy as np
 
-    return np.dtype([("n0", "<u4"), ("n1", "<u4"), ("v", "<u4"), ("w", "<u4")])
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.uint16)
 
 
-def _packed(block, table):
-    """A block's used slots: their places, then a column for each field; compressed."""
+def packed(*arrays):
+    """Arrays as planes of bytes, compressed; the first is sorted and kept as differences."""
     import numpy as np
 
-    at = np.flatnonzero(table["n0"] | table["n1"])
-    return block, zlib.compress(b"".join([at.astype("<u2").tobytes(), *(np.ascontiguousarray(table[f][at]).tobytes() for f in table.dtype.names)]), 1)
+    first, *rest = arrays
+    out = [np.diff(first, prepend=first.dtype.type(0)), *rest]
+    return zlib.compress(pickle.dumps([(x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) for x in out]), 1)
 
 
-def _added(table, packed) -> None:
+def unpacked(data):
     import numpy as np
 
-    raw = zlib.decompress(packed)
-    n = len(raw) // 18
-    at = np.frombuffer(raw, "<u2", n).astype(np.int64)
-    for k, f in enumerate(("n0", "n1")):
-        table[f][at] += np.frombuffer(raw, "<u4", n, 2 * n + 4 * n * k)
-    for k, f in enumerate(("v", "w"), 2):
-        table[f][at] = np.maximum(table[f][at], np.frombuffer(raw, "<u4", n, 2 * n + 4 * n * k))
+    out = []
+    for kind, planes in pickle.loads(zlib.decompress(data)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1))
+    return np.cumsum(out[0], dtype=out[0].dtype), *out[1:]
 
 
-def _rows(pairs):
+def summed(parts):
+    """(keys, sums of each further column) of parts (keys, columns), sorted by distinct keys."""
+    import numpy as np
+
+    keys, *columns = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[cuts], *(np.add.reduceat(c[order], cuts) if len(cuts) else c for c in columns)
+
+
+def _rows(block, data):
     import pyarrow as pa
 
-    block, packed = zip(*pairs)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["block", "packed"])
 
 
-def _count(batches):
-    """Counts a partition's pairs by class into one table of all slots; a row for each used block."""
+def _dealt(keys, columns, block):
+    """A row for each block of sorted keys, whose blocks are given."""
     import numpy as np
 
-    table = np.zeros(1 << PAIR_BITS, _fields())
+    order = np.argsort(block, kind="stable")
+    cuts = np.flatnonzero(np.diff(block[order], prepend=-1).astype(bool))
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        at = order[a:b]
+        yield int(block[at[0]]), packed(keys[at], *(c[at] for c in columns))
+
 
-    def add(held, n):
-        v, w, pair = (np.concatenate(x) for x in zip(*held))
-        table[n] += np.bincount(pair, minlength=1 << PAIR_BITS).astype(np.uint32)
-        np.maximum.at(table["v"], pair, v.astype(np.uint32))
-        np.maximum.at(table["w"], pair, w.astype(np.uint32))
+def _held(batches):
+    """(hashes of texts, toxic or not) of a partition, for some BATCH_WORDS words at a time."""
+    import numpy as np
 
-    held = {"n0": [], "n1": []}
-    size = {"n0": 0, "n1": 0}
+    texts, toxic, size = [], [], 0
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = "n1" if toxic else "n0"
-            held[n].append(s := slots(text))
-            size[n] += len(s[0])
-            if size[n] > 1_000_000:
-                add(held[n], n)
-                held[n], size[n] = [], 0
-    for n, h in held.items():
-        if h:
-            add(h, n)
-    used = [_packed(b, t) for b, t in enumerate(table.reshape(-1, 1 << BLOCK_BITS)) if (t["n0"] | t["n1"]).any()]
-    for pair in used:
-        yield _rows([pair])
+        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts.append(hashes(t))
+            toxic.append(y)
+            size += len(texts[-1])
+            if size > BATCH_WORDS or len(texts) >= BATCH_DOCS:
+                yield texts, np.array(toxic, np.int64)
+                texts, toxic, size = [], [], 0
+    if size:
+        yield texts, np.array(toxic, np.int64)
+
+
+def _words(bits: int):
+    def run(batches):
+        import numpy as np
+
+        for texts, _ in _held(batches):
+            h = np.unique(np.concatenate(texts))
+            yield _rows(*zip(*_dealt(h, (), (h >> np.uint64(64 - bits)).astype(np.int64))))
+
+    return run
+
+
+def _count(vocabulary, bits: int):
+    """Counts the pairs of a partition by class."""
+
+    def run(batches):
+        import numpy as np
+
+        known = vocabulary.value
+        for texts, toxic in _held(batches):
+            v, w, doc = pairs_of(texts, known)
+            y = toxic[doc]
+            keys, n0, n1 = summed([(v * np.uint64(len(known) + 2) + w, 1 - y, y)])
+            yield _rows(*zip(*_dealt(keys, (n0, n1), blocks_of(keys, bits).astype(np.int64))))
+
+    return run
 
 
 def _merge(batches):
-    """Sums a partition's blocks."""
+    """Sums the rows of each block; a partition's rows are sorted by block."""
+    held, was, size = [], None, 0
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist()):
+            if block != was:
+                if held:
+                    yield _rows([was], [packed(*summed(held))])
+                held, was, size = [], block, 0
+            held.append(unpacked(data))
+            size += len(held[-1][0])
+            if size > 2 * BATCH_WORDS:
+                held = [summed(held)]
+                size = 0
+    if held:
+        yield _rows([was], [packed(*summed(held))])
+
+
+def merged(parts: DataFrame, blocks: int) -> DataFrame:
+    """One row for each block of `parts` (block, packed)."""
+    return parts.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, packed binary")
+
+
+def _word_sums(words: int):
+    """Of each block of pairs, for each word and class: occurrences as the previous word, distinct
+    words after and before it; in block -1, how many pairs of each class occur once and twice."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for data in batch.column("packed").to_pylist():
+                keys, *n = unpacked(data)
+                v, w = np.divmod(keys, np.uint64(words))
+                one = np.ones(len(keys), np.int64)
+                zero = 0 * one
+                seen = [(x > 0).astype(np.int64) for x in n]
+                ids, *sums = summed([(v, *n, *seen, zero, zero), (w, zero, zero, zero, zero, *seen)])
+                yield _rows(*zip(*_dealt(ids, sums, (ids >> np.uint64(RANGE_BITS)).astype(np.int64))))
+                times = [(x == k).sum() for x in n for k in (1, 2)]
+                yield _rows([-1], [packed(np.zeros(1, np.uint64), *(np.array([x], np.int64) for x in times), np.zeros(1, np.int64), np.zeros(1, np.int64))])
+
+    return run
+
+
+def vocabulary_of(rows: DataFrame, bits: int):
+    """Sorted hashes of all words of `rows` (text, toxic)."""
     import numpy as np
 
-    tables: dict = {}
-    for batch in batches:
-        for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist()):
-            if block not in tables:
-                tables[block] = np.zeros(1 << BLOCK_BITS, _fields())
-            _added(tables[block], packed)
-    for block, table in tables.items():
-        yield _rows([_packed(block, table)])
+    parts = {r["block"]: unpacked(r["packed"])[0] for r in merged(rows.mapInArrow(_words(bits), "block int, packed binary"), 1 << bits).toLocalIterator()}
+    return np.concatenate([np.zeros(0, np.uint64), *(parts[b] for b in sorted(parts))])
 
 
-def count_pairs(rows: DataFrame):
-    """The table of pair slots over all `rows` (text, toxic), summed in two steps on the executors."""
+def count_pairs(rows: DataFrame, vocabulary, bits: int) -> DataFrame:
+    """(block, packed) of the counts (pair, ordinary, toxic) of all word pairs of `rows` (text, toxic)."""
+    return merged(rows.mapInArrow(_count(vocabulary, bits), "block int, packed binary"), 1 << bits)
+
+
+def sum_words(pairs: DataFrame, words: int):
+    """(for each word a column: previous in each class, distinct words after it and before it in
+    each; numbers of pairs that occur once and twice in each class) of the table of pairs."""
     import numpy as np
 
-    blocks = 1 << PAIR_BITS - BLOCK_BITS
-    parts = rows.mapInArrow(_count, "block int, packed binary")
-    # Blocks are first summed over groups of partitions, so that no task meets all partitions' rows.
-    parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(8))).repartition(8 * blocks, "block", "group").select("block", "packed").mapInArrow(_merge, "block int, packed binary")
-    parts = parts.repartition(blocks, "block").mapInArrow(_merge, "block int, packed binary")
-    table = np.zeros(1 << PAIR_BITS, _fields())
-    for row in parts.toLocalIterator():  # at most one row a block
-        _added(table[row["block"] << BLOCK_BITS : row["block"] + 1 << BLOCK_BITS], row["packed"])
-    return table
+    sums, times = np.zeros((6, words)), np.zeros(4, np.int64)
+    parts = merged(pairs.mapInArrow(_word_sums(words), "block int, packed binary"), (words >> RANGE_BITS) + 2)
+    for row in parts.toLocalIterator():
+        ids, *found = unpacked(row["packed"])
+        if row["block"] < 0:
+            times += [int(x[0]) for x in found[:4]]
+        else:
+            sums[:, ids.astype(np.int64)] = found
+    return sums, times
 
 
-def _discount(counts) -> float:
-    """Absolute discount n1 / (n1 + 2 n2) of a table of counts."""
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
+def _discount(n1: int, n2: int) -> float:
+    """Absolute discount n1 / (n1 + 2 n2), of how many counts are 1 and 2."""
     return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.75
 
 
 class Model:
     """Log-likelihood ratios of words, toxic against ordinary."""
 
-    def __init__(self, table) -> None:
+    def __init__(self, sums, times) -> None:
         import numpy as np
 
-        size = 1 << WORD_BITS
-        shared = 0.5 + sum((np.bincount(table["w"][table[f] > 0], minlength=size) > 0).astype(float) for f in ("n0", "n1"))
+        kept = sums[4:, 1:]  # contexts of a word; the start of a text is none
+        shared = 0.5 + (kept > 0).sum(0)
         shared /= shared.sum()
-        self.pairs, self.discount, self.context, self.back, self.word = [], [], [], [], []
-        for f in ("n0", "n1"):
-            n = table[f]
-            seen = n > 0
-            kept = np.bincount(table["w"][seen], minlength=size).astype(float)  # contexts of a word
-            total = max(1.0, kept.sum())
-            d = _discount(kept)
-            word = (np.maximum(kept - d, 0) + max(1.0, d * (kept > 0).sum()) * shared) / (total + max(0.0, 1.0 - d * (kept > 0).sum()))
-            context = np.bincount(table["v"], weights=n, minlength=size)
-            d = _discount(n)
-            follow = np.bincount(table["v"][seen], minlength=size)
-            self.pairs.append(np.minimum(n, 65535).astype(np.uint16))
+        self.discount, self.context, self.back, self.word = [], [], [], []
+        for c in (0, 1):
+            k, context, follow = kept[c], sums[c], sums[2 + c]
+            total = max(1.0, k.sum())
+            d = _discount(int((k == 1).sum()), int((k == 2).sum()))
+            word = (np.maximum(k - d, 0) + max(1.0, d * (k > 0).sum()) * shared) / (total + max(0.0, 1.0 - d * (k > 0).sum()))
+            d = _discount(*map(int, times[2 * c : 2 * c + 2]))
             self.discount.append(d)
-            self.context.append(np.maximum(context, 1).astype(np.float32))
+            self.context.append(np.maximum(context, 1))
             self.back.append(np.where(context > 0, d * follow / np.maximum(context, 1), 1.0).astype(np.float32))
-            self.word.append(word.astype(np.float32))
-        self.strength = np.log(self.word[1]) - np.log(self.word[0])
-        self.usable = bool(table["n0"].any() and table["n1"].any())
+            self.word.append(np.concatenate(([1.0], word)).astype(np.float32))
+        self.usable = bool(sums[0].any() and sums[1].any())
+
+    def backed_off(self):
+        """What a word as the previous one and as the word itself adds where the pair is unknown."""
+        import numpy as np
+
+        return np.log(self.back[1]) - np.log(self.back[0]), np.log(self.word[1]) - np.log(self.word[0])
 
-    def ratios(self, v, w, pair):
+    def gains(self, keys, *n):
+        """What known pairs (and their counts by class) add to the ratio of their words' backoff."""
         import numpy as np
 
-        p = [np.maximum(self.pairs[c][pair] - np.float32(self.discount[c]), 0) / self.context[c][v] + self.back[c][v] * self.word[c][w] for c in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
+        v, w = (x.astype(np.int64) for x in np.divmod(keys, np.uint64(len(self.word[0]))))
+        low = [self.back[c][v].astype(float) * self.word[c][w] for c in (0, 1)]
+        high = [np.maximum(n[c] - self.discount[c], 0) / self.context[c][v] + low[c] for c in (0, 1)]
+        return np.log(high[1] / low[1]) - np.log(high[0] / low[0])
 
-    def features(self, text: str):
-        """Length-normalised ratios: (mean over all words, over the strongest 3 and 6, the largest
-        over WINDOW words in a row, log of 1 + words); the last three by class backoff alone."""
+
+def _ask(vocabulary, weights, bits: int):
+    """Of each batch of texts, a row with what needs no pairs and one for each block whose pairs occur."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        known, (before, strength) = vocabulary.value, weights.value
+        first = TaskContext.get().partitionId() << 32
+
+        def out(ids, texts, batch):
+            v, w, doc = pairs_of(texts, known)
+            word = strength[w.astype(np.int64)]
+            total = np.bincount(doc, before[v.astype(np.int64)].astype(float) + word, len(texts))
+            ends = np.cumsum([len(t) for t in texts])
+            rows = np.array([_word_features(word[e - len(t) : e]) for t, e in zip(texts, ends)]).T
+            null = np.array([x is None for x in ids])
+            own = zlib.compress(pickle.dumps((np.array([x or 0 for x in ids], np.int64), null, total, np.array([len(t) for t in texts]), rows)), 1)
+            some = np.flatnonzero((v <= len(known)) & (w <= len(known)))
+            keys = v[some] * np.uint64(len(known) + 2) + w[some]
+            order = np.argsort(keys, kind="stable")
+            keys, doc = keys[order], doc[some][order].astype(np.uint16)
+            block = blocks_of(keys, bits)
+            order = np.argsort(block, kind="stable")
+            keys, doc, block = keys[order], doc[order], block[order]
+            cuts = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1))
+            found = [(hash((first, batch)) % (1 << bits), 1, own)]
+            for a, b in zip(cuts, [*cuts[1:], len(block)]):
+                k, n = np.unique(keys[a:b], return_counts=True)
+                found.append((int(block[a]), 2, packed(k, n.astype(np.uint32), doc[a:b])))
+            b, k, p = zip(*found)
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array([first + batch] * len(b), pa.int64()), pa.array(p, pa.binary())], names=["block", "kind", "batch", "packed"])
+
+        ids, texts, size, batch = [], [], 0, 0
+        for rows in batches:
+            for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(hashes(t))
+                size += len(texts[-1])
+                if size > BATCH_WORDS or len(ids) >= BATCH_DOCS:
+                    yield out(ids, texts, batch)
+                    ids, texts, size, batch = [], [], 0, batch + 1
+        if ids:
+            yield out(ids, texts, batch)
+
+    return run
+
+
+def _answer(model):
+    """Streams blocks: the pairs' counts, then rows that pass through, then the batches' questions."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
+
+        was, keys, gains = None, None, None
+        for rows in batches:
+            out = []
+            for block, kind, batch, data in zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "batch", "packed"))):
+                if kind == 0:
+                    keys, *n = unpacked(data)
+                    was, gains = block, model.value.gains(keys, *n)
+                elif kind == 1:
+                    out.append((batch, -1, data))
+                elif block == was:
+                    asked, times, doc = unpacked(data)
+                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    gain = np.where(keys[at] == asked, gains[at], 0.0)
+                    out.append((batch, block, zlib.compress(np.bincount(doc, np.repeat(gain, times)).tobytes(), 1)))
+            if out:
+                b, p, d = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(p, pa.int32()), pa.array(d, pa.binary())], names=["batch", "part", "packed"])
+
+    return run
+
+
+def _finish(key: str):
+    """Streams batches: what needed no pairs, then each block's sums."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(ids, null, total, n, rows):
+            columns = [total / np.maximum(n, 1), *rows, np.log1p(n)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), *(pa.array(c, pa.float64()) for c in columns)], names=[key, *FEATURES])
+
+        held = None
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist()):
+                if part < 0:
+                    if held:
+                        yield out(*held)
+                    held = pickle.loads(zlib.decompress(data))
+                else:
+                    gain = np.frombuffer(zlib.decompress(data))
+                    held[2][: len(gain)] += gain
+        if held:
+            yield out(*held)
+
+    return run
+
+
+def _word_features(word):
+    """Means over the strongest 3 and 6 words and the largest over WINDOW words in a row, by class backoff alone."""
+    import numpy as np
+
+    n = len(word)
+    if not n:
+        return 0.0, 0.0, 0.0
+    top = np.sort(np.partition(word, n - 6)[n - 6 :] if n > 6 else word)[::-1]
+    sums = np.concatenate(([0.0], np.cumsum(word, dtype=float)))
+    k = min(WINDOW, n)
+    return float(top[:3].sum()) / 3, float(top.sum()) / 6, float((sums[k:] - sums[:-k]).max()) / WINDOW
 
-        v, w, pair = slots(text)
-        n = len(w)
-        if not n:
-            return 0.0, 0.0, 0.0, 0.0, 0.0
-        word = self.strength[w]
-        top = np.sort(np.partition(word, n - 6)[n - 6 :] if n > 6 else word)[::-1]
-        sums = np.concatenate(([0.0], np.cumsum(word, dtype=float)))
-        k = min(WINDOW, n)
-        return float(self.ratios(v, w, pair).mean()), float(top[:3].sum()) / 3, float(top.sum()) / 6, float((sums[k:] - sums[:-k]).max()) / WINDOW, float(np.log1p(n))
+
+def features(docs: DataFrame, train: DataFrame, key: str):
+    """((key, FEATURES) of `docs` (key, text), whether `train` (text, toxic) has both classes).
+
+    FEATURES are the mean ratio over all words, those of _word_features, and the log of 1 + words.
+    """
+    bits = min(16, max(4, (docs.rdd.getNumPartitions() - 1).bit_length()))
+    spark = docs.sparkSession
+    known = vocabulary_of(train, bits)
+    vocabulary = spark.sparkContext.broadcast(known)
+    pairs = stored(count_pairs(train, vocabulary, bits))
+    model = Model(*sum_words(pairs, len(known) + 2))
+    weights = spark.sparkContext.broadcast(model.backed_off())
+    asked = docs.mapInArrow(_ask(vocabulary, weights, bits), "block int, kind int, batch long, packed binary")
+    both = pairs.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("batch"), "packed").union(asked)
+    sums = both.repartition(1 << bits, "block").sortWithinPartitions("block", "kind", "batch").mapInArrow(_answer(spark.sparkContext.broadcast(model)), "batch long, part int, packed binary")
+    rows = sums.repartition(1 << bits, "batch").sortWithinPartitions("batch", "part").mapInArrow(_finish(key), f"{key} long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return stored(rows), model.usable
 
 
 def fold(key: str = "doc_id"):
@@ -230,16 +453,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     labels = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold(key) != HELD_OUT)
     known = small(labels)
     train = docs.join(known.where(fold(key) != FIT_FOLD), key).select(text, "toxic")
-    model = Model(count_pairs(train))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the slots
-
-    def run(batch):
-        found = [shared.value.features(t) for t in batch.column(1).to_pylist()]
-        return {key: batch.column(0)} | dict(zip(FEATURES, zip(*found)))
-
-    rows = stored(mapped(docs, run, f"{key} long, " + ", ".join(f"{f} double" for f in FEATURES)))
+    rows, usable = features(docs, train, key)
     fit = rows.join(labels.where(fold(key) == FIT_FOLD), key).orderBy(F.xxhash64(key), key).limit(FIT_ROWS).select(*FEATURES, "toxic").collect()
-    bias, *weights = fit_weights(fit if model.usable else [])
+    bias, *weights = fit_weights(fit if usable else [])
     logit = F.lit(bias)
     for w, f in zip(weights, FEATURES):
         logit = logit + F.lit(w) * F.col(f)

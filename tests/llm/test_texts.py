@@ -192,6 +192,46 @@ def test_toxicity_edges(spark, corpus, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def brute_means(docs, train):
+    """Mean ratio over all words, from counts of every pair for itself."""
+    import math
+
+    n, d = [Counter(), Counter()], []
+    for text, y in train:
+        words = text.split()
+        n[y].update(zip([None, *words], words))
+    known = {w for c in n for _, w in c}
+    discount = lambda k: min(0.95, max(0.1, k[1] / (k[1] + 2 * k[2]))) if k[1] + k[2] else 0.75
+    kept = [Counter(w for _, w in c) for c in n]
+    shared = {w: 0.5 + (w in kept[0]) + (w in kept[1]) for w in [*known, ""]}
+    models = []
+    for c, k in zip(n, kept):
+        context, follow = Counter(), Counter(v for v, _ in c)
+        for (v, _), x in c.items():
+            context[v] += x
+        models.append((c, k, context, follow, discount(Counter(c.values())), discount(Counter(k.values()))))
+
+    def p(m, v, w):
+        c, k, context, follow, d, dk = m
+        base = (max(k[w] - dk, 0) + max(1.0, dk * len(k)) * shared[w] / sum(shared.values())) / (max(1.0, sum(k.values())) + max(0.0, 1 - dk * len(k)))
+        return max(c[v, w] - d, 0) / context[v] + d * follow[v] / context[v] * base if context[v] else base
+
+    out = {}
+    for i, text in docs:
+        words = [w if w in known else "" for w in text.split()]
+        out[i] = sum(math.log(p(models[1], v, w) / p(models[0], v, w)) for v, w in zip([None, *words], words)) / max(1, len(words))
+    return out
+
+
+def test_every_pair_is_counted_for_itself(spark, monkeypatch, prose_of):
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 20_000)
+    train = [(prose_of(i, 300), int(i % 3 == 0)) for i in range(400)]  # 120,000 pairs: slots would be shared
+    docs = [(i, prose_of(i + 350, 50) + " unknown" * (i % 4)) for i in range(100)] + [(100, "")]
+    rows, usable = toxicity.features(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(train, "text string, toxic int"), "doc_id")
+    got, want = {r["doc_id"]: r["mean"] for r in rows.collect()}, brute_means(docs, train)
+    assert usable and set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
 # --- mixing
 def test_raking_meets_all_margins(spark):
     r = random.Random(2)
