@@ -232,6 +232,12 @@ def test_every_pair_is_counted_for_itself(spark, monkeypatch, prose_of):
     assert usable and set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-5 for i in want)
 
 
+def test_frequent_pairs_keep_their_counts(spark):
+    train = [("aa bb " * 10_000, 0)] * 10 + [("aa cc bb dd " * 50, 1)]  # 100,000 times, over 65,535
+    rows, _ = toxicity.features(spark.createDataFrame([(1, "aa bb aa bb")], "doc_id long, text string"), spark.createDataFrame(train, "text string, toxic int"), "doc_id")
+    assert abs(rows.first()["mean"] - brute_means([(1, "aa bb aa bb")], train)[1]) < 1e-5
+
+
 # --- mixing
 def test_raking_meets_all_margins(spark):
     r = random.Random(2)
