@@ -12,8 +12,10 @@ from motorlode.llm.components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Words of the shortest paragraph that counts; shorter lines (headings, notices) repeat by nature.
-LEAST_WORDS = 20
+#: Words of the shortest line that is compared by shingles; shorter ones meet where they are equal.
+LEAST_WORDS = 5
+#: Lines of fewer words are also joined with such lines next to them, to paragraphs of as many words or more.
+LONG_WORDS = 20
 #: Bands and rows of the signature: a pair at the similarity meets with probability 0.9998.
 BANDS, ROWS = 16, 4
 #: Paragraphs of one bucket that are compared in one task; a larger bucket is split.
@@ -32,12 +34,35 @@ def miss_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) ->
     return (1 - similarity**rows) ** bands
 
 
-def paragraphs(text: str, least: int = LEAST_WORDS):
-    """(number, start, end, words) of the lines of at least `least` words; lower-case words as bytes."""
+#: What a node is: a line of LONG_WORDS or more, a shorter line, or lines joined and nowhere a line.
+LONG, SHORT, JOINED = 0, 1, 2
+
+
+def paragraphs(text: str):
+    """(number, start, end, words, kind) of all lines with words and of joined lines; lower-case words as bytes.
+
+    Joined are two or more lines in a row of fewer than LONG_WORDS words, without an empty line
+    between them; their number is -1 less that of the first of them.
+    """
+    run: list = []
+
+    def joined():
+        words = [w for x in run for w in x[3]]
+        if len(run) > 1 and len(words) >= LONG_WORDS:
+            yield -1 - run[0][0], run[0][1], run[-1][2], words, JOINED
+
     for k, m in enumerate(_PARAGRAPH.finditer(text)):
         words = m[0].lower().encode().split()
-        if len(words) >= least:
-            yield k, m.start(), m.end(), words
+        short = 0 < len(words) < LONG_WORDS
+        if run and not (short and text[run[-1][2] : m.start()] in ("\n", "\r", "\r\n")):
+            yield from joined()
+            run = []
+        if words:
+            line = k, m.start(), m.end(), words, SHORT if short else LONG
+            yield line
+            if short:
+                run.append(line)
+    yield from joined()
 
 
 def shingles(words):
@@ -72,27 +97,32 @@ def band_keys(hashes, cuts):
     return keys.view(np.int64)
 
 
-def _rows(least: int):
+def _rows(similarity: float, least: int):
+    # Different sets of fewer shingles are less similar; equal ones share each band.
+    few = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
         def out(held):
-            doc, print_, no, start, end, print_of, sets = zip(*held)
+            doc, print_, no, start, end, kind, words, print_of, sets = zip(*held)
             cuts = np.cumsum([0, *map(len, sets)])[:-1]
             with np.errstate(over="ignore"):
                 keys = band_keys(np.concatenate(sets), cuts)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            arrays = [pa.array(c, t) for c, t in zip((doc, print_, no, start, end), types)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(print_of, np.uint64).view(np.int64)), bands], names=["doc", "print", "no", "start", "end", "h", "bands"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            arrays = [pa.array(c, t) for c, t in zip((doc, print_, no, start, end, kind), types)]
+            bands_of = np.where(np.array(words) < least, 0, np.where([len(s) < few for s in sets], 1, BANDS))
+            used = np.arange(BANDS) < bands_of[:, None]
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *bands_of]), pa.int32()), pa.array(keys[used]))
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(print_of, np.uint64).view(np.int64)), bands], names=["doc", "print", "no", "start", "end", "kind", "h", "bands"])
 
         for batch in batches:
             held, size = [], 0
             for doc, print_, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                for k, s, e, words in paragraphs(text, least):
-                    held.append((doc, print_, k, s, e, xxhash.xxh3_64_intdigest(b" ".join(words)), shingles(words)))
+                for k, s, e, words, kind in paragraphs(text):
+                    held.append((doc, print_, k, s, e, kind, len(words), xxhash.xxh3_64_intdigest(b" ".join(words)), shingles(words)))
                     size += len(words)
                     if size > BATCH_WORDS:
                         yield out(held)
@@ -123,14 +153,16 @@ def _verify(similarity: float):
     def links(bucket):
         import numpy as np
 
-        bucket = list({h: s for h, s in bucket}.items())
+        bucket = list({h: (s, k) for h, s, k in bucket}.items())
         ids = [h for h, _ in bucket]
-        sets = [np.frombuffer(s, np.uint64) for _, s in bucket]
+        sets = [np.frombuffer(s, np.uint64) for _, (s, _) in bucket]
+        kinds = np.array([k for _, (_, k) in bucket])
         sizes = np.array([len(s) for s in sets])
         group = np.arange(len(ids))
         for i in range(len(ids)):
             far = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
             far = far[(np.minimum(sizes[far], sizes[i]) >= similarity * np.maximum(sizes[far], sizes[i]))]
+            far = far[kinds[far] + kinds[i] != SHORT + JOINED]  # a line isn't a copy of what it was joined to
             for j in far.tolist():
                 if group[j] == group[i]:
                     continue
@@ -149,11 +181,11 @@ def _verify(similarity: float):
         held, was = [], None
         for batch in batches:
             found = []
-            for *key, h, s in zip(*(batch.column(c).to_pylist() for c in ("band", "bucket", "x", "y", "h", "shingles"))):
+            for *key, h, s, kind in zip(*(batch.column(c).to_pylist() for c in ("band", "bucket", "x", "y", "h", "shingles", "kind"))):
                 if key != was:
                     found += links(held)
                     held, was = [], key
-                held.append((h, s))
+                held.append((h, s, kind))
             if found:
                 yield out(found)
         if found := list(links(held)):
@@ -165,21 +197,23 @@ def _verify(similarity: float):
 def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, least: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
     """(key, paragraph, start, end, component_id, copies, kept): paragraphs that occur again.
 
-    A paragraph is a line of `least` words or more; two are near if the Jaccard index of their
-    sets of lower-case five-word shingles is `similarity` or more. A row for each paragraph whose
+    A paragraph is a line with words, or several short lines in a row joined; two are near if the
+    Jaccard index of their sets of lower-case five-word shingles is `similarity` or more, those of
+    fewer than `least` words if they are equal. Joined lines meet joined lines and lines of
+    LONG_WORDS or more, and have negative numbers (see paragraphs). A row for each paragraph whose
     component has several: its place in the text (code points), the smallest key that holds one of
     them, their number, and whether it is the first by key, text and place, which stays. Null
     texts count as empty; null keys come first and a component_id can be null; repeated rows repeat
     their paragraphs. Equal paragraphs are one node, whatever their number.
     """
     docs = whole_texts(docs, text, key).select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    rows = stored(docs.mapInArrow(_rows(least), "doc long, print long, no int, start int, end int, h long, bands array<long>"))
-    kinds = stored(rows.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "no", "start", "end")).alias("one"), F.first("bands").alias("bands")))
-    met = kinds.select("h", F.posexplode("bands").alias("band", "bucket"))
+    rows = stored(docs.mapInArrow(_rows(similarity, least), "doc long, print long, no int, start int, end int, kind int, h long, bands array<long>"))
+    kinds = stored(rows.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "no", "start", "end")).alias("one"), F.min("kind").alias("kind"), F.first("bands").alias("bands")))
+    met = kinds.select("h", "kind", F.posexplode("bands").alias("band", "bucket"))
     met = met.withColumn("n", F.count("*").over(Window.partitionBy("band", "bucket"))).where("n > 1")
     met = met.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = stored(met.select("h", "band", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
+    met = stored(met.select("h", "kind", "band", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
     one = kinds.join(met.select("h").distinct(), "h").select("one.doc", "one.print", F.struct("h", "one.start", "one.end").alias("w"))
     one = one.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted"))
     one = small(stored(one), WANTED_ROWS)

@@ -159,6 +159,14 @@ def test_paragraphs_equal_brute_force(spark, corpus, empty, texts_of, prose_of):
     assert paragraphs.repeated_paragraphs(empty).count() == 0 and paragraphs.miss_probability(0.8) < 3e-4
 
 
+def test_short_and_wrapped_lines_are_paragraphs(spark, prose_of):
+    notice, long = "all rights reserved by the owners", prose_of(1, 60).split()
+    wrap = lambda n: "\n".join(" ".join(long[k : k + n]) for k in range(0, 60, n))
+    rows = [(0, wrap(9)), (1, f"{notice}\n\n{wrap(13)}"), (2, f"{notice}\n" + " ".join(long)), (3, "Menu\n" + prose_of(2, 30)), (4, "menu\n\nown"), (5, prose_of(3, 16) + "\nand some more of it")]
+    got = {(x["doc_id"], x["paragraph"]): (x["component_id"], x["copies"], x["kept"]) for x in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, -1): (0, 3, True), (1, -2): (0, 3, False), (2, 1): (0, 3, False), (1, 0): (1, 2, True), (2, 0): (1, 2, False), (3, 0): (3, 2, True), (4, 0): (3, 2, False)}
+
+
 # --- substrings
 def brute_removed(rows, length):
     raw = [t.encode() for _, t in rows]
