@@ -27,10 +27,10 @@ CLASSES = (
     ("base36", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 20, 3.5),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.7),
 )
-#: Candidates that hold one of these aren't secrets: placeholders, alphabets, paths and plain words.
+#: Placeholders and alphabets; a span with too little besides them isn't a secret.
+PLACEHOLDERS = re.compile(r"example|sample|dummy|placeholder|changeme|xxxx|your[_-]|0123456789|abcdefghij|1234567890|qwerty", re.IGNORECASE)
+#: Candidates that are as a whole one of these aren't secrets: numbers, plain words and paths.
 ALLOWED = (
-    re.compile(r"example|sample|dummy|placeholder|changeme|xxxx|your[_-]", re.IGNORECASE),
-    re.compile(r"0123456789|abcdefghij|1234567890|qwerty", re.IGNORECASE),
     re.compile(r"\A[0-9+/_=-]*\Z"),
     re.compile(r"\A[A-Za-z+/_=-]*\Z"),
     re.compile(r"\A[A-Za-z]*[0-9]{1,4}\Z"),
@@ -67,6 +67,12 @@ def entropy_spans(s: str, width: int, least: float) -> list[tuple[int, int]]:
     return spans
 
 
+def _real(span: str, width: int) -> bool:
+    """Whether a span holds a window's worth of characters that no allow-list takes besides placeholders."""
+    rest = PLACEHOLDERS.sub("", span)
+    return rest == span or len(rest) >= width and not any(a.search(rest) for a in ALLOWED)
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind's place in KINDS, end, start of the secret itself), in this order; code points."""
     found = []
@@ -80,7 +86,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, int]]:
         if not s.isalpha():
             found += [(at + m.start(), 2, at + m.end(), at + m.start()) for m in HEX.finditer(s) if len(m[0]) >= HEX_LEAST]
             if not any(a.search(s) for a in ALLOWED):
-                wide = sorted({(at + m.start() + a, at + m.start() + b) for _, chars, width, least in CLASSES for m in chars.finditer(s) for a, b in entropy_spans(m[0], width, least)})
+                wide = sorted({(at + m.start() + a, at + m.start() + b) for _, chars, width, least in CLASSES for m in chars.finditer(s) for a, b in entropy_spans(m[0], width, least) if _real(m[0][a:b], width)})
                 end = -1
                 for k, (a, b) in enumerate(wide):  # merged over the classes
                     if a > end:
