@@ -1,10 +1,15 @@
-"""Byte-level BPE with a hierarchical-bitmap rank queue."""
+"""Byte-level BPE with a hierarchical-bitmap rank queue.
+
+All distinct pre-tokens of a batch of texts lie in one linked list of parts, kept as arrays. A
+bucket per merge rank holds list positions; two levels of bitmaps say which buckets have any, and
+their first set bit is the next rank. Positions whose pair has changed since are stale and skipped.
+A pre-token of megabytes is no trap: each merge costs O(log n).
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
@@ -12,10 +17,11 @@ from motorlode.llm.common import mapped, whole_texts
 
 #: The lower bitmap level has words of 2^WORD ranks; the upper level has a bit for each word.
 WORD, LOW = 8, 255
-#: Bytes of a pre-token from which on buckets are heaps.
-LONG = 256
-#: Chunks and pre-tokens that a worker remembers at most (about 200 bytes each).
-KNOWN = 250_000
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+SLICE_BYTES = 24_000_000
+# Fixed value: the pattern of which it is known that no match reaches over a single space between
+# two other characters, and that a match takes that space before what follows it.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -23,119 +29,232 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
+class RankQueue:
+    """Buckets of positions by rank, and the ranks that have a bucket as two levels of bitmaps."""
+
+    def __init__(self) -> None:
+        self.buckets: dict[int, list] = {}
+        self.words: dict[int, int] = {}
+        self.top = 0
+
+    def push(self, ranks, positions) -> None:
+        """Adds positions, each to the bucket of its rank."""
+        import numpy as np
+
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for a, b, r in zip(cuts, cuts[1:], ranks[cuts[:-1]].tolist()):
+            self.add(r, positions[a:b])
+
+    def add(self, rank: int, positions) -> None:
+        if (bucket := self.buckets.get(rank)) is not None:
+            bucket.append(positions)
+            return
+        self.buckets[rank] = [positions]
+        w = rank >> WORD
+        self.words[w] = self.words.get(w, 0) | 1 << (rank & LOW)
+        self.top |= 1 << w
+
+    def pop(self):
+        """(lowest rank, its positions), which leave the queue; None if it is empty."""
+        import numpy as np
+
+        if not self.top:
+            return None
+        w = (self.top & -self.top).bit_length() - 1
+        word = self.words[w]
+        rank = w << WORD | (word & -word).bit_length() - 1
+        self.words[w] = word = word & word - 1
+        if not word:
+            self.top &= self.top - 1
+        bucket = self.buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
+def ragged(starts, sizes):
+    """Indices of runs one after another, given where each of them starts and its size."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Encodes texts as the rank file's library does, without special tokens, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import numpy as np
         import regex
 
-        self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
-        self.find = regex.compile(pattern).findall
-        self.known, self.chunks, self.pieces = known, {}, {}
+        self.ranks, self.find, self.cuts = ranks, regex.compile(pattern).findall, pattern == SPACE_LED
+        self.span = max(ranks.values(), default=0) + 2
+        pairs = [(a * self.span + b + 1, r, max(a, b)) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
+        pairs.sort()
+        keys, made, parts = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((),) * 3))
+        self.keys, self.made = np.append(keys, np.iinfo(np.int64).max), np.append(made, -1).astype(np.int32)
+        # Ranks of tokens that are part of no token of a lower rank: merging them makes no pair that comes earlier.
+        self.later = np.ones(self.span, bool)
+        early = parts > made
+        for side in (keys[early] // self.span, keys[early] % self.span - 1):
+            self.later[side[side > made[early]]] = False
+        self.bytes = np.array([ranks.get(bytes([c]), -1) for c in range(256)], np.int32)
+        self.pool = np.frombuffer(b"".join(ranks), np.uint8)
+        self.size, self.start = np.zeros(self.span, np.int64), np.zeros(self.span, np.int64)
+        ids, sizes = np.array(list(ranks.values()), np.int64), np.fromiter(map(len, ranks), np.int64, len(ranks))
+        self.size[ids], self.start[ids] = sizes, np.cumsum(sizes) - sizes
+
+    def _rank(self, a, b):
+        """Rank of each two tokens put together; -1 where they make none. A token of -1 is none."""
+        import numpy as np
+
+        key = a.astype(np.int64) * self.span + b + 1
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (b >= 0), self.made[at], np.int32(-1))
+
+    def _early(self, rank: int, at, token, after, before):
+        """Which merges at these positions, made from left to right, make a pair of a lower rank."""
+        import numpy as np
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: a linked list of parts, merged lowest rank first, leftmost on ties.
+        gone = after[at]
+        left = np.where(before[at] >= 0, token[before[at]], -1)
+        left[1:][before[at[1:]] == gone[:-1]] = rank
+        own = np.full(len(at), rank, np.int32)
+        made = np.stack((self._rank(left, own), self._rank(own, token[after[gone]])))
+        return ((made >= 0) & (made < rank)).any(axis=0)
 
-        Buckets hold the positions whose pair has a rank, as a bitmap or, in pre-tokens of over
-        LONG bytes, as a heap. Two bitmap levels hold the ranks with a bucket, and their first set
-        bit is the next rank. A position whose pair has changed since is stale and skipped. Each
-        merge costs O(log n), so a pre-token as long as its document is no trap.
+    def merge_all(self, pieces: list[bytes]):
+        """(ids of the pre-tokens one after another, number of ids of each); lowest rank first, leftmost on ties.
+
+        The merges of a bucket are made at once, but after one that makes a pair of a lower rank the
+        others of its pre-token wait for that pair; `later` has the ranks that never make one.
         """
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n, rank_of = len(piece), ranks.get
-        long = n > LONG
-        after, before, now = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
-        buckets: dict = {}
-        words: dict[int, int] = {}
-        top = 0
-        changed = [(i, r) for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
-        while True:
-            for i, r in changed:
-                now[i] = r
-                bucket = buckets.get(r)
-                if not bucket:
-                    w = r >> WORD
-                    words[w] = words.get(w, 0) | 1 << (r & LOW)
-                    top |= 1 << w
-                    buckets[r] = [i] if long else 1 << i
-                elif long:
-                    heappush(bucket, i)
-                else:
-                    buckets[r] = bucket | 1 << i
-            changed = []
-            if not top:
-                break
-            w = (top & -top).bit_length() - 1
-            word = words[w]
-            r = w << WORD | (word & -word).bit_length() - 1
-            bucket = buckets[r]
-            if long:
-                i = heappop(bucket)
-            else:
-                i = (bucket & -bucket).bit_length() - 1
-                bucket = buckets[r] = bucket & bucket - 1
-            if not bucket:
-                words[w] = word = word & word - 1
-                if not word:
-                    top &= top - 1
-            if now[i] != r:  # stale
+        import numpy as np
+
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        starts = np.cumsum(sizes) - sizes
+        token = self.bytes[np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)]
+        token[starts + sizes - 1] = -1  # an end that joins with nothing
+        total = len(token)
+        after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
+        alive = token >= 0
+        now = np.full(total, -1, np.int32)
+        now[:-1] = self._rank(token[:-1], token[1:])
+        queue = RankQueue()
+        some = np.flatnonzero(now >= 0).astype(np.int32)
+        if len(some):
+            queue.push(now[some], some)
+        while (found := queue.pop()) is not None:
+            rank, at = found
+            at = at[now[at] == rank]  # not stale
+            if len(at) > 1:
+                every = at = np.unique(at)
+                chained = after[at[:-1]] == at[1:]
+                if chained.any():  # every second one of overlapping pairs
+                    place = np.arange(len(at))
+                    first = np.concatenate(([True], ~chained))
+                    at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+                if not self.later[rank] and (early := self._early(rank, at, token, after, before)).any():
+                    piece = np.searchsorted(starts, at, side="right")
+                    upto = np.cumsum(early) - early
+                    at = at[upto == upto[np.searchsorted(piece, piece)]]  # to the first such merge of each pre-token
+                    queue.add(rank, np.setdiff1d(every, at, assume_unique=True))
+            elif not len(at):
                 continue
-            gone = after[i]
-            end = after[i] = after[gone]
-            now[gone] = now[i] = -1
-            if end < n:
-                before[end] = i
-                if (r := rank_of(piece[i : after[end]])) is not None:
-                    changed.append((i, r))
-            if (p := before[i]) >= 0:
-                now[p] = -1
-                if (r := rank_of(piece[p:end])) is not None:
-                    changed.append((p, r))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
-
-    def _piece(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            ids = b"".join(x.to_bytes(4, "little") for x in self.merge(piece.encode()))
-            if len(piece) < 64 and len(self.pieces) < self.known:
-                self.pieces[piece] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk with its leading space; None if its ends aren't safe to cut at."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        ids = b"".join(map(self._piece, self.find(" " + chunk)))
-        if len(chunk) < 64 and len(self.chunks) < self.known:
-            self.chunks[chunk] = ids
-        return ids
+            gone = after[at]
+            end = after[gone]
+            token[at] = rank
+            alive[gone] = False
+            now[gone] = -1
+            after[at] = end
+            before[end] = at
+            left = before[at]
+            left = left[left >= 0]
+            at = np.concatenate((at, left))
+            ranks = self._rank(token[at], token[after[at]])
+            now[at] = ranks
+            good = ranks >= 0
+            if good.any():
+                queue.push(ranks[good], at[good])
+        return token[alive], np.add.reduceat(alive, starts, dtype=np.int64) if len(starts) else starts
+
+    def _pieces(self, pieces: list[str]):
+        """(ids of pre-tokens one after another, number of ids of each): each distinct one is encoded once."""
+        import numpy as np
+        import pyarrow as pa
+
+        known = pa.array(pieces, pa.large_string()).dictionary_encode()
+        distinct = [x.encode() for x in known.dictionary.to_pylist()]
+        whole = np.fromiter((self.ranks.get(x, -1) for x in distinct), np.int64, len(distinct))
+        rest = np.flatnonzero(whole < 0)
+        ids, sizes = self.merge_all([distinct[k] for k in rest])
+        pool = np.concatenate((ids.astype(np.int64), whole))
+        start, size = len(ids) + np.arange(len(distinct)), np.ones(len(distinct), np.int64)
+        start[rest], size[rest] = np.cumsum(sizes) - sizes, sizes
+        code = known.indices.to_numpy(zero_copy_only=False)
+        return pool[ragged(start[code], size[code])].astype("<u4"), size[code]
+
+    def encode_all(self, texts: list[str]):
+        """(ids of all texts one after another as 32-bit integers, where each text's ids end).
+
+        With SPACE_LED, texts are cut at single spaces between two other characters, and each
+        distinct chunk is split into pre-tokens once; texts with other runs of white space, and all
+        texts under any other pattern, are split as a whole.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        known = pc.list_flatten(rows).dictionary_encode()
+        words, code = known.dictionary.to_pylist(), known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+        first = np.cumsum(counts) - counts
+        safe = np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words), bool, len(words))
+        cut = np.logical_and.reduceat(safe[code], first) if len(texts) else np.zeros(0, bool)
+        if not self.cuts:
+            cut[:] = False
+        # units: the distinct words with their space, then texts' first words or whole texts
+        used = np.zeros(len(words), bool)
+        inner = np.repeat(cut, counts)
+        inner[first] = False
+        used[code[inner]] = True
+        some = np.flatnonzero(used)
+        pieces = self.find("".join([" " + words[k] for k in some]))
+        begins = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        per_unit = np.diff(np.append(np.flatnonzero(begins), len(pieces)))
+        number = np.zeros(len(words), np.int64)
+        number[some] = np.arange(len(some))
+        own = [self.find(words[k]) if c else self.find(t) for k, c, t in zip(code[first], cut, texts)]
+        per_unit = np.concatenate((per_unit, np.fromiter(map(len, own), np.int64, len(own))))
+        ids, sizes = self._pieces(pieces + [p for x in own for p in x])
+        last = np.cumsum(per_unit)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        start, stop = ends[last - per_unit], ends[last]
+        # a text is its first unit and the units of its other words
+        keep = inner.copy()
+        keep[first] = True
+        unit = number[code]
+        unit[first] = len(some) + np.arange(len(texts))
+        unit = unit[keep]
+        n = stop[unit] - start[unit]
+        return ids[ragged(start[unit], n)], np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.where(cut, counts, 1))]
+
+    def decode_all(self, ids, ends):
+        """(bytes of all texts one after another, where each text's bytes end), given encode_all's result."""
+        import numpy as np
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+        sizes = self.size[ids]
+        return self.pool[ragged(self.start[ids], sizes)], np.concatenate(([0], np.cumsum(sizes)))[ends]
 
-        No pre-token reaches over a single space between two other characters, so texts are cut
-        there and known chunks are looked up; texts with other runs of white space go as a whole.
-        """
-        first, *rest = text.split(" ")
-        if not first or not first[-1].isspace():
-            ids = list(map(self.chunks.get, rest))
-            if None in ids:
-                for k, x in enumerate(ids):
-                    if x is None and (x := self._chunk(rest[k])) is not None:
-                        ids[k] = x
-                    elif x is None:
-                        break
-            if first and None not in ids:
-                return b"".join(map(self._piece, self.find(first))) + b"".join(ids)
-        return b"".join(map(self._piece, self.find(text)))
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist()))
+        import numpy as np
+
+        return self.decode_all(np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]))[0].tobytes()
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -149,16 +268,30 @@ def encoder(raw: bytes, pattern: str) -> Encoder:
     return _encoders[name]
 
 
+def _sliced(e: Encoder, texts: list[str]):
+    """(ids, decoded bytes) of each text, SLICE_BYTES of them at a time."""
+    k = 0
+    while k < len(texts):
+        j, size = k, 0
+        while j < len(texts) and (j == k or size + len(texts[j]) <= SLICE_BYTES):
+            size += len(texts[j])
+            j += 1
+        ids, ends = e.encode_all(texts[k:j])
+        raw, stops = e.decode_all(ids, ends)
+        a = b = 0
+        for c, d in zip(ends.tolist(), stops.tolist()):
+            yield ids[a:c], raw[b:d]
+            a, b = c, d
+        k = j
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>, decoded binary) of each whole text; null texts count as empty."""
     raw = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())  # a public vocabulary: 50k lines
 
     def run(batch):
-        import numpy as np
-
-        e = encoder(raw.value, pattern)
-        ids = [e.encode(t) for t in batch.column(1).to_pylist()]
-        return {key: batch.column(0), "ids": [np.frombuffer(x, "<i4") for x in ids], "decoded": [e.decode(x) for x in ids]}
+        both = list(_sliced(encoder(raw.value, pattern), batch.column(1).to_pylist()))
+        return {key: batch.column(0), "ids": [x.view("<i4") for x, _ in both], "decoded": [x.tobytes() for _, x in both]}
 
     return mapped(whole_texts(docs, text, key), run, f"{key} long, ids array<int>, decoded binary")
 
@@ -172,9 +305,8 @@ def token_digests(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     raw = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())
 
     def run(batch):
-        e = encoder(raw.value, pattern)
-        ids = [e.encode(t) for t in batch.column(1).to_pylist()]
-        sha = hashlib.sha256
-        return {key: batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x).hexdigest() for x in ids], "decoded_sha256": [sha(e.decode(x)).hexdigest() for x in ids]}
+        rows = [(len(x), hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in _sliced(encoder(raw.value, pattern), batch.column(1).to_pylist())]
+        n, ids, decoded = zip(*rows)
+        return {key: batch.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return mapped(whole_texts(docs, text, key), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

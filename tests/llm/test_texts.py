@@ -109,7 +109,7 @@ def test_extract_edges(spark):
 # --- tokens
 def test_tokens_equal_the_library(prose_of):
     tiktoken = pytest.importorskip("tiktoken")
-    e = bpe.Encoder(bpe.load_ranks(open(RANKS, "rb").read()), P.PATTERN, known=50)
+    e = bpe.Encoder(bpe.load_ranks(open(RANKS, "rb").read()), P.PATTERN)
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
     r = random.Random(1)
     alphabet = "ab 's  \n\t1é  \x1c\x85​中😀'tT.,- re"
@@ -118,6 +118,24 @@ def test_tokens_equal_the_library(prose_of):
         ids = e.encode(text)
         assert list(memoryview(ids).cast("I")) == t.encode_ordinary(text), text[:50]
         assert e.decode(ids) == text.encode()
+    ids, ends = e.encode_all(some)  # all in one list
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [t.encode_ordinary(x) for x in some]
+
+
+def test_rank_queue_takes_pairs_that_come_earlier_first():
+    """Random vocabularies, in which a merge often makes a pair of a lower rank, and other patterns."""
+    import tiktoken
+
+    r = random.Random(4)
+    for pattern in (r"\s+|\S+", P.PATTERN, r"[^|]+|\|"):
+        for _ in range(30):
+            ranks = {bytes([c]): c for c in range(256)}
+            while len(ranks) < 320:
+                ranks.setdefault(bytes(r.choices(b"abc ", k=r.randint(2, 5))), len(ranks))
+            e, t = bpe.Encoder(ranks, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for _ in range(20):
+                text = "".join(r.choices("abc |", k=r.randint(0, 60)))
+                assert list(memoryview(e.encode(text)).cast("I")) == t.encode_ordinary(text), text
 
 
 def test_token_digests_edges(corpus, empty, texts_of):
