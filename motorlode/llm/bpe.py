@@ -17,8 +17,8 @@ from motorlode.llm.common import mapped, whole_texts
 
 #: The lower bitmap level has words of 2^WORD ranks; the upper level has a bit for each word.
 WORD, LOW = 8, 255
-#: Bytes of text that are encoded at once; a longer text is encoded alone.
-SLICE_BYTES = 24_000_000
+#: Code points of text that are encoded at once; a longer text is encoded alone.
+SLICE_BYTES = 6_000_000
 # Fixed value: the pattern of which it is known that no match reaches over a single space between
 # two other characters, and that a match takes that space before what follows it.
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -240,13 +240,6 @@ class Encoder:
         n = stop[unit] - start[unit]
         return ids[ragged(start[unit], n)], np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.where(cut, counts, 1))]
 
-    def decode_all(self, ids, ends):
-        """(bytes of all texts one after another, where each text's bytes end), given encode_all's result."""
-        import numpy as np
-
-        sizes = self.size[ids]
-        return self.pool[ragged(self.start[ids], sizes)], np.concatenate(([0], np.cumsum(sizes)))[ends]
-
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         return self.encode_all([text])[0].tobytes()
@@ -254,7 +247,8 @@ class Encoder:
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
 
-        return self.decode_all(np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]))[0].tobytes()
+        ids = np.frombuffer(ids, "<u4")
+        return self.pool[ragged(self.start[ids], self.size[ids])].tobytes()
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -269,7 +263,7 @@ def encoder(raw: bytes, pattern: str) -> Encoder:
 
 
 def _sliced(e: Encoder, texts: list[str]):
-    """(ids, decoded bytes) of each text, SLICE_BYTES of them at a time."""
+    """Ids of each text; SLICE_BYTES code points are encoded together."""
     k = 0
     while k < len(texts):
         j, size = k, 0
@@ -277,11 +271,8 @@ def _sliced(e: Encoder, texts: list[str]):
             size += len(texts[j])
             j += 1
         ids, ends = e.encode_all(texts[k:j])
-        raw, stops = e.decode_all(ids, ends)
-        a = b = 0
-        for c, d in zip(ends.tolist(), stops.tolist()):
-            yield ids[a:c], raw[b:d]
-            a, b = c, d
+        ends = [0, *ends.tolist()]
+        yield from (ids[a:b] for a, b in zip(ends, ends[1:]))
         k = j
 
 
@@ -290,8 +281,9 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     raw = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())  # a public vocabulary: 50k lines
 
     def run(batch):
-        both = list(_sliced(encoder(raw.value, pattern), batch.column(1).to_pylist()))
-        return {key: batch.column(0), "ids": [x.view("<i4") for x, _ in both], "decoded": [x.tobytes() for _, x in both]}
+        e = encoder(raw.value, pattern)
+        ids = [x.view("<i4") for x in _sliced(e, batch.column(1).to_pylist())]
+        return {key: batch.column(0), "ids": ids, "decoded": [e.decode(x.tobytes()) for x in ids]}
 
     return mapped(whole_texts(docs, text, key), run, f"{key} long, ids array<int>, decoded binary")
 
@@ -305,8 +297,9 @@ def token_digests(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     raw = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())
 
     def run(batch):
-        rows = [(len(x), hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in _sliced(encoder(raw.value, pattern), batch.column(1).to_pylist())]
-        n, ids, decoded = zip(*rows)
+        e = encoder(raw.value, pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        n, ids, decoded = zip(*((len(x), sha(x), sha(e.decode(x.tobytes()))) for x in _sliced(e, batch.column(1).to_pylist())))
         return {key: batch.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return mapped(whole_texts(docs, text, key), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
