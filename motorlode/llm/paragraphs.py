@@ -1,32 +1,36 @@
-"""Paragraph dedup: MinHash banding, exact Jaccard, and components of near-equal paragraphs."""
+"""Paragraph dedup: MinHash banding, exact Jaccard, and components of near-equal paragraphs.
 
-from __future__ import annotations
+Paragraphs are lines, short lines joined, and pieces: runs of PIECE words at places that the words
+themselves choose, wherever lines begin and end. Two texts that have SHARED words in a row in common
+choose a place in them alike, so a passage within longer or otherwise broken lines is found too.
+"""
 
-import re
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import small, stored, whole_texts
+from motorlode.llm.common import stored, whole_texts
 from motorlode.llm.components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Words of the shortest line that is compared by shingles; shorter ones meet where they are equal.
-LEAST_WORDS = 5
 #: Lines of fewer words are also joined with such lines next to them, to paragraphs of as many words or more.
 LONG_WORDS = 20
-#: Bands and rows of the signature: a pair at the similarity meets with probability 0.9998.
-BANDS, ROWS = 16, 4
+#: Words of a piece, and of the shortest run that any two texts with it choose a piece in alike.
+PIECE, SHARED = 16, 50
+#: Bands and rows of the signature: a pair at the similarity meets with probability 0.9992.
+BANDS, ROWS = 10, 3
 #: Paragraphs of one bucket that are compared in one task; a larger bucket is split.
 BLOCK = 1024
-#: Documents with candidates up to which these are broadcast; more of them shuffle the documents.
-WANTED_ROWS = 200_000
-#: Words whose shingles are held at once.
-BATCH_WORDS = 200_000
+#: Bytes of the places of paragraphs to compare up to which these are broadcast; beyond, documents are shuffled.
+WANTED_BYTES = 16 << 20
+#: Bytes of text whose words are held at once; a longer text is taken alone.
+SLICE_BYTES = 2_000_000
+#: Bits that number the words of a slice.
+PLACE_BITS = 27
 
-_PARAGRAPH = re.compile(r"[^\n\r]+")
-_MIX = 0x9E3779B97F4A7C15
+_MIX, _BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 def miss_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -34,52 +38,115 @@ def miss_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) ->
     return (1 - similarity**rows) ** bands
 
 
-#: What a node is: a line of LONG_WORDS or more, a shorter line, or lines joined and nowhere a line.
-LONG, SHORT, JOINED = 0, 1, 2
-
+#: What a paragraph is: a line of LONG_WORDS or more, a shorter line, lines joined, or a piece.
+LONG, SHORT, JOINED, PIECES = 0, 1, 2, 3
 
-def paragraphs(text: str):
-    """(number, start, end, words, kind) of all lines with words and of joined lines; lower-case words as bytes.
 
-    Joined are two or more lines in a row of fewer than LONG_WORDS words, without an empty line
-    between them; their number is -1 less that of the first of them.
-    """
-    run: list = []
-
-    def joined():
-        words = [w for x in run for w in x[3]]
-        if len(run) > 1 and len(words) >= LONG_WORDS:
-            yield -1 - run[0][0], run[0][1], run[-1][2], words, JOINED
-
-    for k, m in enumerate(_PARAGRAPH.finditer(text)):
-        words = m[0].lower().encode().split()
-        short = 0 < len(words) < LONG_WORDS
-        if run and not (short and text[run[-1][2] : m.start()] in ("\n", "\r", "\r\n")):
-            yield from joined()
-            run = []
-        if words:
-            line = k, m.start(), m.end(), words, SHORT if short else LONG
-            yield line
-            if short:
-                run.append(line)
-    yield from joined()
-
-
-def shingles(words):
-    """Hashes of all word shingles, repeats included; of all words together if they are fewer."""
+def _mixed(h):
     import numpy as np
-    import xxhash
-
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(w) - WORDS + 1)
-    h = w[:n].copy()
-    for k in range(1, min(WORDS, len(w))):
-        h = h * np.uint64(_MIX) + w[k : k + n]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+
+    h = h ^ h >> np.uint64(31)
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(30)
 
 
+class Words:
+    """The words of some texts: hashes, and where they begin and end; lower case, by ASCII white space."""
+
+    def __init__(self, texts: list[str]) -> None:
+        import numpy as np
+        import xxhash
+
+        self.raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, self.raw), np.int64, len(texts)) + 2
+        b = np.frombuffer(b"\n\n".join([*self.raw, b""]), np.uint8)
+        space = (b == 32) | (b >= 9) & (b <= 13)
+        edge = np.diff(np.concatenate(([1], space.astype(np.int8), [1])))
+        self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.begins = np.cumsum(sizes) - sizes
+        self.text = np.searchsorted(self.begins, self.start, side="right") - 1
+        newline = b == 10
+        newline[:-1] |= (b[:-1] == 13) & (b[1:] != 10)
+        self.line = np.cumsum(newline, dtype=np.int32)[self.start]
+        points = np.concatenate(([0], np.cumsum(b & 0xC0 != 0x80, dtype=np.int32)))
+        self.point = lambda at, text: points[at] - points[self.begins[text]]  # place in the text as code points
+        words = b"\n\n".join(t.lower().encode() for t in texts).split()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        with np.errstate(over="ignore"):
+            power, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
+
+    def hashes(self, at, n):
+        """A hash of the n words from each of some places on; it depends on these words alone."""
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return _mixed((self.sums[at + n] - self.sums[at]) * self.back[at] + np.asarray(n).astype(np.uint64) * np.uint64(_MIX))
+
+    def lines(self):
+        """(first word, words, kind) of all lines, short lines joined, and pieces.
+
+        Joined are two or more lines in a row of fewer than LONG_WORDS words, without an empty line
+        between them, of as many words or more together.
+        """
+        import numpy as np
+
+        m = len(self.start)
+        if not m:
+            return (np.zeros(0, np.int64),) * 3
+        at = np.flatnonzero(np.concatenate(([True], self.line[1:] != self.line[:-1])))
+        n = np.diff(np.append(at, m))
+        short = n < LONG_WORDS
+        follows = np.zeros(len(at), bool)
+        follows[1:] = short[1:] & short[:-1] & (np.diff(self.line[at]) == 1)
+        run = np.cumsum(~follows) - 1
+        first = np.flatnonzero(~follows)
+        total = np.bincount(run, n).astype(np.int64)
+        some = (np.bincount(run) > 1) & (total >= LONG_WORDS)
+        pieces = self.pieces()
+        kinds = np.where(short, SHORT, LONG), np.full(some.sum(), JOINED), np.full(len(pieces), PIECES)
+        return np.concatenate((at, at[first[some]], pieces)), np.concatenate((n, total[some], np.full(len(pieces), PIECE))), np.concatenate(kinds)
+
+    def pieces(self):
+        """First words of the pieces: of each SHARED words in a row, the PIECE words of the smallest hash."""
+        import numpy as np
+
+        m, window = len(self.start), SHARED - PIECE + 1
+        if m < SHARED:
+            return np.zeros(0, np.int64)
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        h = self.hashes(np.arange(m - PIECE + 1), PIECE) & ~low | np.arange(m - PIECE + 1, dtype=np.uint64)
+        least, p = h, 1
+        while 2 * p <= window:
+            least = np.minimum(least[:-p], least[p:])
+            p *= 2
+        count = len(h) - window + 1
+        least = np.minimum(least[:count], least[window - p : window - p + count])
+        inside = self.text[:count] == self.text[SHARED - 1 : SHARED - 1 + count]  # all of its words are of one text
+        return np.unique((least[inside] & low).astype(np.int64))
+
+
+def sliced(texts):
+    """Lists of places of `texts` of SLICE_BYTES code points together."""
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        if held and size + len(t) > SLICE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(k)
+        size += len(t)
+    if held:
+        yield held
+
+
+def ragged(starts, sizes):
+    """Places of runs one after another, given where each of them starts and its size."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def band_keys(hashes, cuts):
     """A row of BANDS keys for each run of hashes that begins at a cut."""
     import numpy as np
@@ -87,7 +154,7 @@ def band_keys(hashes, cuts):
     keys = np.empty((len(cuts), BANDS), np.uint64)
     seed = np.uint64(_MIX)
     for b in range(BANDS):
-        key = np.zeros(len(cuts), np.uint64)
+        key = np.full(len(cuts), b + 1, np.uint64)
         for r in range(ROWS):
             seed = seed * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
             low = np.minimum.reduceat((hashes ^ seed) * (seed | np.uint64(1)), cuts)
@@ -97,38 +164,37 @@ def band_keys(hashes, cuts):
     return keys.view(np.int64)
 
 
-def _rows(similarity: float, least: int):
-    # Different sets of fewer shingles are less similar; equal ones share each band.
+def _rows(similarity: float):
+    # Different sets of fewer shingles are less similar; such lines and pieces meet where they are equal.
     few = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
-
-        def out(held):
-            doc, print_, no, start, end, kind, words, print_of, sets = zip(*held)
-            cuts = np.cumsum([0, *map(len, sets)])[:-1]
-            with np.errstate(over="ignore"):
-                keys = band_keys(np.concatenate(sets), cuts)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            arrays = [pa.array(c, t) for c, t in zip((doc, print_, no, start, end, kind), types)]
-            bands_of = np.where(np.array(words) < least, 0, np.where([len(s) < few for s in sets], 1, BANDS))
-            used = np.arange(BANDS) < bands_of[:, None]
-            bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *bands_of]), pa.int32()), pa.array(keys[used]))
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(print_of, np.uint64).view(np.int64)), bands], names=["doc", "print", "no", "start", "end", "kind", "h", "bands"])
 
         for batch in batches:
-            held, size = [], 0
-            for doc, print_, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                for k, s, e, words, kind in paragraphs(text):
-                    held.append((doc, print_, k, s, e, kind, len(words), xxhash.xxh3_64_intdigest(b" ".join(words)), shingles(words)))
-                    size += len(words)
-                    if size > BATCH_WORDS:
-                        yield out(held)
-                        held, size = [], 0
-            if held:
-                yield out(held)
+            texts = batch.column(2).to_pylist()
+            for some in sliced(texts):
+                w = Words([texts[k] for k in some])
+                at, n, kind = w.lines()
+                if not len(at):
+                    continue
+                text = w.text[at]
+                own = pa.array(np.array(some)[text])
+                signed = np.flatnonzero((kind != PIECES) & (n - WORDS + 1 >= few))
+                sizes = n[signed] - WORDS + 1
+                bands = np.zeros((0, BANDS), np.int64)
+                if len(signed):
+                    with np.errstate(over="ignore"):
+                        bands = band_keys(w.hashes(ragged(at[signed], sizes), WORDS), np.cumsum(sizes) - sizes)
+                counts = np.zeros(len(at), np.int64)
+                counts[signed] = BANDS
+                columns = {
+                    "h": pa.array(w.hashes(at, n).view(np.int64)), "doc": batch.column(0).take(own), "print": batch.column(1).take(own), "at": pa.array((at - np.searchsorted(w.text, text)).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
+                    "start": pa.array(w.point(w.start[at], text).astype(np.int32)), "end": pa.array(w.point(w.end[at + n - 1], text).astype(np.int32)), "kind": pa.array(kind.astype(np.int32)),
+                    "bands": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(bands.reshape(-1))),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -139,10 +205,12 @@ def _fetch(batches):
     import pyarrow as pa
 
     for batch in batches:
-        out = []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out += [(w["h"], np.unique(shingles(text[w["start"] : w["end"]].lower().encode().split())).tobytes()) for w in wanted]
-        if out:
+        texts, wanted = (batch.column(c).to_pylist() for c in range(2))
+        for some in sliced(texts):
+            w, out = Words([texts[k] for k in some]), []
+            firsts = np.searchsorted(w.text, np.arange(len(some))).tolist()
+            for k, first in zip(some, firsts):
+                out += [(x["h"], np.unique(w.hashes(np.arange(first + x["at"], first + x["at"] + x["n"] - WORDS + 1), WORDS)).tobytes()) for x in wanted[k]]
             h, sets = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sets, pa.binary())], names=["h", "shingles"])
 
@@ -181,7 +249,7 @@ def _verify(similarity: float):
         held, was = [], None
         for batch in batches:
             found = []
-            for *key, h, s, kind in zip(*(batch.column(c).to_pylist() for c in ("band", "bucket", "x", "y", "h", "shingles", "kind"))):
+            for *key, h, s, kind in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "h", "shingles", "kind"))):
                 if key != was:
                     found += links(held)
                     held, was = [], key
@@ -194,36 +262,76 @@ def _verify(similarity: float):
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, least: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
-    """(key, paragraph, start, end, component_id, copies, kept): paragraphs that occur again.
+def _near(docs: DataFrame, kinds: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(node, component_id) of different paragraphs that are near others; `kinds` has one row for each."""
+    met = kinds.select("h", "kind", F.explode("bands").alias("bucket"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = met.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = stored(met.select("h", "kind", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
+    one = kinds.join(met.select("h").distinct(), "h").select("one.doc", "one.print", F.struct("h", "one.at", "one.n").alias("w"))
+    one = stored(one.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted")))  # a document's own lines
+    held = one.agg(F.sum(F.size("wanted") * 24 + 64)).first()[0] or 0
+    texts = docs.join(F.broadcast(one) if held <= WANTED_BYTES else one, docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"]))
+    sets = texts.select("text", "wanted").mapInArrow(_fetch, "h long, shingles binary")
+    keys = ["bucket", "x", "y"]
+    near = met.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(similarity), "u long, v long")
+    return connected_components(near, "u", "v")
+
+
+def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(key, print, kind, first, words, start, end, component_id, copies, kept): paragraphs that occur again.
 
-    A paragraph is a line with words, or several short lines in a row joined; two are near if the
-    Jaccard index of their sets of lower-case five-word shingles is `similarity` or more, those of
-    fewer than `least` words if they are equal. Joined lines meet joined lines and lines of
-    LONG_WORDS or more, and have negative numbers (see paragraphs). A row for each paragraph whose
-    component has several: its place in the text (code points), the smallest key that holds one of
-    them, their number, and whether it is the first by key, text and place, which stays. Null
-    texts count as empty; null keys come first and a component_id can be null; repeated rows repeat
-    their paragraphs. Equal paragraphs are one node, whatever their number.
+    A paragraph is a line with words, several short lines in a row joined, or a piece (see Words).
+    Lines are near if the Jaccard index of their sets of lower-case five-word shingles is
+    `similarity` or more, those of fewer than five words if they are equal. Joined lines meet joined
+    lines and lines of LONG_WORDS or more. Pieces meet where they are equal: so few shingles hold no
+    edit at this similarity. A row for each paragraph whose component has several: a hash of its
+    text, its kind, first word and words, its place in the text (code points), the smallest key that
+    holds one of them, their number, and whether it is the first by key, text and place, which
+    stays. Null texts count as empty; null keys come first and a component_id can be null; repeated
+    rows repeat their paragraphs. Equal paragraphs are one node, whatever their number.
     """
     docs = whole_texts(docs, text, key).select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    rows = stored(docs.mapInArrow(_rows(similarity, least), "doc long, print long, no int, start int, end int, kind int, h long, bands array<long>"))
-    kinds = stored(rows.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "no", "start", "end")).alias("one"), F.min("kind").alias("kind"), F.first("bands").alias("bands")))
-    met = kinds.select("h", "kind", F.posexplode("bands").alias("band", "bucket"))
-    met = met.withColumn("n", F.count("*").over(Window.partitionBy("band", "bucket"))).where("n > 1")
-    met = met.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = stored(met.select("h", "kind", "band", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
-    one = kinds.join(met.select("h").distinct(), "h").select("one.doc", "one.print", F.struct("h", "one.start", "one.end").alias("w"))
-    one = one.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted"))
-    one = small(stored(one), WANTED_ROWS)
-    same = docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"])
-    sets = docs.join(one, same).select("text", "wanted").mapInArrow(_fetch, "h long, shingles binary")
-    keys = ["band", "bucket", "x", "y"]
-    near = met.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(similarity), "u long, v long")
-    groups = connected_components(near, "u", "v")
-    rooted = kinds.join(groups, kinds["h"] == groups["node"], "left").select("h", "times", "one", F.coalesce("component_id", "h").alias("root"))
-    several = rooted.groupBy("root").agg(F.sum("times").alias("copies"), F.min("one").alias("first")).where("copies > 1")
-    named = rooted.join(several, "root").select("h", "copies", "first")
-    place = F.struct("doc", "print", "no")
-    return rows.drop("bands").join(named, "h").select(F.col("doc").alias(key), F.col("no").alias("paragraph"), "start", "end", F.col("first.doc").alias("component_id"), "copies", place.eqNullSafe(F.struct("first.doc", "first.print", "first.no")).alias("kept"))
+    rows = stored(docs.mapInArrow(_rows(similarity), "h long, doc long, print long, at int, n int, start int, end int, kind int, bands array<long>"))
+    place = F.struct("doc", "print", "at", "n")
+    lines = rows.where(F.col("kind") < PIECES)
+    kinds = stored(lines.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("one"), F.min("kind").alias("kind"), F.first("bands").alias("bands")).where((F.size("bands") > 0) | (F.col("times") > 1)))
+    groups = _near(docs, kinds.where(F.size("bands") > 0), similarity, block)
+    rooted = kinds.join(groups, kinds["h"] == groups["node"], "left").where("times > 1 or component_id is not null").select("h", "times", "one", F.coalesce("component_id", "h").alias("root"))
+    several = rooted.groupBy("root").agg(F.sum("times").alias("copies"), F.min("one").alias("one"))
+    named = rooted.select("h", "root").join(several, "root").select("h", "copies", "one")
+    found = lines.drop("bands").join(named, "h")
+    pieces = rows.where(F.col("kind") == PIECES).drop("bands")
+    again = pieces.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
+    pieces = stored(pieces.join(again, "h"))
+    pieces = pieces.join(pieces.groupBy("h").agg(F.min(place).alias("one")), "h")
+    found = found.unionByName(pieces)
+    return found.select(F.col("doc").alias(key), "print", "kind", F.col("at").alias("first"), F.col("n").alias("words"), "start", "end", F.col("one.doc").alias("component_id"), "copies", place.eqNullSafe(F.col("one")).alias("kept"))
+
+
+def document_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, longest, repeated_words, n_repeated, n_dropped, first_seen) of every document.
+
+    Of its repeated paragraphs, where they overlap or touch taken together: the words of the longest
+    and of all; their number, how many aren't the first of their kind, and the keys that have the
+    first of these, ascending and without nulls. Documents without any have zeros and no keys;
+    repeated rows stay.
+    """
+    found = repeated_paragraphs(docs, text, key)
+    zero = F.lit(0)
+    spans = F.array_sort(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("words")).alias("b"))))
+    by = found.groupBy(F.col(key).alias("doc"), "print").agg(spans.alias("spans"), F.count("*").alias("n_repeated"), F.sum((~F.col("kept")).cast("long")).alias("n_dropped"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("component_id")))).alias("first_seen"))
+    # an open span, the longest so far and the words of the closed ones
+    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("longest"), zero.alias("total"))
+
+    def step(s, x):
+        joins = x["a"] <= s["b"]
+        a, b = F.when(joins, s["a"]).otherwise(x["a"]), F.when(joins, F.greatest(s["b"], x["b"])).otherwise(x["b"])
+        return F.struct(a.alias("a"), b.alias("b"), F.greatest(s["longest"], b - a).alias("longest"), (s["total"] + F.when(joins, zero).otherwise(s["b"] - s["a"])).alias("total"))
+
+    by = by.withColumn("m", F.aggregate("spans", start, step))
+    own = docs.select(F.col(key).alias("doc_"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print_"))
+    out = own.join(by, own["doc_"].eqNullSafe(by["doc"]) & (own["print_"] == by["print"]), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select(F.col("doc_").alias(key), count(F.col("m.longest")).alias("longest"), count(F.col("m.total") + F.col("m.b") - F.col("m.a")).alias("repeated_words"), count(F.col("n_repeated")).alias("n_repeated"), count(F.col("n_dropped")).alias("n_dropped"), F.coalesce("first_seen", F.array().cast("array<long>")).alias("first_seen"))

@@ -39,7 +39,7 @@ def op6_mixing(spark, sf_dir):
 
 
 def op8_paragraphs(spark, sf_dir):
-    return paragraphs.repeated_paragraphs(read(spark, sf_dir, "documents"))
+    return paragraphs.document_repeats(read(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark, sf_dir):

@@ -126,10 +126,11 @@ def test_near_fingerprints_link_in_split_buckets(spark):
 
 
 # --- paragraphs
-def brute_paragraphs(rows, least=paragraphs.LEAST_WORDS):
-    found = [(i, k, m.start(), m.end(), tuple(m[0].lower().split())) for i, t in rows for k, m in enumerate(re.finditer(r"[^\n\r]+", t)) if len(m[0].split()) >= least]
-    kinds = sorted({p[4] for p in found})
-    sets = [{w[k : k + 5] for k in range(len(w) - 4)} for w in kinds]
+def brute_paragraphs(rows):
+    """Rows of all lines, by comparing all pairs of those of five words or more; fewer words: equal ones."""
+    found = [(i, m.start() + len(m[0]) - len(m[0].lstrip(" ")), m.start() + len(m[0].rstrip(" ")), tuple(m[0].lower().split())) for i, t in rows for m in re.finditer(r"[^\n\r]+", t) if m[0].split()]
+    kinds = sorted({p[3] for p in found})
+    sets = [{w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in kinds]
     u = Union()
     for i in range(len(kinds)):
         u.root(i)
@@ -138,33 +139,62 @@ def brute_paragraphs(rows, least=paragraphs.LEAST_WORDS):
                 u.join(i, j)
     groups = defaultdict(list)
     for p in found:
-        groups[u.root(kinds.index(p[4]))].append(p)
-    return Counter((*p[:4], min(((x[0] is not None, x[0]) for x in g))[1], len(g)) for g in groups.values() if len(g) > 1 for p in g)
+        groups[u.root(kinds.index(p[3]))].append(p)
+    return Counter((*p[:3], min(((x[0] is not None, x[0]) for x in g))[1], len(g)) for g in groups.values() if len(g) > 1 for p in g)
+
+
+def line_rows(found):
+    return Counter((x["doc_id"], x["start"], x["end"], x["component_id"], x["copies"]) for x in found if x["kind"] < paragraphs.JOINED)
 
 
 def test_paragraphs_equal_brute_force(spark, corpus, empty, texts_of, prose_of):
     r = random.Random(3)
-    rows = texts_of(corpus)
+    rows = [(i, t.replace("\t", " ")) for i, t in texts_of(corpus)]
     for i in range(100, 160):
         words = prose_of(i % 7, 60).split()
         for _ in range(r.randrange(3)):
             words[r.randrange(60)] = "edit"
-        rows.append((i, f"own {i} line\n" + " ".join(words) + "\n" + prose_of(i + 1000, 40)))
+        rows.append((i, f"own {i} line\n" + " ".join(words) + "\r\n" + prose_of(i + 1000, 40) + "\n\n" + prose_of(i % 9, 4 + i % 12)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_paragraphs(rows)
     for block in (1024, 5):
         got = paragraphs.repeated_paragraphs(docs, block=block).collect()
-        assert Counter(tuple(x)[:6] for x in got) == want
+        assert line_rows(got) == want
     assert 0 < sum(x["kept"] for x in got) < len(got)
-    assert paragraphs.repeated_paragraphs(empty).count() == 0 and paragraphs.miss_probability(0.8) < 3e-4
+    assert paragraphs.repeated_paragraphs(empty).count() == 0 and paragraphs.document_repeats(empty).count() == 0 and paragraphs.miss_probability(0.8) < 1e-3
 
 
 def test_short_and_wrapped_lines_are_paragraphs(spark, prose_of):
     notice, long = "all rights reserved by the owners", prose_of(1, 60).split()
     wrap = lambda n: "\n".join(" ".join(long[k : k + n]) for k in range(0, 60, n))
     rows = [(0, wrap(9)), (1, f"{notice}\n\n{wrap(13)}"), (2, f"{notice}\n" + " ".join(long)), (3, "Menu\n" + prose_of(2, 30)), (4, "menu\n\nown"), (5, prose_of(3, 16) + "\nand some more of it")]
-    got = {(x["doc_id"], x["paragraph"]): (x["component_id"], x["copies"], x["kept"]) for x in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(0, -1): (0, 3, True), (1, -2): (0, 3, False), (2, 1): (0, 3, False), (1, 0): (1, 2, True), (2, 0): (1, 2, False), (3, 0): (3, 2, True), (4, 0): (3, 2, False)}
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(x["doc_id"], x["first"], x["words"]): (x["component_id"], x["copies"], x["kept"]) for x in found if x["kind"] != paragraphs.PIECES}
+    assert got == {(0, 0, 60): (0, 3, True), (1, 6, 60): (0, 3, False), (2, 6, 60): (0, 3, False), (1, 0, 6): (1, 2, True), (2, 0, 6): (1, 2, False), (3, 0, 1): (3, 2, True), (4, 0, 1): (3, 2, False)}
+
+
+def test_passages_within_longer_lines_are_found(spark, monkeypatch, prose_of):
+    """Every 50 words in a row that two texts share hold a piece; pieces found are in two texts indeed."""
+    monkeypatch.setattr(paragraphs, "SLICE_BYTES", 5000)
+    r, passage = random.Random(5), prose_of(77, 50).split()
+    rows = []
+    for i in range(30):
+        words = prose_of(i + 200, 300).split()
+        at = r.randrange(300)
+        words[at:at] = passage if i % 2 else []
+        rows.append((i, "".join(w + r.choice([" "] * 9 + ["\n", "\u00e9 "]) if not at <= k < at + 49 or not i % 2 else w + " " for k, w in enumerate(words))))
+    rows += [(40, prose_of(300, 19)), (41, "x\n" + prose_of(300, 19)), (42, None), (None, "alone"), (43, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [x for x in paragraphs.repeated_paragraphs(docs).collect() if x["kind"] == paragraphs.PIECES]
+    texts = {i: t.lower().split() for i, t in rows if t}
+    runs = Counter(tuple(t[k : k + paragraphs.PIECE]) for t in texts.values() for k in range(len(t) - paragraphs.PIECE + 1))
+    assert all(runs[tuple(texts[x["doc_id"]][x["first"] : x["first"] + x["words"]])] > 1 for x in found)
+    assert {x["doc_id"] for x in found} == set(range(1, 30, 2))
+    for x in found:
+        assert dict(rows)[x["doc_id"]][x["start"] : x["end"]].lower().split() == texts[x["doc_id"]][x["first"] : x["first"] + x["words"]]
+    by = {x["doc_id"]: x for x in paragraphs.document_repeats(docs).collect()}
+    assert len(by) == len(rows) and all((by[i]["longest"] >= paragraphs.PIECE) == bool(i % 2) for i in range(30))
+    assert by[40]["longest"] == by[41]["repeated_words"] == 19 and by[41]["first_seen"] == [40] and by[40]["n_dropped"] == 0 and by[42]["longest"] == by[None]["longest"] == 0
 
 
 # --- substrings
