@@ -170,7 +170,7 @@ def _count(vocabulary, bits: int):
     def run(batches):
         import numpy as np
 
-        known = vocabulary.value
+        (known,) = unpacked(vocabulary.value)
         for texts, toxic in _held(batches):
             v, w, doc = pairs_of(texts, known)
             y = toxic[doc]
@@ -262,9 +262,9 @@ def _discount(n1: int, n2: int) -> float:
 
 
 class Model:
-    """Log-likelihood ratios of words, toxic against ordinary."""
+    """Log-likelihood ratios of words, toxic against ordinary, and the bits of the words after and before each."""
 
-    def __init__(self, sums, times) -> None:
+    def __init__(self, sums, bits, times) -> None:
         import numpy as np
 
         kept = sums[4:, 1:]  # contexts of a word; the start of a text is none
@@ -278,11 +278,21 @@ class Model:
             word = (np.maximum(k - d, 0) + max(1.0, d * (k > 0).sum()) * shared) / (total + max(0.0, 1.0 - d * (k > 0).sum()))
             d = _discount(*map(int, times[2 * c : 2 * c + 2]))
             self.discount.append(d)
-            self.context.append(np.maximum(context, 1))
+            self.context.append(np.maximum(context, 1).astype(np.float32))
             self.back.append(np.where(context > 0, d * follow / np.maximum(context, 1), 1.0).astype(np.float32))
             self.word.append(np.concatenate(([1.0], word)).astype(np.float32))
+        self.follow, self.lead = bits
         self.usable = bool(sums[0].any() and sums[1].any())
 
+    def __getstate__(self):  # as it is broadcast
+        import numpy as np
+
+        return self.discount, self.usable, packed(np.arange(len(self.follow)), *self.context, *self.back, *self.word, self.follow, self.lead)
+
+    def __setstate__(self, state):
+        self.discount, self.usable, (_, *columns) = *state[:2], unpacked(state[2])
+        self.context, self.back, self.word, (self.follow, self.lead) = (columns[k : k + 2] for k in (0, 2, 4, 6))
+
     def backed_off(self):
         """What a word as the previous one and as the word itself adds where the pair is unknown."""
         import numpy as np
@@ -299,7 +309,7 @@ class Model:
         return np.log(high[1] / low[1]) - np.log(high[0] / low[0])
 
 
-def _ask(vocabulary, weights, bits: int):
+def _ask(vocabulary, model, bits: int):
     """Of each batch of texts, a row with what needs no pairs and one for each block whose pairs occur."""
 
     def run(batches):
@@ -307,7 +317,8 @@ def _ask(vocabulary, weights, bits: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        known, (before, strength, follow, lead) = vocabulary.value, weights.value
+        (known,), follow, lead = unpacked(vocabulary.value), model.value.follow, model.value.lead
+        before, strength = model.value.backed_off()
         first = TaskContext.get().partitionId() << 32
 
         def out(ids, texts, batch):
@@ -424,16 +435,14 @@ def features(docs: DataFrame, train: DataFrame, key: str):
     bits = min(16, max(4, (docs.rdd.getNumPartitions() - 1).bit_length()))
     spark = docs.sparkSession
     known = vocabulary_of(train, bits)
-    vocabulary = spark.sparkContext.broadcast(known)
+    vocabulary = spark.sparkContext.broadcast(packed(known))
     pairs = stored(count_pairs(train, vocabulary, bits))
-    sums, after_and_before, times = sum_words(pairs, len(known) + 2)
-    model = Model(sums, times)
-    weights = spark.sparkContext.broadcast((*model.backed_off(), *after_and_before))
-    asked = docs.mapInArrow(_ask(vocabulary, weights, bits), "block int, kind int, batch long, packed binary")
+    model = spark.sparkContext.broadcast(Model(*sum_words(pairs, len(known) + 2)))
+    asked = docs.mapInArrow(_ask(vocabulary, model, bits), "block int, kind int, batch long, packed binary")
     both = pairs.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("batch"), "packed").union(asked)
-    sums = both.repartition(1 << bits, "block").sortWithinPartitions("block", "kind", "batch").mapInArrow(_answer(spark.sparkContext.broadcast(model)), "batch long, part int, packed binary")
+    sums = both.repartition(1 << bits, "block").sortWithinPartitions("block", "kind", "batch").mapInArrow(_answer(model), "batch long, part int, packed binary")
     rows = sums.repartition(1 << bits, "batch").sortWithinPartitions("batch", "part").mapInArrow(_finish(key), f"{key} long, " + ", ".join(f"{f} double" for f in FEATURES))
-    return stored(rows), model.usable
+    return stored(rows), model.value.usable
 
 
 def fold(key: str = "doc_id"):
