@@ -311,10 +311,10 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
 
 def document_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, longest, repeated_words, n_repeated, n_dropped, first_seen) of every document.
+    """(key, passages, longest, repeated_words, n_repeated, n_dropped, first_seen) of every document.
 
-    Of its repeated paragraphs, where they overlap or touch taken together: the words of the longest
-    and of all; their number, how many aren't the first of their kind, and the keys that have the
+    Of its repeated paragraphs, where they overlap or touch taken together: how many have LONG_WORDS
+    words or more, the words of the longest and of all; their number, how many aren't the first of their kind, and the keys that have the
     first of these, ascending and without nulls. Documents without any have zeros and no keys;
     repeated rows stay.
     """
@@ -323,15 +323,17 @@ def document_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     spans = F.array_sort(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("words")).alias("b"))))
     by = found.groupBy(F.col(key).alias("doc"), "print").agg(spans.alias("spans"), F.count("*").alias("n_repeated"), F.sum((~F.col("kept")).cast("long")).alias("n_dropped"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("component_id")))).alias("first_seen"))
     # an open span, the longest so far and the words of the closed ones
-    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("longest"), zero.alias("total"))
+    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("longest"), zero.alias("total"), zero.alias("passages"))
 
     def step(s, x):
         joins = x["a"] <= s["b"]
         a, b = F.when(joins, s["a"]).otherwise(x["a"]), F.when(joins, F.greatest(s["b"], x["b"])).otherwise(x["b"])
-        return F.struct(a.alias("a"), b.alias("b"), F.greatest(s["longest"], b - a).alias("longest"), (s["total"] + F.when(joins, zero).otherwise(s["b"] - s["a"])).alias("total"))
+        was = F.when(joins & (s["b"] - s["a"] >= LONG_WORDS), 1).otherwise(0)  # counted already
+        now = F.when(b - a >= LONG_WORDS, 1).otherwise(0)
+        return F.struct(a.alias("a"), b.alias("b"), F.greatest(s["longest"], b - a).alias("longest"), (s["total"] + F.when(joins, zero).otherwise(s["b"] - s["a"])).alias("total"), (s["passages"] + now - was).alias("passages"))
 
     by = by.withColumn("m", F.aggregate("spans", start, step))
     own = docs.select(F.col(key).alias("doc_"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print_"))
     out = own.join(by, own["doc_"].eqNullSafe(by["doc"]) & (own["print_"] == by["print"]), "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(F.col("doc_").alias(key), count(F.col("m.longest")).alias("longest"), count(F.col("m.total") + F.col("m.b") - F.col("m.a")).alias("repeated_words"), count(F.col("n_repeated")).alias("n_repeated"), count(F.col("n_dropped")).alias("n_dropped"), F.coalesce("first_seen", F.array().cast("array<long>")).alias("first_seen"))
+    return out.select(F.col("doc_").alias(key), count(F.col("m.passages")).alias("passages"), count(F.col("m.longest")).alias("longest"), count(F.col("m.total") + F.col("m.b") - F.col("m.a")).alias("repeated_words"), count(F.col("n_repeated")).alias("n_repeated"), count(F.col("n_dropped")).alias("n_dropped"), F.coalesce("first_seen", F.array().cast("array<long>")).alias("first_seen"))

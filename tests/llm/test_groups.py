@@ -194,6 +194,7 @@ def test_passages_within_longer_lines_are_found(spark, monkeypatch, prose_of):
         assert dict(rows)[x["doc_id"]][x["start"] : x["end"]].lower().split() == texts[x["doc_id"]][x["first"] : x["first"] + x["words"]]
     by = {x["doc_id"]: x for x in paragraphs.document_repeats(docs).collect()}
     assert len(by) == len(rows) and all((by[i]["longest"] >= paragraphs.PIECE) == bool(i % 2) for i in range(30))
+    assert all((x["passages"] > 0) == (x["longest"] >= paragraphs.LONG_WORDS) for x in by.values())
     assert by[40]["longest"] == by[41]["repeated_words"] == 19 and by[41]["first_seen"] == [40] and by[40]["n_dropped"] == 0 and by[42]["longest"] == by[None]["longest"] == 0
 
 
