@@ -26,7 +26,7 @@ BLOCK = 1024
 #: Bytes of the places of paragraphs to compare up to which these are broadcast; beyond, documents are shuffled.
 WANTED_BYTES = 16 << 20
 #: Bytes of text whose words are held at once; a longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Bits that number the words of a slice.
 PLACE_BITS = 27
 
@@ -57,9 +57,9 @@ class Words:
         import numpy as np
         import xxhash
 
-        self.raw = [t.encode() for t in texts]
-        sizes = np.fromiter(map(len, self.raw), np.int64, len(texts)) + 2
-        b = np.frombuffer(b"\n\n".join([*self.raw, b""]), np.uint8)
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(texts)) + 2
+        b = np.frombuffer(b"\n\n".join([*raw, b""]), np.uint8)
         space = (b == 32) | (b >= 9) & (b <= 13)
         edge = np.diff(np.concatenate(([1], space.astype(np.int8), [1])))
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -68,14 +68,17 @@ class Words:
         newline = b == 10
         newline[:-1] |= (b[:-1] == 13) & (b[1:] != 10)
         self.line = np.cumsum(newline, dtype=np.int32)[self.start]
-        points = np.concatenate(([0], np.cumsum(b & 0xC0 != 0x80, dtype=np.int32)))
-        self.point = lambda at, text: points[at] - points[self.begins[text]]  # place in the text as code points
+        self.points = np.concatenate(([0], np.cumsum(b & 0xC0 != 0x80, dtype=np.int32)))
         words = b"\n\n".join(t.lower().encode() for t in texts).split()
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
             power, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
 
+    def point(self, at, text):
+        """Places in their texts, as code points, of places among all bytes."""
+        return self.points[at] - self.points[self.begins[text]]
+
     def hashes(self, at, n):
         """A hash of the n words from each of some places on; it depends on these words alone."""
         import numpy as np
