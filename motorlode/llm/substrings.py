@@ -2,9 +2,10 @@
 
 Windows of `length` bytes are grouped by their smallest k-gram hash, so that equal windows meet
 whatever their documents; runs of windows with one such hash form a segment. Equal segments are
-counted natively. Where different segments share a hash, their texts go through a Burrows-Wheeler
-transform, and breadth-first backward extension finds the positions whose common prefix with
-another reaches `length`.
+counted natively. Where different segments share a hash, those that also share the bytes of the
+wider half around the k-gram are fetched; their texts go through a Burrows-Wheeler transform, and
+breadth-first backward extension finds the positions whose common prefix with another reaches
+`length`.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _places(h, w: int):
 
 
 def segments(buffer, ends, length: int):
-    """(key, start, windows) arrays: runs of windows with one smallest k-gram, cut at texts' ends.
+    """(key, start, windows, k-gram's place) arrays: runs of windows with one smallest k-gram, cut at texts' ends.
 
     `buffer` holds texts one after another, `ends` where each of them ends. The key is the hash of
     that k-gram; it lies equally far in equal windows, so no window repeats within a segment.
@@ -77,7 +78,7 @@ def segments(buffer, ends, length: int):
 
     k = _gram(length)
     if len(buffer) < length:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     h = _grams(buffer, k)
     place = _places(h, length - k + 1)
     n = len(place)
@@ -94,10 +95,20 @@ def segments(buffer, ends, length: int):
     first = np.flatnonzero(new)
     last_of = ends[np.searchsorted(ends, first, side="right")] - length + 1
     stop = np.minimum(np.append(first[1:], n), last_of)
-    return h[place[first]].view(np.int64), first, stop - first
+    return h[place[first]].view(np.int64), first, stop - first, place[first]
+
+
+def _half(length: int) -> int:
+    """Bytes before the k-gram from which on the left is a window's wider half."""
+    return (length - _gram(length)) // 2
 
 
 def _segment_rows(length: int):
+    """A row for each segment; `gram` is how far in its k-gram lies. `left` is a hash of what all its
+    windows share that have _half(length) bytes or more before the k-gram, `right` of the others;
+    null if it has no such windows."""
+    k, half = _gram(length), _half(length)
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -106,23 +117,28 @@ def _segment_rows(length: int):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             pieces = [(i, o, t[o : o + SLICE_BYTES + length - 1]) for i, t in enumerate(batch.column(2).cast(pa.binary()).to_pylist()) for o in range(0, max(1, len(t) - length + 1), SLICE_BYTES)]
-            k = 0
-            while k < len(pieces):
-                j, total = k, 0
-                while j < len(pieces) and (j == k or total + len(pieces[j][2]) <= SLICE_BYTES):
+            i = 0
+            while i < len(pieces):
+                j, total = i, 0
+                while j < len(pieces) and (j == i or total + len(pieces[j][2]) <= SLICE_BYTES):
                     total += len(pieces[j][2])
                     j += 1
-                text_of, offset, texts = zip(*pieces[k:j])
+                text_of, offset, texts = zip(*pieces[i:j])
                 ends = np.cumsum([len(t) for t in texts])
                 joined = b"".join(texts)
-                key, at, n = segments(np.frombuffer(joined, np.uint8), ends, length)
+                key, at, n, gram = segments(np.frombuffer(joined, np.uint8), ends, length)
                 if len(key):
                     of = np.searchsorted(ends, at, side="right")
                     seg = np.fromiter([digest(joined[s:e]) for s, e in zip(at.tolist(), (at + n + length - 1).tolist())], np.uint64, len(at)).view(np.int64)
                     rows = pa.array(np.array(text_of)[of])
                     place = at - np.concatenate(([0], ends[:-1]))[of] + np.array(offset)[of]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "seg", "doc", "print", "at", "n"])
-                k = j
+                    sides = []
+                    for some, from_, to in ((at <= gram - half, gram - half, gram + k), (at + n - 1 > gram - half, gram, gram - half + 1 + length)):
+                        side = np.zeros(len(at), np.uint64)
+                        side[some] = np.fromiter([digest(joined[s:e]) for s, e in zip(from_[some].tolist(), to[some].tolist())], np.uint64, some.sum())
+                        sides.append(pa.array(side.view(np.int64), mask=~some))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), *sides, batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((gram - at).astype(np.int32))], names=["key", "seg", "left", "right", "doc", "print", "at", "n", "gram"])
+                i = j
 
     return run
 
@@ -263,16 +279,18 @@ def _transform(length: int):
 
 
 def _fetch(length: int):
-    """Texts of the segments wanted of each document: (key, seg, doc, print, at, text)."""
+    """Texts of the windows wanted of each document: (key, seg, doc, print, at, text)."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
             out = []
             for doc, print_, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 raw = text.encode()
-                out += [(w["key"], w["seg"], doc, print_, w["at"], raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in wanted]
+                cut = [(w["key"], w["at"], raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in wanted]
+                out += [(key, xxhash.xxh3_64_intdigest(t) - (1 << 63), doc, print_, at, t) for key, at, t in cut]
             if out:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", "seg", "doc", "print", "at", "text"])
@@ -321,31 +339,40 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, group: int = GROUP)
 
     `docs` has doc, print and text. Runs can be listed more than once.
     """
-    rows = stored(docs.mapInArrow(_segment_rows(length), "key long, seg long, doc long, print long, at int, n int"))
-    kinds = rows.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "at", "n")).alias("one"))
+    rows = stored(docs.mapInArrow(_segment_rows(length), "key long, seg long, left long, right long, doc long, print long, at int, n int, gram int"))
+    busy = rows.groupBy("key").agg(F.count("*").alias("times"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("times > 1")
+    rows = stored(rows.join(busy.select("key", (F.col("a") != F.col("b")).alias("contested")), "key"))
+    kinds = rows.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "at")).alias("one"), *(F.first(c).alias(c) for c in ("n", "gram", "left", "right", "contested")))
     kinds = stored(kinds)
     found = [rows.join(kinds.where("times > 1").select("key", "seg"), ["key", "seg"]).select("doc", "print", "at", "n")]
-    contested = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(contested, "key").select("one.doc", "one.print", F.struct("key", "seg", "one.at", "one.n").alias("w"))
-    wanted = wanted.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted"))
+    # of different segments of a key, the windows of each side that others share; most share neither
+    border = F.col("gram") - _half(length)  # last window of the left side
+    sides = F.array(
+        F.when(F.col("left").isNotNull(), F.struct(F.xxhash64("key", "left", F.lit(0)).alias("key"), F.lit(0).alias("from"), F.least(F.col("n"), border + 1).alias("n"))),
+        F.when(F.col("right").isNotNull(), F.struct(F.xxhash64("key", "right", F.lit(1)).alias("key"), F.greatest(F.lit(0), border + 1).alias("from"), (F.col("n") - F.greatest(F.lit(0), border + 1)).alias("n"))),
+    )
+    pieces = kinds.where("contested").select("one", F.explode(F.array_compact(sides)).alias("side")).select("side.key", "one.doc", "one.print", (F.col("one.at") + F.col("side.from")).alias("at"), "side.n")
+    shared = pieces.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    wanted = pieces.join(shared, "key").groupBy("doc", "print").agg(F.collect_list(F.struct("key", "at", "n")).alias("wanted"))
     pieces = docs.join(wanted, ["doc", "print"]).select("doc", "print", "text", "wanted").mapInArrow(_fetch(length), PIECE)
     steps = sorted({max(1, length // 8), max(1, length // 64), 1}, reverse=True)
-    for level, step in enumerate([*steps, None]):
+    for step in (*steps, None):
         pieces = stored(pieces)
-        if level:  # equal pieces of a split hot key are all repeats; one of them stands for all from here on
-            times = pieces.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "at")).alias("one"))
-            equal = times.where("times > 1").select("key", "seg")
-            found.append(pieces.join(equal, ["key", "seg"]).select("doc", "print", "at", (F.octet_length("text") - (length - 1)).alias("n")))
-            if step is None:  # pieces are single windows by now
-                break
-            pieces = pieces.join(times.select("key", "seg", "one.doc", "one.print", "one.at"), ["key", "seg", "doc", "print", "at"], "left_semi")
-        sizes = pieces.groupBy("key").agg(F.count_distinct("seg").alias("kinds")).where("kinds > 1")
-        cold = pieces.join(sizes.where(F.col("kinds") <= group).select("key"), "key")
+        # equal pieces are all repeats; one of them stands for all from here on
+        times = pieces.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "at")).alias("one"), F.first("text").alias("text"))
+        times = stored(times)
+        equal = times.where("times > 1").select("key", "seg")
+        found.append(pieces.join(equal, ["key", "seg"]).select("doc", "print", "at", (F.octet_length("text") - (length - 1)).alias("n")))
+        if step is None:  # pieces are single windows by now
+            break
+        sizes = times.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        pieces = times.join(sizes, "key").select("key", "one.doc", "one.print", "one.at", "text", "kinds")
+        cold = pieces.where(F.col("kinds") <= group)
         found.append(cold.repartition("key").sortWithinPartitions("key").select("key", "doc", "print", "at", "text").mapInArrow(_transform(length), RUN))
-        hot = pieces.join(sizes.where(F.col("kinds") > group).select("key"), "key")
-        if hot.isEmpty():
+        pieces = pieces.where(F.col("kinds") > group)
+        if sizes.where(F.col("kinds") > group).isEmpty():
             break
-        pieces = hot.mapInArrow(_split(length, step), PIECE)
+        pieces = pieces.mapInArrow(_split(length, step), PIECE)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
