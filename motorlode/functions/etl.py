@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-_WORD = re.compile(r"[A-Za-z0-9_]")
-_ESCAPED = re.compile(r"\\(?:([0-7]{1,3})|x([0-9A-Fa-f]{1,2})|(.))", re.DOTALL)
+# Characters that a wildcard key may have besides letters, digits and _, and that stand for themselves.
+_LITERAL = "|.\\^$+?{}()"
+#: What the marks of a key stand for: with classes only the star is one.
+_CLASSED = str.maketrans({"*": "."} | {c: re.escape(c) for c in _LITERAL})
+_MARKED = _CLASSED | str.maketrans({"_": ".", "%": ".*", "#": "[0-9]"})
+_KEY = re.compile(rf"[\w*%#{re.escape(_LITERAL)}]*", re.ASCII)
+_KEY_WITH_CLASSES = re.compile(rf"(?:\[[\w*\[{re.escape(_LITERAL)}-]*\]|[\w*\]{re.escape(_LITERAL)}])*", re.ASCII)
+_ESCAPED = re.compile(rb"\\([0-7]{1,3}|x[0-9A-Fa-f]{1,2}|.)", re.DOTALL)
 # Single-letter escapes of the dump format.
-_CONTROL = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+_CONTROL = {b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v"}
 
 
 def wildcard_to_regex(key: str) -> str | None:
@@ -22,26 +28,13 @@ def wildcard_to_regex(key: str) -> str | None:
     A star is any character. Without classes an underscore is too, a per cent sign any run, and a
     hash a digit. In a class 1-A lists both ends, and a star becomes a dot.
     """
-    classes, digits = "[" in key, "#" in key
-    if classes and digits:
+    classes = "[" in key
+    if classes and "#" in key:
         return None
-    wild = {"*": "."} | ({} if classes else {"_": ".", "%": ".*", "#": "[0-9]"})
-    depth, out = 0, []
-    for c in key.replace("1-A", "1A") if classes else key:
-        if c in wild:
-            out.append(wild[c])
-        elif classes and c in "[]":
-            depth = int(c == "[")
-            out.append(c)
-        elif c == "-" and depth or _WORD.fullmatch(c):
-            out.append(c)
-        elif c in "|.\\^$+?{}()":
-            out.append("\\" + c)
-        else:
-            raise ValueError(f"no pattern character: {c!r} in {key!r}")
-    if depth:
-        raise ValueError(f"open class in {key!r}")
-    re.compile(found := r"\A" + "".join(out))
+    if not (_KEY_WITH_CLASSES if classes else _KEY).fullmatch(key):
+        raise ValueError(f"no pattern: {key!r}")
+    found = r"\A" + (key.replace("1-A", "1A").translate(_CLASSED) if classes else key.translate(_MARKED))
+    re.compile(found)
     return found
 
 
@@ -55,21 +48,18 @@ def unescape_copy(cell: str) -> str | None:
     if cell == r"\N":
         return None
 
-    def one(m: re.Match) -> bytes:
-        if m[1]:
-            return bytes([int(m[1], 8) & 255])
-        return bytes([int(m[2], 16)]) if m[2] else _CONTROL.get(m[3], m[3]).encode()
+    def meant(m: re.Match) -> bytes:
+        code = m[1]
+        if code.isdigit() and code < b"8":
+            return bytes([int(code, 8) % 256])
+        return bytes([int(code[1:], 16)]) if len(code) > 1 else _CONTROL.get(code, code)
 
-    out, at = b"", 0
-    for m in _ESCAPED.finditer(cell):
-        out += cell[at : m.start()].encode() + one(m)
-        at = m.end()
-    return (out + cell[at:].encode()).decode()
+    return _ESCAPED.sub(meant, cell.encode()).decode()
 
 
 def slug(label: str) -> str:
     """Bytes that are ASCII letters or digits in lower case, others as ~ and two hex digits."""
-    return "".join(chr(b).lower() if b < 128 and chr(b).isalnum() else f"~{b:02x}" for b in label.encode())
+    return re.sub(rb"[^0-9A-Za-z]", lambda m: b"~%02x" % m[0], label.encode()).decode().lower()
 
 
 def canonical_json(value) -> str:
@@ -92,15 +82,24 @@ def strict_json(text: str):
     return json.loads(text, object_pairs_hook=once)
 
 
+# The identifiers' alphabet, and what a rule pattern is made of.
+_ALPHABET = "0123456789ABCDEFGHJKLMNPRSTUVWXYZ"
+_RULE_TOKEN = r"(?:[A-HJ-NPR-Z0-9.]|\[[A-HJ-NPR-Z0-9-]+\])(?:\{[0-9]{1,2}\})?"
+
+
 def bounded_grammar(pattern: str) -> bool:
-    """Whether a rule pattern has only literals, dots, classes and counts, and so is safe everywhere."""
-    return re.fullmatch(r"(?:[A-Z0-9.]|\[[A-Z0-9-]+\]|\{[0-9]+\})+", pattern) is not None
+    """Whether a rule pattern has only characters of the alphabet, dots and classes, each with a count at most."""
+    return re.fullmatch(f"(?:{_RULE_TOKEN})+", pattern) is not None
 
 
 def literal_prefixes(pattern: str, most: int = 1296) -> list[str]:
-    """Literal beginnings of at most three characters, one of which every match of the pattern has."""
-    every = "0123456789ABCDEFGHJKLMNPRSTUVWXYZ"
-    found = [""]
+    """Literal beginnings of at most three characters, one of which every match of the pattern has.
+
+    A pattern outside the bounded grammar raises ValueError.
+    """
+    if not bounded_grammar(pattern):
+        raise ValueError(f"no bounded pattern: {pattern!r}")
+    every, found = _ALPHABET, [""]
     for m in list(re.finditer(r"(\[[^\]]+\]|.)(\{\d+\})?", pattern))[:3]:
         token, count = m[1], m[2]
         chars = every if token == "." else "".join(c for c in every if re.fullmatch(token, c)) if token[0] == "[" else token

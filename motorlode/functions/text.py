@@ -116,10 +116,10 @@ def null_cell(c: Column) -> Column:
 
 
 def converted(value: Column, operator: Column, factor: Column) -> Column:
-    """value times or over factor, rounded half up to six places, no trailing zeros; null if no number."""
-    v = F.expr("1") * 0 if value is None else value.try_cast("decimal(38,18)")
-    f = factor.cast("decimal(38,18)")
-    text = F.round(F.when(operator == "*", v.cast("decimal(20,9)") * f.cast("decimal(18,12)")).otherwise(F.try_divide(v, f)), policy.CONVERSION_SCALE).cast("string")
+    """value times or over factor, rounded half up to six places, no trailing zeros; null if no number
+    (nor one of 26 digits before the point and 12 behind it, or if the result has over 32 before it)."""
+    v, f = value.try_cast("decimal(38,12)"), factor.cast("decimal(18,12)")
+    text = F.round(F.when(operator == "*", F.try_multiply(v, f)).otherwise(F.try_divide(v, f)), policy.CONVERSION_SCALE).cast("string")
     return F.when(v.isNotNull(), F.regexp_replace(F.when(text.contains("."), F.regexp_replace(text, r"0+\z", "")).otherwise(text), r"\.\z", ""))
 
 

@@ -15,27 +15,51 @@ def grouped(corpus: DataFrame, fields: list[str], prefix: str = "prefix", count:
 
 
 def probe_consensus(probes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, status, value) of probes (keys, status, value): a value only if all of them know the same."""
-    p = probes.groupBy(*keys).agg(F.array_sort(F.collect_set("status")).alias("statuses"), F.array_sort(F.collect_set(F.when(F.col("status") == "KNOWN", F.col("value")))).alias("values"))
+    """(keys, status, value) of probes (keys, status, value): a value only if all of them know the same.
+
+    Labels are compared in their comparable form. Two known ones disagree, whatever other probes
+    say; a status that isn't KNOWN must be that of all probes.
+    """
+    label = F.when(F.col("status") == "KNOWN", T.comparable_label(F.col("value")))
+    p = probes.groupBy(*keys).agg(F.array_sort(F.collect_set("status")).alias("statuses"), F.array_sort(F.collect_set(label)).alias("values"))
     known = F.array_contains("statuses", "KNOWN")
     only = F.size("statuses") == 1
-    status = F.when(only & known, F.when(F.size("values") == 1, "KNOWN").otherwise("PROBE_DISAGREEMENT")).when(only, F.col("statuses")[0]).otherwise("PROBE_INCOMPLETE")
+    status = F.when(only & known & (F.size("values") == 1), "KNOWN").when(F.size("values") > 1, "PROBE_DISAGREEMENT").when(only & ~known, F.col("statuses")[0]).otherwise("PROBE_INCOMPLETE")
     return p.withColumn("status", status).select(*keys, "status", F.when(F.col("status") == "KNOWN", F.col("values")[0]).alias("value"))
 
 
-def judged(consensus: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Consensus against the corpus's labels (keys, weight, labels): SOURCE_CONFLICT where it has several."""
+def supported_prefix(prefix):
+    """Whether a ten-character prefix can be probed: no extended manufacturer key, and the alphabet's characters alone."""
+    return prefix.rlike(r"\A[A-HJ-NPR-Z0-9]{10}\z") & (F.substring(prefix, 3, 1) != "9")
+
+
+def judged(consensus: DataFrame, labels: DataFrame, keys: list[str], aliases: DataFrame | None = None) -> DataFrame:
+    """Consensus against the corpus's labels (keys, weight, labels), with exact_match and alias_match.
+
+    SOURCE_CONFLICT where the corpus has several labels, UNSUPPORTED_PREFIX where nothing was probed.
+    aliases: accepted (make, observed, decoded); labels then also have makes, and a known value that
+    is an alias of the label of the only make matches too.
+    """
     j = labels.join(consensus, keys, "left")
     status = F.when(F.size("labels") != 1, "SOURCE_CONFLICT").otherwise(F.coalesce("status", F.lit("UNSUPPORTED_PREFIX")))
-    return j.withColumn("status", status).withColumn("match", (F.col("status") == "KNOWN") & (T.comparable_label(F.col("value")) == F.col("labels")[0]))
+    j = j.withColumn("status", status).withColumn("exact_match", (F.col("status") == "KNOWN") & (F.col("value") == F.col("labels")[0]))
+    if aliases is None:
+        return j.withColumn("alias_match", F.col("exact_match"))
+    accepted = aliases.select(*(T.comparable_label(F.col(c)).alias(f"alias_{c}") for c in ("make", "observed", "decoded"))).distinct().withColumn("accepted", F.lit(True))
+    same = (F.when(F.size("makes") == 1, F.col("makes")[0]) == F.col("alias_make")) & (F.col("labels")[0] == F.col("alias_observed")) & (F.col("value") == F.col("alias_decoded"))
+    j = j.join(accepted, same, "left")
+    return j.withColumn("alias_match", F.col("exact_match") | ((F.col("status") == "KNOWN") & F.col("accepted").isNotNull())).drop("accepted", "alias_make", "alias_observed", "alias_decoded")
 
 
 def summary(judged_: DataFrame, by: list[str], weight=None) -> DataFrame:
-    """(by, eligible, known, matches, coverage, precision); weighted by a column if one is given."""
+    """(by, total, eligible, known, exact_matches, alias_matches, coverage, exact_precision, alias_precision);
+    weighted by a column if one is given. Prefixes that conflict or aren't supported aren't eligible."""
     w = F.lit(1) if weight is None else F.col(weight)
     some = lambda c: F.sum(F.when(c, w).otherwise(0)).alias
-    out = judged_.groupBy(*by).agg(some(F.col("status") != "SOURCE_CONFLICT")("eligible"), some(F.col("status") == "KNOWN")("known"), some(F.coalesce("match", F.lit(False)))("matches"))
-    return out.withColumns({"coverage": F.round(F.try_divide(F.col("known"), F.col("eligible")), 6), "precision": F.round(F.try_divide(F.col("matches"), F.col("known")), 6)})
+    matched = lambda c: some(F.coalesce(c, F.lit(False)))(f"{c}es")
+    out = judged_.groupBy(*by).agg(F.sum(w).alias("total"), some(~F.col("status").isin("SOURCE_CONFLICT", "UNSUPPORTED_PREFIX"))("eligible"), some(F.col("status") == "KNOWN")("known"), matched("exact_match"), matched("alias_match"))
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
+    return out.withColumns({"coverage": share("known", "eligible"), "exact_precision": share("exact_matches", "known"), "alias_precision": share("alias_matches", "known")})
 
 
 def top(rows: DataFrame, by: list[str], order: list, n: int = policy.MISMATCHES) -> DataFrame:
@@ -52,9 +76,10 @@ def systematic(rows: DataFrame, by: list[str], order: list, step: int) -> DataFr
 
 def target_coverage(approvals: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, approvals, covered, examples): distinct approvals of a target's makes whose type its
-    pattern takes and its exclusion doesn't."""
+    pattern takes and its exclusion doesn't. The pattern minds case where case_sensitive says so, the
+    exclusion never."""
     a = approvals.select("approval_id", F.col("fields")["make"].alias("make"), F.col("fields")["type"].alias("type"))
     t = targets.withColumn("make", F.explode("makes"))
-    m = t.join(a, "make").where(F.regexp_like("type", F.col("include")) & ~F.coalesce(F.regexp_like("type", F.col("exclude")), F.lit(False)))
+    m = t.join(a, "make").where(F.regexp_like("type", F.when(F.col("case_sensitive"), F.col("include")).otherwise(F.concat(F.lit("(?iu)"), F.col("include")))) & ~F.coalesce(F.regexp_like("type", F.concat(F.lit("(?iu)"), F.nullif("exclude", F.lit("")))), F.lit(False)))
     per = m.groupBy("target").agg(F.array_sort(F.collect_set("approval_id")).alias("ids"))
-    return targets.select("target").join(per, "target", "left").select("target", F.coalesce(F.size("ids"), F.lit(0)).alias("approvals"), F.coalesce(F.size("ids") > 0, F.lit(False)).alias("covered"), F.slice("ids", 1, policy.EXAMPLES).alias("examples"))
+    return targets.select("target").join(per, "target", "left").select("target", F.coalesce(F.size("ids"), F.lit(0)).alias("approvals"), F.coalesce(F.size("ids") > 0, F.lit(False)).alias("covered"), F.coalesce(F.slice("ids", 1, policy.EXAMPLES), F.array().cast("array<string>")).alias("examples"))

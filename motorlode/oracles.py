@@ -16,7 +16,7 @@ def _resolved(field: str) -> str:
 
 _FIELDS = ("brand", "manufacturer", "category", "country")
 
-_TABLES = ("manufacturers", "assignments", "types", "elements", "rich_wmis", "schemas", "patterns", "engines", "models", "conversions", "rules", "rule_claims", "approvals", "make_aliases", "model_aliases", "sources", "masks", "wmi_rows", "wmi_makes", "makes", "dump_manufacturers", "vehicle_types")
+_TABLES = ("manufacturers", "assignments", "types", "elements", "rich_wmis", "schemas", "patterns", "engines", "models", "conversions", "rules", "rule_claims", "approvals", "make_aliases", "model_aliases", "sources", "masks", "targets", "wmi_rows", "wmi_makes", "makes", "dump_manufacturers", "vehicle_types")
 
 # name: (tables it reads besides those before it, SQL)
 _CHAIN: list[tuple[str, str]] = [
@@ -61,9 +61,9 @@ _CHAIN: list[tuple[str, str]] = [
     ("held", "SELECT DISTINCT l.req_id, l.rule, l.foreign_, l.conflict, c.code, c.value, c.source_id FROM lit_ok l JOIN t_rule_claims c ON l.rule = c.rule_id AND (c.position < 0 OR strpos(c.characters, substr(l.normalized, c.position + 1, 1)) > 0)"),
     ("lfields", "SELECT req_id, rule, code, CASE WHEN count(DISTINCT value) > 1 THEN 'AMBIGUOUS' WHEN bool_or(foreign_) THEN 'NEEDS_CONTEXT' ELSE 'KNOWN' END AS status, list(DISTINCT value ORDER BY value) AS vals FROM held WHERE NOT conflict GROUP BY req_id, rule, code"),
     ("allfields", "SELECT req_id, 'patterns' AS rule, code, status, vals FROM pfields JOIN t_elements USING (element_id) UNION ALL SELECT * FROM lfields"),
-    ("results", "SELECT req_id, rule, scope, CASE WHEN conflict THEN 'CONTEXT_CONFLICT' WHEN foreign_ THEN 'NEEDS_CONTEXT' ELSE 'DECODED' END AS status FROM lit_ok UNION ALL SELECT r.req_id, 'patterns', 'US', CASE WHEN NOT EXISTS (SELECT 1 FROM years y WHERE y.req_id = r.req_id) THEN CASE WHEN r.model_year IS NOT NULL THEN 'CONTEXT_CONFLICT' ELSE 'UNKNOWN' END WHEN NOT EXISTS (SELECT 1 FROM pfields f WHERE f.req_id = r.req_id) THEN 'UNKNOWN' WHEN r.market IS NOT DISTINCT FROM 'US' THEN 'DECODED' ELSE 'NEEDS_CONTEXT' END FROM rich r"),
-    ("marked", "SELECT r.*, (r.status = 'CONTEXT_CONFLICT' AND (r.scope <> 'US' OR p.market IS NOT DISTINCT FROM 'US')) AS conflicting, (EXISTS (SELECT 1 FROM allfields f WHERE f.req_id = r.req_id AND f.rule = r.rule) OR (r.rule <> 'patterns' AND r.status = 'CONTEXT_CONFLICT')) AS meaningful FROM results r JOIN prep p ON r.req_id = p.req_id"),
-    ("head", "SELECT req_id, bool_or(conflicting) AS conflict, count(*) FILTER (meaningful) AS n_results, list(DISTINCT scope ORDER BY scope) FILTER (meaningful) AS scopes, min_by(scope, rule) FILTER (conflicting) AS conflict_scope, any_value(status) FILTER (meaningful) AS one_status, max(status) FILTER (rule = 'patterns') AS pattern_status FROM marked GROUP BY req_id"),
+    ("results", "SELECT req_id, rule, scope, CASE WHEN conflict THEN 'CONTEXT_CONFLICT' WHEN foreign_ THEN 'NEEDS_CONTEXT' ELSE 'DECODED' END AS status, TRUE AS meaningful FROM lit_ok UNION ALL SELECT r.req_id, 'patterns', 'US', CASE WHEN NOT EXISTS (SELECT 1 FROM years y WHERE y.req_id = r.req_id) THEN CASE WHEN r.model_year IS NOT NULL THEN 'CONTEXT_CONFLICT' ELSE 'UNKNOWN' END WHEN NOT EXISTS (SELECT 1 FROM pfields f WHERE f.req_id = r.req_id) THEN 'UNKNOWN' WHEN r.market IS NOT DISTINCT FROM 'US' THEN 'DECODED' ELSE 'NEEDS_CONTEXT' END, EXISTS (SELECT 1 FROM years y WHERE y.req_id = r.req_id) FROM rich r"),
+    ("marked", "SELECT r.*, (r.status = 'CONTEXT_CONFLICT' AND (r.scope <> 'US' OR p.market IS NOT DISTINCT FROM 'US')) AS conflicting FROM results r JOIN prep p ON r.req_id = p.req_id"),
+    ("head", "SELECT req_id, bool_or(conflicting) AS conflict, count(*) FILTER (meaningful) AS n_results, list(DISTINCT scope ORDER BY scope) FILTER (meaningful) AS scopes, min_by(scope, (rule = 'patterns')::INT::VARCHAR || rule) FILTER (conflicting) AS conflict_scope, any_value(status) FILTER (meaningful) AS one_status, max(status) FILTER (rule = 'patterns') AS pattern_status FROM marked GROUP BY req_id"),
     ("cand_fields", "SELECT f.*, h.n_results, (f.status <> 'NEEDS_CONTEXT' AND m.status <> 'NEEDS_CONTEXT') AS applicable FROM allfields f JOIN marked m ON f.req_id = m.req_id AND f.rule = m.rule JOIN head h ON f.req_id = h.req_id WHERE NOT h.conflict"),
     ("chosen_fields", "SELECT * FROM (SELECT *, bool_or(applicable) OVER (PARTITION BY req_id, code) AS any_applicable FROM cand_fields) WHERE applicable OR NOT any_applicable"),
     ("merged0", "SELECT req_id, code, list_sort(list_distinct(flatten(list(vals)))) AS sorted, any_value(vals) AS own, bool_or(status = 'UNKNOWN') AS unknown, bool_or(any_applicable) AS applicable, max(n_results) AS n_results, any_value(status) AS one_status FROM chosen_fields GROUP BY req_id, code"),
@@ -79,11 +79,14 @@ _CHAIN: list[tuple[str, str]] = [
     ("dir_c", "SELECT c_custkey % 1000 AS wmi, 'NATION ' || c_nationkey AS name FROM customer"),
     ("dir_s", "SELECT s_suppkey % 1000 AS wmi, 'NATION ' || s_nationkey AS name FROM supplier"),
     ("dir_n", "SELECT * FROM (SELECT wmi, string_agg(DISTINCT name, '|' ORDER BY name) AS listed FROM dir_c GROUP BY wmi) FULL JOIN (SELECT wmi, string_agg(DISTINCT name, '|' ORDER BY name) AS assigned FROM dir_s GROUP BY wmi) USING (wmi)"),
-    ("probes", "SELECT o_custkey % 500 AS prefix, CASE WHEN o_orderkey % 11 = 0 THEN 'UNKNOWN' ELSE 'KNOWN' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '' END END AS value FROM orders"),
-    ("consensus", "SELECT prefix, CASE WHEN count(DISTINCT status) > 1 THEN 'PROBE_INCOMPLETE' WHEN min(status) = 'KNOWN' THEN CASE WHEN count(DISTINCT value) = 1 THEN 'KNOWN' ELSE 'PROBE_DISAGREEMENT' END ELSE min(status) END AS status, min(value) AS v FROM probes GROUP BY prefix"),
-    ("labels_", "SELECT o_custkey % 500 AS prefix, count(*) AS weight, list(DISTINCT CASE WHEN o_custkey % 4 = 0 THEN o_orderstatus ELSE '' END) AS labels FROM orders GROUP BY ALL"),
+    ("o_prefix", "SELECT *, '1H' || CASE WHEN k % 9 = 0 THEN '9' WHEN k % 50 = 1 THEN 'I' ELSE 'G' END || 'AAAA' || lpad(k::VARCHAR, 3, '0') AS prefix FROM (SELECT *, o_custkey % 500 AS k FROM orders)"),
+    ("probes0", "SELECT prefix, k, o_orderkey, o_orderpriority, CASE WHEN k % 5 = 0 AND o_orderkey % 11 = 0 THEN 'UNKNOWN' WHEN k % 5 = 1 THEN 'AMBIGUOUS' ELSE 'KNOWN' END AS status FROM o_prefix WHERE k % 9 <> 0 AND k % 50 <> 1"),
+    ("probes", "SELECT prefix, status, CASE WHEN status = 'KNOWN' AND k % 7 <> 3 THEN CASE WHEN k % 3 = 0 THEN upper(o_orderpriority) ELSE 'GOLF' END END AS value FROM probes0"),
+    ("consensus", "SELECT prefix, CASE WHEN count(DISTINCT value) > 1 THEN 'PROBE_DISAGREEMENT' WHEN count(DISTINCT status) > 1 THEN 'PROBE_INCOMPLETE' WHEN min(status) <> 'KNOWN' THEN min(status) WHEN count(value) > 0 THEN 'KNOWN' ELSE 'PROBE_INCOMPLETE' END AS status, min(value) AS v FROM probes GROUP BY prefix"),
+    ("labels_", "SELECT prefix, k % 4 AS m, count(*) AS weight, list(DISTINCT CASE WHEN k % 4 = 0 THEN o_orderstatus WHEN k % 4 = 1 THEN 'GOLF' ELSE 'GOLF VII' END) AS labels FROM o_prefix GROUP BY ALL"),
     ("judged", "SELECT l.*, CASE WHEN len(labels) <> 1 THEN 'SOURCE_CONFLICT' ELSE coalesce(c.status, 'UNSUPPORTED_PREFIX') END AS status, c.v FROM labels_ l LEFT JOIN consensus c USING (prefix)"),
-    ("judged_m", "SELECT *, (status = 'KNOWN' AND upper(v) = labels[1]) AS match FROM judged"),
+    ("judged_m", "SELECT *, coalesce(status = 'KNOWN' AND v = labels[1], FALSE) AS exact_match, coalesce(status = 'KNOWN' AND (v = labels[1] OR m = 2 AND labels[1] = 'GOLF VII' AND v = 'GOLF'), FALSE) AS alias_match FROM judged"),
+    ("directory", "SELECT c_custkey // 50 AS page, c_custkey % 50 + 1 AS row, upper(substr(md5(c_custkey::VARCHAR), 1, 2)) || CASE WHEN c_custkey % 6 = 0 THEN '9' WHEN c_custkey % 7 = 0 THEN 'O' ELSE 'A' END AS part1, CASE WHEN c_custkey % 12 = 0 THEN upper(substr(md5(c_name), 1, 3)) ELSE '' END AS part2, c_name AS name FROM customer"),
 ]
 
 
@@ -152,8 +155,9 @@ _CHAIN += [
 
 def _summary(by: str, weight: str) -> str:
     some = lambda c: f"coalesce(sum({weight}) FILTER ({c}), 0)::BIGINT"
-    e, k, m = some("status <> 'SOURCE_CONFLICT'"), some("status = 'KNOWN'"), some("match")
-    return f"SELECT {by}, {e} AS eligible, {k} AS known, {m} AS matches, round({k}::DOUBLE / nullif({e}, 0), 6) AS coverage, round({m}::DOUBLE / nullif({k}, 0), 6) AS precision FROM judged_m GROUP BY 1"
+    e, k, x, a = some("status NOT IN ('SOURCE_CONFLICT', 'UNSUPPORTED_PREFIX')"), some("status = 'KNOWN'"), some("exact_match"), some("alias_match")
+    share = lambda n, d: f"round({n}::DOUBLE / nullif({d}, 0), 6)"
+    return f"SELECT {by}, sum({weight})::BIGINT AS total, {e} AS eligible, {k} AS known, {x} AS exact_matches, {a} AS alias_matches, {share(k, e)} AS coverage, {share(x, k)} AS exact_precision, {share(a, k)} AS alias_precision FROM judged_m GROUP BY 1"
 
 
 _SELECTS: dict[str, str] = {
@@ -195,9 +199,19 @@ _SELECTS: dict[str, str] = {
     "probe_consensus": "SELECT prefix, status, CASE WHEN status = 'KNOWN' THEN v END AS value FROM consensus",
     "coverage_summary": _summary("'label' AS field", "1"),
     "coverage_weighted": _summary("CASE WHEN len(labels) = 1 THEN labels[1] ELSE 'SOURCE_CONFLICT' END AS make", "weight"),
-    "top_mismatches": f"SELECT * FROM (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F') WHERE place <= {P.MISMATCHES}",
+    "top_mismatches": f"SELECT * FROM (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= {P.MISMATCHES}",
     "systematic_sample": "SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS nth FROM orders) WHERE nth % 31 = 0",
-    "drift_guard": "SELECT old_rows, new_rows, round(new_rows / old_rows, 6) AS ratio, round(n - o, 6) AS exclusion_change, (new_rows / old_rows BETWEEN 0.95 AND 1.5 AND n - o <= 0.01) AS ok FROM (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS old_rows, count(*) FILTER (o_orderkey % 2 = 1) AS new_rows, avg((o_orderstatus = 'P')::INT::DOUBLE) FILTER (o_orderkey % 2 = 0) AS o, avg((o_orderstatus = 'P')::INT::DOUBLE) FILTER (o_orderkey % 2 = 1) AS n FROM orders)",
+    "drift_guard": "SELECT o.n AS old_rows, w.n AS new_rows, round(w.n / o.n, 6) AS ratio, round(w.x - o.x, 6) AS exclusion_change, (w.n / o.n BETWEEN 0.95 AND 1.5 AND w.x - o.x <= 0.01) AS ok FROM (SELECT count(*) AS n, avg((c_acctbal < 0)::INT::DOUBLE) AS x FROM customer) o, (SELECT count(*) AS n, avg((s_acctbal < 0)::INT::DOUBLE) AS x FROM supplier) w",
+    "coverage_matches": "SELECT prefix, weight, status, exact_match, alias_match FROM judged_m",
+    "target_coverage": "SELECT t.target, count(p.id) AS approvals, count(p.id) > 0 AS covered, coalesce(array_to_string(list_slice(list(p.id ORDER BY p.id) FILTER (p.id IS NOT NULL), 1, 3), '|'), '') AS examples FROM t_targets t LEFT JOIN (SELECT 'p' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_brand, p_name FROM part) p ON list_contains(t.makes, p.p_brand) AND CASE WHEN t.case_sensitive THEN regexp_matches(p.p_name, t.include) ELSE regexp_matches(p.p_name, t.include, 'i') END AND NOT coalesce(t.exclude <> '' AND regexp_matches(p.p_name, t.exclude, 'i'), FALSE) GROUP BY t.target",
+    "directory_rules": "SELECT printf('sv31-p%03d-r%03d', page, row) AS rule_id, part1 || part2 AS identifier, CASE WHEN part2 = '' THEN part1 || '.{14}' ELSE part1 || '.{8}' || part2 || '.{3}' END AS pattern, name FROM directory WHERE regexp_full_match(part1, '[A-HJ-NPR-Z0-9]{3}') AND (part1[3] = '9') = (part2 <> '')",
+    "directory_pages": "SELECT page, count(*) AS n_rows, 0::BIGINT AS n_gaps FROM directory GROUP BY page",
+    "latest_editions": "SELECT source, edition::VARCHAR AS edition, max(o_orderkey) AS locator FROM (SELECT o_orderpriority AS source, max(o_orderdate::DATE) AS edition FROM orders GROUP BY 1) JOIN orders ON o_orderpriority = source AND o_orderdate::DATE = edition GROUP BY 1, 2",
+    "public_schemas": f"SELECT s_name AS wmi, l_partkey AS schema_id, count(*) AS n, min(year(l_shipdate))::INT AS year_from, max(CASE WHEN l_returnflag <> 'N' THEN year(l_shipdate) + 1 ELSE {P.OPEN_END} END)::INT AS year_to FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_acctbal >= 0 AND p_size >= 10 GROUP BY 1, 2",
+    "resolved_values": "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN s_name ELSE l_quantity::BIGINT::VARCHAR END AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey * 2",
+    "preferences": "SELECT n_nationkey AS wmi, CASE WHEN n_regionkey = 1 THEN 'x ' ELSE 's ' END || n_nationkey AS name, n_name AS brand, (n_regionkey <> 1 AND n_nationkey IN (SELECT s_nationkey FROM supplier) AND coalesce(n = 1, FALSE)) AS ok FROM nation LEFT JOIN (SELECT c_custkey % 400 AS k, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1) ON k = n_nationkey AND k >= 5",
+    "document_urls": r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), 'https?://[^\s<>"'')\]]+'), lambda u: regexp_replace(u, '[.,;:]+$', '')), ' ') AS urls FROM documents""",
+    "encoded_cells": "SELECT p_partkey, base64(encode(p_name)) AS cell, p_name AS name FROM part",
 }
 
 

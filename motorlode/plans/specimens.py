@@ -111,6 +111,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "make_aliases": ("alias string, make_id string, name string, source_id string", [("ALPHA", "mk1", "Alpha", "id"), ("VOLKSWAGEN", "mk2", "Volkswagen", "id"), ("VOLKSWAGEN AG", "mk2", "Volkswagen", "id"), ("VW", "mk2", "Volkswagen", "id"), ("TESLA", "mk3", "Tesla", "id"), ("SKODA", "mk4", "Skoda", "id"), ("DELTA", "mk5", "Delta", "id"), ("TRAILEX", "mk6", "Trailex", "id")]),
     "model_aliases": ("make_id string, alias string, model_id string, name string, source_id string", [("mk1", "ALPHA", "md1", "Alpha", "id"), ("mk1", "BETA", "md2", "Beta", "id"), ("mk2", "GOLF", "md3", "Golf", "id"), ("mk3", "MODEL Y", "md4", "Model Y", "id"), ("mk4", "OCTAVIA", "md5", "Octavia", "id"), ("mk5", "GAMMA", "md6", "Gamma", "id"), ("mk2", "POLO", "md7", "Polo", "id")]),
     "sources": ("id string, publisher string, title string, url string, edition string, terms_url string, license_url string, reuse_url string", [("vw", "Maker", "Layout", "https://example.org/vw", "2009", None, "https://example.org/l", None), ("tesla", "Maker", "Layout", "https://example.org/t", None, "https://example.org/terms", None, None), ("kba", "Office", "Directory", "https://example.org/k", "3.1", None, None, "https://example.org/r"), ("patterns", "Agency", "Patterns", "https://example.org/p", "2026-09", None, None, None)]),
+    "accepted_aliases": ("make string, observed string, decoded string", [("Make 2", "Golf VII", "golf"), ("make 1", "GOLF", "GOLF")]),
+    "targets": (
+        "target string, makes array<string>, include string, case_sensitive boolean, exclude string",
+        [("t1", ["Brand#11", "Brand#23"], "A", False, "RED|blue"), ("t2", ["Brand#11"], "A", True, None), ("t3", ["Brand#34", "Brand#55", "Brand#12"], "e.*e", True, ""), ("t4", ["none"], ".", False, None)],
+    ),
     "masks": ("row int, category string, template string", [(1, "M1", "TMB...5E........."), (2, "M1", "TMB.............."), (3, "M1G", "TMBA5E........... / TMBB5E..........."), (4, "M1", "TMBA5E........... / T.BB5E..........."), (5, "N1", "WVWZZZ1K........."), (6, None, "WVWZZZ1K........."), (7, "M1", "WVWZZZ1K"), (8, "M1", " WVWZZZ1K......... / WVWZZZ1K.........")]),
     "wmi_rows": ("wmi_id int, wmi string, available string, manufacturer_id int, type_id int", [(1, "1HG", "2015-03-02 00:00:00", 1, 2), (2, "WVW", "2014-01-01", 2, 2), (3, "1IO", "2014-01-01", 2, 2), (4, "XP7", None, 3, 2), (5, "ZZ1", "2999-01-01", 3, 2), (6, "1H9333", "2016-06-06", 4, 9), (7, "O", None, 4, 9)]),
     "wmi_makes": ("wmi_id int, make_id int", [(1, 10), (1, 11), (2, 12), (4, 13)]),
@@ -145,7 +150,7 @@ def values_sql(name: str) -> str:
     import re
 
     columns = [c.split(" ", 1) for c in re.split(r", (?=\w+ )", schema)]
-    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "array<string>": "VARCHAR[]", "map<string,string>": "MAP(VARCHAR, VARCHAR)"}
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "array<string>": "VARCHAR[]", "map<string,string>": "MAP(VARCHAR, VARCHAR)", "boolean": "BOOLEAN"}
     names = ", ".join(f"CAST(c{i} AS {kinds.get(k, k.upper())}) AS {n}" for i, (n, k) in enumerate(columns))
     body = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(r, columns)) + ")" for r in rows)
     return f"SELECT {names} FROM (VALUES {body}) t({', '.join(f'c{i}' for i in range(len(columns)))})"

@@ -146,7 +146,7 @@ def unit_conversion(spark, d):
 
 
 def literal_rules(spark, d):
-    return literals.results(_literal(spark, d)[0])
+    return literals.results(_literal(spark, d)[0]).drop("has_alternatives")
 
 
 def literal_fields(spark, d):
@@ -267,16 +267,25 @@ def inventory_difference(spark, d):
     return quality.difference(a.select("wmi"), b.select("wmi"), ["wmi"])
 
 
+def _prefix(d):
+    """`d` (orders) with k and the ten-character prefix that stands for it; some can't be probed."""
+    k = F.col("o_custkey") % 500
+    third = F.when(k % 9 == 0, "9").when(k % 50 == 1, "I").otherwise("G")
+    return d.withColumn("k", k).withColumn("prefix", F.concat(F.lit("1H"), third, F.lit("AAAA"), F.lpad(k.cast("string"), 3, "0")))
+
+
 def _probes(spark, d):
-    """Orders as probes: the last key digits are the prefix, the priority what each probe knows."""
-    o = _read(spark, d, "orders")
-    status = F.when(F.col("o_orderkey") % 11 == 0, "UNKNOWN").otherwise("KNOWN")
-    return o.select((F.col("o_custkey") % 500).alias("prefix"), status.alias("status"), F.when(status == "KNOWN", F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.substring("o_orderpriority", 1, 0))).alias("value"))
+    """Orders as probes of supported prefixes, with what each of them knows."""
+    o = _prefix(_read(spark, d, "orders")).where(coverage.supported_prefix(F.col("prefix")))
+    status = F.when((F.col("k") % 5 == 0) & (F.col("o_orderkey") % 11 == 0), "UNKNOWN").when(F.col("k") % 5 == 1, "AMBIGUOUS").otherwise("KNOWN")
+    value = F.when(F.col("k") % 7 == 3, F.lit(None)).when(F.col("k") % 3 == 0, F.col("o_orderpriority")).when(F.col("o_orderkey") % 2 == 0, " Golf ").otherwise("golf")
+    return o.select("prefix", status.alias("status"), F.when(status == "KNOWN", value).alias("value"))
 
 
 def _labels(spark, d):
-    o = _read(spark, d, "orders")
-    return coverage.grouped(o.select((F.col("o_custkey") % 500).alias("prefix"), F.when(F.col("o_custkey") % 4 == 0, F.col("o_orderstatus")).otherwise("").alias("labels"), F.lit(1).alias("vehicle_count")), ["labels"])
+    o = _prefix(_read(spark, d, "orders"))
+    label = F.when(F.col("k") % 4 == 0, F.col("o_orderstatus")).when(F.col("k") % 4 == 1, "GOLF").otherwise("golf  VII")
+    return coverage.grouped(o.select("prefix", label.alias("labels"), F.concat(F.lit("make "), (F.col("k") % 4).cast("string")).alias("makes"), F.lit(1).alias("vehicle_count")), ["labels", "makes"])
 
 
 def probe_consensus(spark, d):
@@ -284,7 +293,11 @@ def probe_consensus(spark, d):
 
 
 def _judged(spark, d):
-    return coverage.judged(coverage.probe_consensus(_probes(spark, d), ["prefix"]), _labels(spark, d), ["prefix"])
+    return coverage.judged(coverage.probe_consensus(_probes(spark, d), ["prefix"]), _labels(spark, d), ["prefix"], S.table(spark, "accepted_aliases"))
+
+
+def coverage_matches(spark, d):
+    return _judged(spark, d).select("prefix", "weight", "status", "exact_match", "alias_match")
 
 
 def coverage_summary(spark, d):
@@ -295,8 +308,14 @@ def coverage_weighted(spark, d):
     return coverage.summary(_judged(spark, d).withColumn("make", F.when(F.size("labels") == 1, F.col("labels")[0]).otherwise("SOURCE_CONFLICT")), ["make"], "weight")
 
 
+def target_coverage(spark, d):
+    p = _read(spark, d, "part")
+    a = p.select(F.format_string("p%08d", F.col("p_partkey")).alias("approval_id"), F.create_map(F.lit("make"), F.col("p_brand"), F.lit("type"), F.col("p_name")).alias("fields"))
+    return coverage.target_coverage(a, S.table(spark, "targets")).select("target", "approvals", "covered", _joined("examples").alias("examples"))
+
+
 def top_mismatches(spark, d):
-    o = _read(spark, d, "orders").where("o_orderstatus <> 'F'")
+    o = _read(spark, d, "orders")
     return coverage.top(o.select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], [F.col("o_totalprice").desc(), "o_orderkey"])
 
 
@@ -305,8 +324,69 @@ def systematic_sample(spark, d):
 
 
 def drift_guard(spark, d):
-    o = _read(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("excluded"))
-    return quality.drift(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"))
+    flagged = lambda t, c: _read(spark, d, t).select((F.col(c) < 0).alias("excluded"))
+    return quality.drift(flagged("customer", "c_acctbal"), flagged("supplier", "s_acctbal"))
+
+
+def directory_rules(spark, d):
+    return etl.directory_rules(_directory(spark, d))
+
+
+def directory_pages(spark, d):
+    """Rows of each page of the directory, and its row numbers that are missing or repeated."""
+    rows = _directory(spark, d)
+    gaps = quality.gaps(rows.select("page", "row"), "page", "row").groupBy("page").agg(F.count("*").alias("n_gaps"))
+    return rows.groupBy("page").agg(F.count("*").alias("n_rows")).join(gaps, "page", "left").select("page", "n_rows", F.coalesce("n_gaps", F.lit(0).cast("long")).alias("n_gaps"))
+
+
+def _directory(spark, d):
+    """Customers as directory rows of 50 a page: a key of three characters, for some with an extension."""
+    key = F.upper(F.translate(F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 2), "abcdef", "ABCDEF"))
+    nine = F.col("c_custkey") % 6 == 0
+    part1 = F.concat(key, F.when(nine, "9").when(F.col("c_custkey") % 7 == 0, "O").otherwise("A"))
+    part2 = F.when(nine & (F.col("c_custkey") % 12 == 0), F.substring(F.upper(F.md5(F.col("c_name").cast("binary"))), 1, 3))
+    c = _read(spark, d, "customer")
+    return c.select(F.floor(F.col("c_custkey") / 50).cast("int").alias("page"), (F.col("c_custkey") % 50 + 1).cast("int").alias("row"), part1.alias("part1"), part2.alias("part2"), F.col("c_name").alias("name"))
+
+
+def latest_editions(spark, d):
+    o = _read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").cast("string").alias("edition")).agg(F.max("o_orderkey").alias("locator"))
+    return etl.latest(o, ["source"], "edition", "locator")
+
+
+def public_schemas(spark, d):
+    """Lines as links of keys (suppliers) and schemas (parts); some parts await review, some suppliers aren't public."""
+    links = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("wmi_id"), F.col("l_partkey").alias("schema_id"), F.year("l_shipdate").alias("year_from"), F.when(F.col("l_returnflag") != "N", F.year("l_shipdate") + 1).alias("year_to"))
+    keys = _read(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("wmi_id"), F.col("s_name").alias("wmi"))
+    schemas = _read(spark, d, "part").select(F.col("p_partkey").alias("schema_id"), F.when(F.col("p_size") < 10, "t").when(F.col("p_size") < 30, "f").alias("tobeqced"))
+    return etl.public_schemas(links, keys, schemas).groupBy("wmi", "schema_id").agg(F.count("*").alias("n"), F.min("year_from").alias("year_from"), F.max("year_to").alias("year_to"))
+
+
+def resolved_values(spark, d):
+    """Lines as patterns whose attribute names a part, a supplier or itself, as their element says."""
+    kind = F.col("l_linenumber") % 3
+    p = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind.cast("int").alias("element_id"), F.when(kind == 0, F.col("l_partkey")).when(kind == 1, F.col("l_suppkey") * 2).otherwise(F.col("l_quantity").cast("long")).cast("string").alias("attribute_id"))
+    elements = spark.createDataFrame([(0, "Part"), (1, "SUPPLIER"), (2, None)], "element_id int, lookup_table string")
+    names = lambda t, k, n: _read(spark, d, t).select(F.lit(t).alias("table"), F.col(k).cast("string").alias("id"), F.col(n).alias("name"))
+    return etl.resolved_values(p, elements, names("part", "p_partkey", "p_name").unionByName(names("supplier", "s_suppkey", "s_name"))).select("l_orderkey", "l_linenumber", "value")
+
+
+def preferences(spark, d):
+    """Nations' suppliers as a directory, customers' nations as assignments, and preferred rows of each nation."""
+    named = lambda t, p: _read(spark, d, t).select(F.col(f"{p}_nationkey").alias("wmi"), F.concat(F.lit(f"{p} "), F.col(f"{p}_nationkey").cast("string")).alias("name"))
+    assigned = _read(spark, d, "customer").select((F.col("c_custkey") % 400).alias("wmi"), F.col("c_mktsegment").alias("brand")).distinct()
+    preferred = _read(spark, d, "nation").select(F.col("n_nationkey").alias("wmi"), F.concat(F.when(F.col("n_regionkey") == 1, "x ").otherwise("s "), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("brand"))
+    return etl.preferences(preferred, named("supplier", "s"), assigned.where("wmi >= 5"))
+
+
+def document_urls(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.array_join(T.urls(F.coalesce("text", F.lit(""))), " ").alias("urls"))
+
+
+def encoded_cells(spark, d):
+    """Names of parts as base64 cells, and read back."""
+    cell = T.encoded_cell(F.col("p_name"))
+    return _read(spark, d, "part").select("p_partkey", cell.alias("cell"), T.decoded_cell(cell).alias("name"))
 
 
 QUERIES = {
@@ -315,6 +395,7 @@ QUERIES = {
         vin_normalize_structure, type_code_validity, wmi_key_lookup_path, wmi_key_rich_path, wmi_candidates, wmi_resolution, type_code_lookup, year_candidates, pattern_matches, pattern_top1,
         pattern_fields, formula_capture, engine_relation, model_make, unit_conversion, literal_rules, literal_fields, merged_fields, details_status, approval_masks, approval_fields, approval_status,
         template_validation, identity_consensus, decision_status, code_decision, source_credits, answer_short, answer_long, constraint_overlaps, orphan_references, duplicate_keys, wmi_export_filter,
-        assignment_etl, directory_comparison, directory_counts, inventory_difference, probe_consensus, coverage_summary, coverage_weighted, top_mismatches, systematic_sample, drift_guard,
+        assignment_etl, directory_comparison, directory_counts, inventory_difference, probe_consensus, coverage_matches, coverage_summary, coverage_weighted, target_coverage, top_mismatches, systematic_sample, drift_guard,
+        directory_rules, directory_pages, latest_editions, public_schemas, resolved_values, preferences, document_urls, encoded_cells,
     )
 }

@@ -135,9 +135,17 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content, length) of all files below a folder; the name is the path from it on."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = "/" + folder.split("://")[-1].partition("/")[2] if "://" in folder else folder
+    inner = F.split(F.col("path"), f"\\Q{root.rstrip('/')}/\\E", 2)
+    return files.select(F.element_at(inner, -1).alias("name"), "content", "length")
+
+
 def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(name, problem) of files that are missing, unexpected or other than in the manifest (name, sha256)."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"))
+    files = contents(spark, folder).select("name", F.sha2("content", 256).alias("actual"))
     j = manifest.join(files, "name", "full_outer")
     problem = F.when(F.col("actual").isNull(), "MISSING").when(F.col("sha256").isNull(), "UNEXPECTED").when(F.col("sha256") != F.col("actual"), "CHANGED")
     return j.select("name", problem.alias("problem")).where("problem is not null")

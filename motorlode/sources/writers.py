@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motorlode import policy
 from motorlode.functions import text as T
 from motorlode.operators import approvals
+from motorlode.sources.readers import contents
 
 
 def sorted_tsv(rows: DataFrame, path: str, key: str = "id") -> None:
@@ -29,8 +30,7 @@ def by_prefix(rows: DataFrame, path: str) -> None:
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(name, sha256, bytes) of the files of a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return contents(spark, folder).select("name", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def report(rows: DataFrame, path: str) -> None:

@@ -38,7 +38,7 @@ def test_years(spark):
     assert one(spark, c, v="5UPAA2420UA000001", y=None, k=6, t="") == []  # no year code
 
 
-@pytest.mark.parametrize("v, op, f, want", [("183", "*", "0.016387064", "2.998833"), ("10", "/", "4", "2.5"), ("x", "*", "2", None), ("NaN", "*", "2", None), ("100", "*", "1", "100"), ("0", "*", "5", "0"), (None, "*", "2", None)])
+@pytest.mark.parametrize("v, op, f, want", [("183", "*", "0.016387064", "2.998833"), ("10", "/", "4", "2.5"), ("x", "*", "2", None), ("NaN", "*", "2", None), ("100", "*", "1", "100"), ("0", "*", "5", "0"), (None, "*", "2", None), ("1000000000000", "*", "61.023744095", "61023744095000"), ("0.0000005", "*", "1", "0.000001"), ("9" * 30, "*", "2", None), ("1", "/", "0", None)])
 def test_conversion_rounds_half_up_without_trailing_zeros(spark, v, op, f, want):
     assert one(spark, T.converted(F.col("v"), F.col("op"), F.col("f")), v=v, op=op, f=f) == want
 
@@ -71,13 +71,13 @@ def test_small_texts(spark):
     assert one(spark, T.context_problem(F.col("y"), F.col("m")), y=2000, m="us") == "INVALID_MARKET"
 
 
-@pytest.mark.parametrize("key, want", [("**##", r"\A..[0-9][0-9]"), ("A_%", r"\AA..*"), ("[A-C]*", r"\A[A-C]."), ("[1-A]", r"\A[1A]"), ("[*]_", r"\A[.]_"), ("[A]#", None), ("A|B", r"\AA\|B")])
+@pytest.mark.parametrize("key, want", [("**##", r"\A..[0-9][0-9]"), ("A_%", r"\AA..*"), ("[A-C]*", r"\A[A-C]."), ("[1-A]", r"\A[1A]"), ("[*]_", r"\A[.]_"), ("[A]#", None), ("A|B", r"\AA\|B"), ("", r"\A"), ("[A.]", r"\A[A\.]"), ("#*%", r"\A[0-9]..*")])
 def test_wildcards(key, want):
     assert etl.wildcard_to_regex(key) == want
 
 
 def test_wildcards_reject():
-    for bad in ("[A", "a b", "é"):
+    for bad in ("[A", "a b", "é", "A-B", "[A]-", "[A]%", "[é]", "a[b][", "a]b"):
         with pytest.raises(ValueError):
             etl.wildcard_to_regex(bad)
     assert etl.capture_of("**##*#") == (2, 4)
@@ -87,6 +87,7 @@ def test_copy_cells():
     assert etl.unescape_copy(r"\N") is None
     assert etl.unescape_copy(r"a\tb\\c\303\251\x41") == "a\tb\\cé" + "A"
     assert etl.unescape_copy("") == ""
+    assert etl.unescape_copy(r"\8\x\é\1011") == "8xéA1" and etl.unescape_copy("\\") == "\\"
 
 
 def test_ids_and_json():
@@ -95,7 +96,11 @@ def test_ids_and_json():
     assert etl.strict_json('{"a": 1}') == {"a": 1}
     with pytest.raises(ValueError):
         etl.strict_json('{"a": 1, "a": 2}')
-    assert etl.bounded_grammar("WVW[A-C]{3}.") and not etl.bounded_grammar("A+")
+    assert etl.slug("AZaz09_é") == "azaz09~5f~c3~a9"
+    assert all(map(etl.bounded_grammar, ("WVW[A-C]{3}.", ".{11}000000", "A{1}", "[A-Z]{10}")))
+    assert not any(map(etl.bounded_grammar, ("A+", "I", "WVO", "[AQ]", "{3}", "A{1}{2}", "A{123}", "A{}", "", "[]", "a")))
+    with pytest.raises(ValueError):
+        etl.literal_prefixes("A|B")
 
 
 def test_literal_prefixes():
