@@ -59,7 +59,7 @@ def unescape_copy(cell: str) -> str | None:
 
 def slug(label: str) -> str:
     """Bytes that are ASCII letters or digits in lower case, others as ~ and two hex digits."""
-    return re.sub(rb"[^0-9A-Za-z]", lambda m: b"~%02x" % m[0], label.encode()).decode().lower()
+    return re.sub(rb"[^0-9A-Za-z]", lambda m: b"~%02x" % ord(m[0]), label.encode()).decode().lower()
 
 
 def canonical_json(value) -> str:
