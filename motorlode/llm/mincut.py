@@ -14,25 +14,31 @@ from motorlode.llm.common import mapped
 # Elements by their part in a page (HTML standard names).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select option svg iframe object title head math canvas audio video button datalist".split())
-BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
-CONTENT = frozenset("article main".split())
+RAW = frozenset("script style noscript template textarea select option svg iframe object title head canvas audio video datalist".split())
+CONTROLS = frozenset("a button".split())
 #: A new one of these ends an open p; and each ends an open element of its own kind in the same list or table.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table menu".split())
 
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widgets?|footer|foot|masthead|topbar|toolbar|header|banner|ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|reactions|related|recommended|trending|pagination|pager|copyright|legal|disclaimer|tags|hidden)(?:$|[\s_-]|\d)", re.IGNORECASE)
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|post|postbody|entry|story|content|main|maintext|text|body|prose)(?:$|[\s_-]|\d)", re.IGNORECASE)
+#: What elements, roles and words of class names and ids say of what they hold, in thousandths: evidence, none of it final.
+TAGS = {"nav": -9000, "footer": -9000, "menu": -9000, "dialog": -9000, "aside": -8000, "form": -8000, "header": -6000, "article": 6000, "main": 6000}
+ROLES = dict.fromkeys("navigation banner contentinfo complementary search form dialog alert menu menubar".split(), -9000) | {"main": 6000, "article": 6000}
+COMMENTS = frozenset("comment comments commentlist commenter disqus respond replies reply discussion reactions".split())
+BAD_NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar toolbar banner ad ads advert adverts advertisement advertisements advertising adbox sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended trending pagination pager copyright legal disclaimer tags hidden".split())
+WEAK_NAMES = frozenset("header foot side top".split())
+GOOD_NAMES = frozenset("article articles post posts postbody entry story content main maintext text body prose blog".split())
+#: What follows one of these in a name is beside the element or missing: has-sidebar, no-menu.
+ASIDES = frozenset("has with without no not is js".split())
+COMMENT, BAD, WEAK, GOOD, INVISIBLE = -12000, -8000, -5000, 3000, -12000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]{0,20000}"|'[^']{0,20000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Capacities in thousandths: what blocks of known regions, words, link text and smoothness weigh.
-REGION, WEAK_REGION, HEADING, WORD, LINK, NEUTRAL = 9000, 3000, 600, 100, 7000, 500
+#: Capacities in thousandths: what headings, words, link text and smoothness weigh. Words beyond SOME weigh less.
+HEADING, WORD, MORE_WORDS, SOME, LINK, NEUTRAL = 600, 100, 15, 60, 7000, 500
 ADJACENT, SIBLING = 700, 500
-LONGEST = 60
 
 
 class Block:
@@ -42,28 +48,45 @@ class Block:
         self.text, self.links, self.tag, self.parent, self.region, self.depth = text, links, tag, parent, region, depth
 
 
-def _region(tag: str, attributes: str, inherited: int) -> int:
-    """Capacity towards content (positive) or boilerplate of what an element holds; the innermost clear sign counts."""
-    if inherited <= -REGION:
-        return inherited
-    if tag in BOILERPLATE:
-        return -REGION
-    sign = 0
-    if tag in CONTENT:
-        sign = REGION
-    elif tag == "header":
-        return inherited if inherited > 0 else -REGION
-    if attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "role" and value.lower() in _BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                return -REGION
-            if name in ("class", "id"):
-                if tag not in ("body", "html", "article", "main") and BAD_NAME.search(value):
-                    return -REGION
-                if GOOD_NAME.search(value):
-                    sign = max(sign, WEAK_REGION)
-    return max(sign, inherited)
+def name_weight(name: str) -> int:
+    """What one class name or id says: any part of boilerplate decides, a weak one unless there is one of content."""
+    parts = [x.lower() for x in _NAME_PART.findall(name)]
+    parts = parts[: next((k for k, x in enumerate(parts) if x in ASIDES), len(parts))]
+    found = [any(x in kind for x in parts) for kind in (COMMENTS, BAD_NAMES, WEAK_NAMES, GOOD_NAMES)]
+    if found[0] or found[1]:
+        return COMMENT if found[0] else BAD
+    return (0 if found[2] else GOOD) if found[3] else WEAK if found[2] else 0
+
+
+def _own_weight(tag: str, attributes: str, outer: int) -> int:
+    """What an element itself says: the strongest sign of boilerplate, else the strongest of content."""
+    signs = [TAGS.get(tag, 0)]
+    if tag == "header" and outer > 0:  # of the article
+        signs = [0]
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            signs.append(INVISIBLE)
+        elif name == "role":
+            signs.append(ROLES.get(value.lower(), 0))
+        elif name in ("class", "id"):
+            found = [name_weight(x) for x in value.split()]
+            if tag in ("body", "html", "main"):  # they hold the page, whatever else it has
+                found = [x for x in found if x > 0]
+            elif tag == "article":
+                found = [x for x in found if x > 0 or x == COMMENT]
+            signs += found
+    return min(signs) if min(signs) < 0 else max(signs)
+
+
+def nested(outer: int, own: int) -> int:
+    """Evidence within an element: its own, and a share of that around it. Content within boilerplate
+    is mostly boilerplate still; boilerplate within content is so mostly too."""
+    if not own:
+        return outer
+    if own > 0 <= outer:
+        return max(own, outer) + min(own, outer) // 4
+    return own + outer * (8 if own > 0 else 3) // 10 if (own > 0) != (outer > 0) else min(own, outer) + max(own, outer) // 4
 
 
 def blocks(page: str) -> list[Block]:
@@ -132,16 +155,20 @@ def blocks(page: str) -> list[Block]:
             continue
         count += 1
         top = stack[-1]
-        stack.append((tag, count, _region(tag, attributes, top[2]), top[3] or tag == "a"))
+        stack.append((tag, count, nested(top[2], _own_weight(tag, attributes, top[2])), top[3] or tag in CONTROLS))
     close()
     return out
 
 
 def capacity(b: Block) -> int:
-    """The classifier's signed cost: above zero towards content, below towards boilerplate."""
+    """The classifier's signed cost: above zero towards content, below towards boilerplate.
+
+    A weighted sum of features: the evidence of the elements around, words, the share of link text,
+    headings. Each is finite, so enough prose wins a block back from any container.
+    """
     words = b.text.count(" ") + 1
-    own = WORD * min(words, LONGEST) - NEUTRAL - LINK * min(b.links, len(b.text)) // len(b.text)
-    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and b.region > 0:
+    own = WORD * min(words, SOME) + MORE_WORDS * max(0, words - SOME) - NEUTRAL - LINK * min(b.links, len(b.text)) // len(b.text)
+    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         own += HEADING
     return own + b.region
 

@@ -94,7 +94,36 @@ def test_main_text():
     assert mincut.main_text(plain).count("many") == 4 and "link" not in mincut.main_text(plain)
 
 
-@pytest.mark.parametrize("broken", ["", "<", "<p", "<a href='x>text", "<script>if (a<b) {", "<!-- open", "<b>" * 5000 + "deep", "</div></p></nav>", "<" * 3000, "a &#xZZ; &nosuch; b"])
+WORDS12 = "these are twelve plain words that make up a paragraph of text"
+
+
+@pytest.mark.parametrize("name, kept", [("post-content has-sidebar", True), ("article-header", True), ("entryHeader", True), ("no-nav", True), ("post-comments", False), ("main-menu", False), ("sidebar-content", False), ("site-header", False), ("adBox", False), ("address", True), ("badge", True)])
+def test_compound_names(name, kept):
+    page = f"<article><h1>Title</h1><p>{WORDS12}</p></article><div class='{name}'><p>{WORDS12} 2</p></div>"
+    assert (f"{WORDS12} 2" in mincut.main_text(page)) == kept and mincut.main_text(page).startswith(f"Title {WORDS12}")
+
+
+def test_no_name_is_final():
+    wrapped = f"<body class='has-sidebar'><div class='sidebar-layout'><article><div class='article-header'><h1>Title</h1></div><div class='post-content has-sidebar'><p>{WORDS12} <math>x + 1</math> and <button>OK</button></p></div></article></div></body>"
+    assert mincut.main_text(wrapped) == f"Title {WORDS12} x + 1 and OK"
+    prose = " ".join([WORDS12] * 30)
+    assert mincut.main_text(f"<div class='widget'><p>{prose}</p></div>") == prose and mincut.main_text(f"<div class='widget'><p>{WORDS12}</p></div>") == ""
+    comments = f"<div id='comments'><article><p>{WORDS12} {WORDS12} {WORDS12}</p></article></div>"
+    assert mincut.main_text(f"<main><p>{WORDS12}</p></main>{comments}") == WORDS12
+    long = "x" * 30_000 + "> b"
+    assert mincut.main_text(f"<p><img alt='{long}' src=y>{WORDS12}</p>") == WORDS12
+
+
+def test_the_cut_overrules_single_costs():
+    """Short lines between paragraphs are content by their neighbours, though each alone would go."""
+    page = f"<div><p>{WORDS12}</p><p>So.</p><p>{WORDS12}</p><p>Why</p><p>{WORDS12}</p></div><div><a href=x>So.</a></div>"
+    found = mincut.blocks(page)
+    alone = [mincut.capacity(b) > 0 for b in found]
+    cut = mincut.minimum_cut([mincut.capacity(b) for b in found], mincut.edges(found))
+    assert alone == [True, False, True, False, True, False] and cut == [True] * 5 + [False]
+
+
+@pytest.mark.parametrize("broken", ["", "<", "<p", "<a href='x>text", "<script>if (a<b) {", "<!-- open", "<b>" * 5000 + "deep", "</div></p></nav>", "<" * 3000, "a &#xZZ; &nosuch; b", "<a title=\"" * 2000, "<p class='x" * 999])
 def test_broken_markup_never_fails(broken):
     assert isinstance(mincut.main_text(broken), str)
 
