@@ -26,11 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that of the smallest doc_id; of rows that repeat it, one."""
+    """One document of each SimHash group, that of the smallest doc_id.
+
+    Of rows that repeat a doc_id and its text one stays, the least by its other columns; rows of one
+    doc_id with different texts are different documents and stay.
+    """
     groups = stored(simhash.simhash_groups(docs))
     kept = without(docs, groups.where("doc_id <> component_id"))
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(small(twice), "doc_id", "left_semi")
+    one = again.groupBy("doc_id", "text").agg(F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("rest"))
+    return without(kept, twice).unionByName(one.select("doc_id", "text", "rest.*").select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn at the rates that bring sources, languages and topics to their targets."""
-    return mixing.mix(docs).where("mix_kept").select(*docs.columns)
+    return mixing.mix(docs).where(F.col(mixing.new_names(docs.columns)["kept"])).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,56 +28,76 @@ def topic_of(text):
     return F.when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("License")), "license").when(words < 50, "snippet").when(words > 1000, "long").otherwise("prose")
 
 
-def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with mix_source, mix_lang, mix_topic and mix_tokens (words); nulls are named NONE, null texts empty."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "mix_topic": topic_of(whole), "mix_tokens": F.regexp_count(whole, F.lit(r"\S+")).cast("long")})
+def new_names(columns: list[str]) -> dict[str, str]:
+    """Names of the columns that mix() adds: mix_source and so on, with underscores where a column has that name."""
+    out = {}
+    for name in ("source", "lang", "topic", "tokens", "rate", "kept"):
+        out[name] = f"mix_{name}"
+        while out[name] in columns:
+            out[name] += "_"
+    return out
 
 
-def cell_table(docs: DataFrame) -> DataFrame:
-    """Tokens of each cell; the only shuffle of corpus size, after a sum on the map side."""
-    return docs.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").cast("double").alias("base")).where("base > 0")
+def with_cells(docs: DataFrame, text: str = "text", topic=None) -> DataFrame:
+    """`docs` with source, lang, topic and tokens (words) under new_names; nulls are named NONE, null texts empty."""
+    whole, names = F.coalesce(F.col(text), F.lit("")), new_names(docs.columns)
+    margin = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    return docs.withColumns({names["source"]: margin(F.col("source")), names["lang"]: margin(F.col("lang")), names["topic"]: margin(topic_of(whole) if topic is None else topic), names["tokens"]: F.regexp_count(whole, F.lit(r"\S+")).cast("long")})
 
 
-def rake(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """`cells` (a column for each margin, base) with weight, whose margins are the targets'.
+def cell_table(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Tokens of each cell of with_cells(); the only shuffle of corpus size, after a sum on the map side."""
+    return docs.groupBy(*(F.col(names[d]).alias(d) for d in ("source", "lang", "topic"))).agg(F.sum(names["tokens"]).cast("double").alias("base")).where("base > 0")
 
-    Starts from the base shares and scales one margin after the other until the largest relative
-    miss is below the tolerance, or for `sweeps` rounds at most where zero cells rule out a fit.
+
+def filled(rows: DataFrame, key: str, budget: float = BUDGET) -> DataFrame:
+    """(key, goal) of `rows` (key, base, share): tokens to draw of each, `budget` times all in total.
+
+    They are in proportion to the shares, but for values that have fewer tokens: these go whole, and
+    the others make up for them. goal = min(base, x share); x follows from what the whole ones leave.
+    """
+    order = Window.partitionBy().orderBy((F.col("share") / F.col("base")).desc(), key)
+    upto, all_ = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.sum("base").over(all_) * budget - F.sum("base").over(upto) + F.col("base")
+    rest = F.sum("share").over(all_) - F.sum("share").over(upto) + F.col("share")
+    x = rows.withColumn("x", left / F.greatest(rest, F.lit(1e-300)))
+    x = x.withColumn("x", F.first(F.when(F.col("x") * F.col("share") < F.col("base"), F.col("x")), ignorenulls=True).over(all_))
+    return x.select(key, F.when(F.col("x").isNull(), F.col("base")).otherwise(F.least("base", F.col("x") * F.col("share"))).alias("goal"))
+
+
+def rake(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """(`cells` (a column for each margin, base) with goals and weight, largest miss of a margin left).
+
+    The weight is the tokens to draw of a cell. It starts as all it has, and one margin after the
+    other is scaled to its goals, no cell beyond what it has, until the largest miss, relative to all
+    tokens drawn, is below the tolerance, or for `sweeps` rounds at most. Goals (see filled) follow
+    `targets` (margin: a table (margin, share); values that aren't in it get nothing), else the
+    present shares to the power in `temperatures`.
     """
     cells = checkpointed(cells)
     tasks = max(1, -(-cells.count() // CELLS_PER_TASK))
     for d, power in temperatures.items():
-        margin = cells.groupBy(d).agg(F.sum("base").alias("b"))
-        margin = margin.select(d, (F.pow("b", F.lit(power)) / F.sum(F.pow("b", F.lit(power))).over(Window.partitionBy())).alias(f"goal_{d}"))
-        cells = cells.join(small(margin), d)
+        margin = cells.groupBy(d).agg(F.sum("base").alias("base"))
+        if targets and d in targets:
+            margin = margin.join(targets[d].groupBy(d).agg(F.sum("share").alias("share")), d, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        else:
+            margin = margin.withColumn("share", F.pow("base", F.lit(power)))
+        cells = cells.join(small(filled(margin, d, budget)).withColumnRenamed("goal", f"goal_{d}"), d)
     cells = cells.withColumn("weight", F.col("base"))
     cells = checkpointed(cells.repartition(tasks))  # one task: no window below shuffles
+    missed = 0.0
     for k in range(0, sweeps, SWEEPS_AT_ONCE):
         for _ in range(SWEEPS_AT_ONCE):
             for d in temperatures:
-                cells = cells.withColumn("weight", F.col("weight") * F.col(f"goal_{d}") / F.sum("weight").over(Window.partitionBy(d).orderBy(*temperatures).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+                total = F.sum("weight").over(Window.partitionBy(d).orderBy(*temperatures).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                cells = cells.withColumn("weight", F.least("base", F.col("weight") * F.coalesce(F.try_divide(F.col(f"goal_{d}"), total), F.lit(0.0))))
         cells = checkpointed(cells)
-        misses = [F.max(F.abs(F.col(f"sum_{d}") / F.col(f"goal_{d}") - 1)).alias(d) for d in temperatures]
-        miss = cells.withColumns({f"sum_{d}": F.sum("weight").over(Window.partitionBy(d)) for d in temperatures}).agg(*misses).first()
-        if max(x or 0.0 for x in miss) < tolerance:
+        misses = [F.max(F.abs(F.col(f"sum_{d}") - F.col(f"goal_{d}"))).alias(d) for d in temperatures]
+        row = cells.withColumns({f"sum_{d}": F.sum("weight").over(Window.partitionBy(d)) for d in temperatures}).agg(F.sum("base").alias("all"), *misses).first()
+        missed = max((row[d] or 0.0) / max(1.0, (row["all"] or 0.0) * budget) for d in temperatures)
+        if missed < tolerance:
             break
-    return cells
-
-
-def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """`cells` with rate: the probability with which each document of a cell is drawn.
-
-    The expected tokens are `budget` times all: rate = min(1, x weight / base), with the one x for
-    which they are. Cells drawn whole are the first by weight / base; x follows from what they leave.
-    """
-    order = Window.partitionBy().orderBy((F.col("weight") / F.col("base")).desc(), "source", "lang", "topic")
-    upto, all_ = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("base").over(all_) * budget - F.sum("base").over(upto) + F.col("base")
-    rest = F.sum("weight").over(all_) - F.sum("weight").over(upto) + F.col("weight")
-    x = cells.withColumn("x", left / F.greatest(rest, F.lit(1e-300)))
-    x = x.withColumn("x", F.first(F.when(F.col("x") * F.col("weight") < F.col("base"), F.col("x")), ignorenulls=True).over(all_))
-    return x.withColumn("rate", F.when(F.col("x").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("x") * F.col("weight") / F.col("base")))).drop("x")
+    return cells, missed
 
 
 def draw(key, seed: str = SEED):
@@ -85,26 +105,39 @@ def draw(key, seed: str = SEED):
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET) -> DataFrame:
-    """`docs` with mix_source, mix_lang, mix_topic, mix_tokens, mix_rate and mix_kept.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, topic=None) -> DataFrame:
+    """`docs` with mix_source, mix_lang, mix_topic, mix_tokens, mix_rate and mix_kept (see new_names).
 
-    Null sources and languages form cells of their own, documents without words are drawn like
-    their cell, or always if it has no words at all; rows of one key share their draw. All rows
-    and columns stay.
+    Each document of a cell is drawn at its rate: the cell's raked weight over its tokens. `topic` is
+    a column, else topic_of the text; `targets` as for rake. Null margin values form cells of their
+    own, documents without words are drawn like their cell, or always if it has no words at all;
+    rows of one key share their draw. All rows and columns stay, whatever the columns are called.
     """
-    docs = with_cells(docs, text)
-    rates = calibrated(rake(cell_table(docs), temperatures), budget)
-    rates = checkpointed(rates.select(*(F.col(d).alias(f"mix_{d}") for d in ("source", "lang", "topic")), F.col("rate").alias("mix_rate")))
-    docs = docs.join(small(rates), ["mix_source", "mix_lang", "mix_topic"], "left").withColumn("mix_rate", F.coalesce("mix_rate", F.lit(1.0)))
-    return docs.withColumn("mix_kept", draw(key) < F.col("mix_rate"))
+    names = new_names(docs.columns)
+    docs = with_cells(docs, text, topic)
+    cells, _ = rake(cell_table(docs, names), temperatures, budget, targets)
+    margins = [names[d] for d in ("source", "lang", "topic")]
+    rates = checkpointed(cells.select(*(F.col(d).alias(names[d]) for d in ("source", "lang", "topic")), (F.col("weight") / F.col("base")).alias(names["rate"])))
+    out = docs.join(small(rates), margins, "left").withColumn(names["rate"], F.coalesce(names["rate"], F.lit(1.0)))
+    return out.withColumn(names["kept"], draw(key) < F.col(names["rate"])).select(*docs.columns, names["rate"], names["kept"])
 
 
 def op6_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, rate, kept) of every document."""
-    return mix(docs).select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_kept").alias("kept"))
+    out = mix(docs.select("doc_id", "text", "source", "lang"))
+    return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_kept").alias("kept"))
+
+
+_SWEEP = "SELECT source, lang, topic, base, gs, gl, gt, it, least(base, w * {g} / sum(w) OVER (PARTITION BY it, {d})) AS w FROM {f}"
+
 
+def _goals(d: str) -> str:
+    """SQL: the goals of a margin."""
+    return f"""{d}0 AS (SELECT {d}, sum(base) AS base, pow(sum(base), {TEMPERATURES[d]}) AS share FROM c GROUP BY {d}),
+{d}1 AS (SELECT *, sum(base) OVER () * {BUDGET} - sum(base) OVER u + base AS l, sum(share) OVER () - sum(share) OVER u + share AS t
+         FROM {d}0 WINDOW u AS (ORDER BY share / base DESC, {d} ROWS UNBOUNDED PRECEDING)),
+{d}2 AS (SELECT {d}, coalesce(least(base, (SELECT arg_max(l / t, share / base) FILTER (l / t * share < base) FROM {d}1) * share), base) AS goal FROM {d}1)"""
 
-_SWEEP = "SELECT source, lang, topic, base, gs, gl, gt, it, w * {g} / sum(w) OVER (PARTITION BY it, {d}) AS w FROM {f}"
 
 #: The same rows in DuckDB: as many sweeps, by a recursive query.
 ORACLE = rf"""
@@ -114,18 +147,15 @@ WITH RECURSIVE d AS (
 e AS (SELECT doc_id, source, lang, tokens, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'License') THEN 'license'
         WHEN tokens < 50 THEN 'snippet' WHEN tokens > 1000 THEN 'long' ELSE 'prose' END AS topic FROM d),
 c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS base FROM e GROUP BY ALL HAVING sum(tokens) > 0),
-ms AS (SELECT source, pow(sum(base), {TEMPERATURES["source"]}) AS g FROM c GROUP BY source),
-ml AS (SELECT lang, pow(sum(base), {TEMPERATURES["lang"]}) AS g FROM c GROUP BY lang),
-mt AS (SELECT topic, pow(sum(base), {TEMPERATURES["topic"]}) AS g FROM c GROUP BY topic),
+{_goals("source")},
+{_goals("lang")},
+{_goals("topic")},
 r AS (
-  SELECT c.*, ms.g / (SELECT sum(g) FROM ms) AS gs, ml.g / (SELECT sum(g) FROM ml) AS gl, mt.g / (SELECT sum(g) FROM mt) AS gt, 0 AS it, base AS w
-  FROM c JOIN ms USING (source) JOIN ml USING (lang) JOIN mt USING (topic)
+  SELECT c.*, s.goal AS gs, l.goal AS gl, t.goal AS gt, 0 AS it, base AS w
+  FROM c JOIN source2 s USING (source) JOIN lang2 l USING (lang) JOIN topic2 t USING (topic)
   UNION ALL
   SELECT source, lang, topic, base, gs, gl, gt, it + 1, w FROM ({_SWEEP.format(g="gt", d="topic", f="(" + _SWEEP.format(g="gl", d="lang", f="(" + _SWEEP.format(g="gs", d="source", f="r") + ")") + ")")}) WHERE it < {SWEEPS}),
-o AS (SELECT *, sum(base) OVER () * {BUDGET} - sum(base) OVER u + base AS l, sum(w) OVER () - sum(w) OVER u + w AS t
-      FROM r WHERE it = {SWEEPS} WINDOW u AS (ORDER BY w / base DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
-x AS (SELECT arg_max(l / t, w / base) FILTER (l / t * w < base) AS x FROM o),
-p AS (SELECT source, lang, topic, CASE WHEN x IS NULL THEN 1.0 ELSE least(1.0, x * w / base) END AS rate FROM o, x)
+p AS (SELECT source, lang, topic, w / base AS rate FROM r WHERE it = {SWEEPS})
 SELECT doc_id, e.source, e.lang, e.topic, tokens, round(coalesce(rate, 1.0), 6) AS rate,
        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '{SEED}'), 1, 13))::UBIGINT::DOUBLE / {16**13}.0 < coalesce(rate, 1.0) AS kept
 FROM e LEFT JOIN p ON e.source = p.source AND e.lang = p.lang AND e.topic = p.topic

@@ -296,13 +296,30 @@ def test_frequent_pairs_keep_their_counts(spark):
 # --- mixing
 def test_raking_meets_all_margins(spark):
     r = random.Random(2)
-    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", float(r.randint(1, 900))) for i in range(6) for j in range(3) for k in range(4)], "source string, lang string, topic string, base double")
-    out = mixing.rake(cells)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(r.randint(1, 900))) for i in range(6) for j in range(3) for k in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, base double")
+    out, missed = mixing.rake(cells)
+    total = sum(x[3] for x in rows)
+    assert missed < 1e-9 and out.where("weight > base or weight <= 0").count() == 0
     for d in mixing.TEMPERATURES:
-        assert all(abs(x["w"] - x["g"]) < 1e-8 for x in out.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"goal_{d}").alias("g")).collect())
-    rates = mixing.calibrated(out, 0.6)
-    x = rates.agg(F.sum(F.col("base") * F.col("rate")) / F.sum("base"), F.max("rate"), F.min("rate")).first()
-    assert abs(x[0] - 0.6) < 1e-9 and x[1] <= 1 and x[2] > 0
+        sums = out.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"goal_{d}").alias("g"), F.sum("base").alias("b")).collect()
+        assert all(abs(x["w"] - x["g"]) < 1e-6 * total and x["g"] <= x["b"] for x in sums) and abs(sum(x["g"] for x in sums) - 0.6 * total) < 1e-6 * total
+    # of a given target that asks for more than there is, all goes; the rest is shared in proportion
+    targets = {"topic": spark.createDataFrame([("t0", 0.97), ("t1", 0.02), ("t2", 0.01)], "topic string, share double")}
+    out, missed = mixing.rake(cells, targets=targets)
+    got = {x["topic"]: (x["w"], x["b"]) for x in out.groupBy("topic").agg(F.sum("weight").alias("w"), F.sum("base").alias("b")).collect()}
+    want = {x["topic"]: x["goal"] for x in mixing.filled(spark.createDataFrame([("t0", got["t0"][1], 0.97), ("t1", got["t1"][1], 0.02), ("t2", got["t2"][1], 0.01), ("t3", got["t3"][1], 0.0)], "topic string, base double, share double"), "topic").collect()}
+    assert want["t0"] == got["t0"][1] and want["t3"] == 0 and abs(sum(want.values()) - 0.6 * total) < 1e-6 * total
+    assert missed < 0.02 and got["t3"][0] == 0  # other margins limit how near it comes
+
+
+def test_drawn_tokens_follow_the_targets(spark, prose_of):
+    rows = [(i, prose_of(i, 20 + i % 30), ["en", "de"][i % 7 == 0], ["web", "books", "code"][min(2, i % 10)]) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": spark.createDataFrame([("web", 0.1), ("books", 0.1), ("code", 0.8)], "source string, share double")}
+    out = mixing.mix(d, budget=0.3, targets=targets).groupBy("source").agg(F.sum(F.when(F.col("mix_kept"), F.col("mix_tokens"))).alias("drawn")).collect()
+    all_ = sum(x["drawn"] for x in out)
+    assert all(abs(x["drawn"] / all_ - {"web": 0.1, "books": 0.1, "code": 0.8}[x["source"]]) < 0.04 for x in out)
 
 
 def test_mixing_edges(corpus, empty):
@@ -310,6 +327,9 @@ def test_mixing_edges(corpus, empty):
     assert out.count() == corpus.count() and set(corpus.columns) < set(out.columns)
     assert out.where("mix_rate is null or mix_kept is null or mix_rate > 1").count() == 0
     assert mixing.mix(empty).count() == 0
+    clash = mixing.mix(corpus.withColumn("mix_source", F.lit("own")).withColumn("mix_kept", F.lit(3)))
+    assert {tuple(x) for x in clash.select("mix_source", "mix_kept").distinct().collect()} == {("own", 3)}
+    assert Counter(clash.select("doc_id", "mix_kept_").collect()) == Counter(out.select("doc_id", "mix_kept").collect())
 
 
 def test_mixing_plan_is_native(corpus):
