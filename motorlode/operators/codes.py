@@ -13,6 +13,11 @@ def prepared(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"norm_hsn": h, "norm_tsn": t, "input_status": T.type_code_status(h, t)})
 
 
+def ordered(types: DataFrame) -> DataFrame:
+    """All entries in the order in which they are published: by both codes and the object's number."""
+    return types.orderBy("hsn", "tsn", "source_object_id")
+
+
 def candidates(requests: DataFrame, types: DataFrame) -> DataFrame:
     """A row for each valid request and entry, and one without for requests that have none."""
     t = types.withColumnsRenamed({"hsn": "type_hsn", "tsn": "type_tsn"})

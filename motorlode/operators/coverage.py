@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motorlode import policy
 from motorlode.functions import text as T
+from motorlode.plans.lineage import settled
 
 
 def grouped(corpus: DataFrame, fields: list[str], prefix: str = "prefix", count: str = "vehicle_count") -> DataFrame:
@@ -63,15 +64,28 @@ def summary(judged_: DataFrame, by: list[str], weight=None) -> DataFrame:
 
 
 def top(rows: DataFrame, by: list[str], order: list, n: int = policy.MISMATCHES) -> DataFrame:
-    """The first n rows of each group."""
+    """The first n rows of each group; Spark keeps n a group in each task before it shuffles them."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def systematic(rows: DataFrame, by: list[str], order: list, step: int) -> DataFrame:
-    """Every step-th row of each group, the first included."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("nth", F.row_number().over(w) - 1).where(F.pmod("nth", F.lit(step)) == 0)
+def first_groups(groups: DataFrame, n: int, key: str = "prefix") -> DataFrame:
+    """The first n groups by key, for a trial run."""
+    return groups.orderBy(key).limit(n)
+
+
+def systematic(rows: DataFrame, by: list[str], order: list[str], step: int) -> DataFrame:
+    """Every step-th row of each group, the first included.
+
+    Rows are numbered within ranges of their order, each range on top of the counts of those before
+    it, so that a large group isn't sorted in one task.
+    """
+    ranged = settled(rows.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("range", *by).count()  # a row for each range and group in it
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("range", *by).orderBy(*order)) - 1
+    numbered = ranged.withColumn("own", own).join(counts.select("range", *by, before.alias("before")), ["range", *by])
+    return numbered.withColumn("nth", F.col("own") + F.col("before")).where(F.pmod("nth", F.lit(step)) == 0).select(*rows.columns, "nth")
 
 
 def target_coverage(approvals: DataFrame, targets: DataFrame) -> DataFrame:

@@ -35,6 +35,15 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | null)
 
 
+def page_counts(rows: DataFrame, page: str, expected: DataFrame | None = None) -> DataFrame:
+    """(page, n_rows) of every page; with `expected` (page, n_rows), the pages that have others."""
+    counts = rows.groupBy(page).agg(F.count("*").alias("n_rows"))
+    if expected is None:
+        return counts
+    j = counts.join(expected.withColumnRenamed("n_rows", "expected_rows"), page, "full_outer")
+    return j.where(~F.col("n_rows").eqNullSafe(F.col("expected_rows")))
+
+
 def gaps(rows: DataFrame, page: str, row: str) -> DataFrame:
     """Rows whose number within the page isn't one more than that before it (the first: 1)."""
     before = F.lag(row).over(Window.partitionBy(page).orderBy(row))
@@ -56,6 +65,14 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.where("in_a is null or in_b is null").select(*keys, F.when(F.col("in_a").isNull(), "b").otherwise("a").alias("side"))
 
 
+def compared(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(n_both, only_a, only_b, equal, a_within_b) of the distinct keys of two sets."""
+    j = a.select(*keys).distinct().withColumn("in_a", F.lit(True)).join(b.select(*keys).distinct().withColumn("in_b", F.lit(True)), keys, "full_outer")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    counts = j.agg(n(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("n_both"), n(F.col("in_b").isNull()).alias("only_a"), n(F.col("in_a").isNull()).alias("only_b"))
+    return counts.withColumns({"equal": (F.col("only_a") == 0) & (F.col("only_b") == 0), "a_within_b": F.col("only_a") == 0})
+
+
 def same_columns(rows: DataFrame, expected: dict[str, str]) -> list[str]:
     """What a schema lacks or has otherwise; empty if it is as expected."""
     have = dict(rows.dtypes)

@@ -64,6 +64,9 @@ _CHAIN: list[tuple[str, str]] = [
     ("results", "SELECT req_id, rule, scope, CASE WHEN conflict THEN 'CONTEXT_CONFLICT' WHEN foreign_ THEN 'NEEDS_CONTEXT' ELSE 'DECODED' END AS status, TRUE AS meaningful FROM lit_ok UNION ALL SELECT r.req_id, 'patterns', 'US', CASE WHEN NOT EXISTS (SELECT 1 FROM years y WHERE y.req_id = r.req_id) THEN CASE WHEN r.model_year IS NOT NULL THEN 'CONTEXT_CONFLICT' ELSE 'UNKNOWN' END WHEN NOT EXISTS (SELECT 1 FROM pfields f WHERE f.req_id = r.req_id) THEN 'UNKNOWN' WHEN r.market IS NOT DISTINCT FROM 'US' THEN 'DECODED' ELSE 'NEEDS_CONTEXT' END, EXISTS (SELECT 1 FROM years y WHERE y.req_id = r.req_id) FROM rich r"),
     ("marked", "SELECT r.*, (r.status = 'CONTEXT_CONFLICT' AND (r.scope <> 'US' OR p.market IS NOT DISTINCT FROM 'US')) AS conflicting FROM results r JOIN prep p ON r.req_id = p.req_id"),
     ("head", "SELECT req_id, bool_or(conflicting) AS conflict, count(*) FILTER (meaningful) AS n_results, list(DISTINCT scope ORDER BY scope) FILTER (meaningful) AS scopes, min_by(scope, (rule = 'patterns')::INT::VARCHAR || rule) FILTER (conflicting) AS conflict_scope, any_value(status) FILTER (meaningful) AS one_status, max(status) FILTER (rule = 'patterns') AS pattern_status FROM marked GROUP BY req_id"),
+    ("texts", f"SELECT l.req_id, l.rule, [r.stage] AS stages, [CASE WHEN l.conflict THEN r.conflict_warning ELSE r.warning END] AS warnings FROM lit_ok l JOIN t_rules r ON l.rule = r.id UNION ALL SELECT r.req_id, 'patterns', {list(P.STAGES)!r}, list_filter([CASE WHEN n.n IS NULL THEN '{P.YEAR_CONFLICT_WARNING}' END, CASE WHEN r.market IS DISTINCT FROM 'US' AND EXISTS (SELECT 1 FROM pfields f WHERE f.req_id = r.req_id) THEN CASE WHEN r.market IS NULL THEN '{P.UNKNOWN_MARKET_WARNING}' ELSE replace(replace('{P.FALLBACK_MESSAGE}', '{{sourceMarket}}', 'US'), '{{requestedMarket}}', r.market) END END, CASE WHEN n.n > 1 THEN '" + P.YEAR_ALTERNATIVES_WARNING.replace("'", "''") + "' END], lambda x: x IS NOT NULL) FROM rich r LEFT JOIN n_years n ON r.req_id = n.req_id"),
+    ("spoken", "SELECT m.req_id, h.conflict, h.n_results, x.stages, x.warnings, (m.rule = 'patterns')::INT::VARCHAR || m.rule AS k, CASE WHEN h.conflict THEN m.conflicting AND (m.rule = 'patterns')::INT::VARCHAR || m.rule = min(CASE WHEN m.conflicting THEN (m.rule = 'patterns')::INT::VARCHAR || m.rule END) OVER (PARTITION BY m.req_id) WHEN h.n_results = 0 THEN m.rule = 'patterns' ELSE m.meaningful END AS picked FROM marked m JOIN head h ON m.req_id = h.req_id JOIN texts x ON m.req_id = x.req_id AND m.rule = x.rule"),
+    ("spoken_all", "SELECT req_id, count(*) AS n, flatten(list(stages ORDER BY k)) AS stages, flatten(list(warnings ORDER BY k)) AS warnings FROM spoken WHERE picked GROUP BY req_id"),
     ("cand_fields", "SELECT f.*, h.n_results, (f.status <> 'NEEDS_CONTEXT' AND m.status <> 'NEEDS_CONTEXT') AS applicable FROM allfields f JOIN marked m ON f.req_id = m.req_id AND f.rule = m.rule JOIN head h ON f.req_id = h.req_id WHERE NOT h.conflict"),
     ("chosen_fields", "SELECT * FROM (SELECT *, bool_or(applicable) OVER (PARTITION BY req_id, code) AS any_applicable FROM cand_fields) WHERE applicable OR NOT any_applicable"),
     ("merged0", "SELECT req_id, code, list_sort(list_distinct(flatten(list(vals)))) AS sorted, any_value(vals) AS own, bool_or(status = 'UNKNOWN') AS unknown, bool_or(any_applicable) AS applicable, max(n_results) AS n_results, any_value(status) AS one_status FROM chosen_fields GROUP BY req_id, code"),
@@ -201,6 +204,17 @@ _SELECTS: dict[str, str] = {
     "coverage_weighted": _summary("CASE WHEN len(labels) = 1 THEN labels[1] ELSE 'SOURCE_CONFLICT' END AS make", "weight"),
     "top_mismatches": f"SELECT * FROM (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= {P.MISMATCHES}",
     "systematic_sample": "SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS nth FROM orders) WHERE nth % 31 = 0",
+    "details_messages": "SELECT req_id, array_to_string(list_filter(stages, lambda x, i: list_position(stages, x) = i), '|') AS stages, array_to_string(list_filter(warnings, lambda x, i: list_position(warnings, x) = i AND (n = 1 OR x <> '')), '|') AS warnings FROM spoken_all",
+    "dump_table": "SELECT p_partkey::VARCHAR AS id, p_name || chr(9) || chr(92) AS name, CASE WHEN p_size > 9 THEN p_brand END AS brand FROM part",
+    "dump_inventory": "SELECT 'part' AS table, 3 AS n_columns, count(*) AS n_rows FROM part UNION ALL SELECT 'nation', 2, count(*) FROM nation",
+    "null_marked_text": "SELECT p_partkey::VARCHAR AS p_partkey, p_name, CASE WHEN p_size > 9 THEN p_brand END AS p_brand, '' AS empty FROM part",
+    "pattern_shards": "SELECT (p_partkey % 256)::INT AS schema_bucket, p_partkey::INT AS schema_id, p_size::INT AS pattern_id FROM part WHERE p_partkey % 256 IN (3, 77)",
+    "approval_shards": "SELECT DISTINCT substr(m, 1, 3) AS wmi, approval_id, source_row FROM (SELECT unnest(masks) AS m, approval_id, source_row FROM t_approvals)",
+    "folder_manifest": "SELECT 'b' AS folder, 'UNEXPECTED' AS problem UNION ALL SELECT 'c', 'MISSING'",
+    "set_relations": "SELECT count(*) FILTER (a AND b) AS n_both, count(*) FILTER (NOT b) AS only_a, count(*) FILTER (NOT a) AS only_b, count(*) FILTER (NOT a OR NOT b) = 0 AS equal, count(*) FILTER (NOT b) = 0 AS a_within_b FROM (SELECT x.k IS NOT NULL AS a, y.k IS NOT NULL AS b FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) x FULL JOIN (SELECT DISTINCT p_partkey AS k FROM part) y ON x.k = y.k)",
+    "ordered_types": "SELECT hsn, tsn, source_object_id, row_number() OVER (ORDER BY hsn, tsn, source_object_id) - 1 AS place FROM t_types",
+    "first_prefixes": "SELECT prefix, sum(weight)::BIGINT AS weight FROM labels_ GROUP BY prefix ORDER BY prefix LIMIT 20",
+    "model_alias_precedence": "SELECT p_brand AS make_id, upper(trim(substr(p_name, 1, 4))) AS alias, min('m' || lpad(p_partkey::VARCHAR, 8, '0')) AS model_id FROM part GROUP BY 1, 2",
     "drift_guard": "SELECT o.n AS old_rows, w.n AS new_rows, round(w.n / o.n, 6) AS ratio, round(w.x - o.x, 6) AS exclusion_change, (w.n / o.n BETWEEN 0.95 AND 1.5 AND w.x - o.x <= 0.01) AS ok FROM (SELECT count(*) AS n, avg((c_acctbal < 0)::INT::DOUBLE) AS x FROM customer) o, (SELECT count(*) AS n, avg((s_acctbal < 0)::INT::DOUBLE) AS x FROM supplier) w",
     "coverage_matches": "SELECT prefix, weight, status, exact_match, alias_match FROM judged_m",
     "target_coverage": "SELECT t.target, count(p.id) AS approvals, count(p.id) > 0 AS covered, coalesce(array_to_string(list_slice(list(p.id ORDER BY p.id) FILTER (p.id IS NOT NULL), 1, 3), '|'), '') AS examples FROM t_targets t LEFT JOIN (SELECT 'p' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_brand, p_name FROM part) p ON list_contains(t.makes, p.p_brand) AND CASE WHEN t.case_sensitive THEN regexp_matches(p.p_name, t.include) ELSE regexp_matches(p.p_name, t.include, 'i') END AND NOT coalesce(t.exclude <> '' AND regexp_matches(p.p_name, t.exclude, 'i'), FALSE) GROUP BY t.target",

@@ -90,8 +90,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "models": ("model_id string, make_id string, make_name string", [("1861", "474", "ALPHA"), ("1862", "474", "ALPHA"), ("900", "480", "DELTA"), ("60", "482", "VOLKSWAGEN")]),
     "conversions": ("id string, from_element int, to_element int, operator string, factor decimal(18,12)", [("1", 11, 12, "*", "0.061023744095"), ("2", 11, 13, "*", "0.001000000000"), ("3", 12, 13, "*", "0.016387064000")]),
     "rules": (
-        "id string, pattern string, exclude string, scope string, markets array<string>, model_year int",
-        [("golf-mosel", "WVWZZZ1KZ5P[0-9]{6}", None, "EUROPE", ["DE", "AT", "CH"], 2005), ("golf-wolfsburg", "WVWZZZ1KZ5W[0-9]{6}", None, "EUROPE", ["DE", "AT", "CH"], 2005), ("model-y", "XP7Y[A-Z]{3}.{2}TB[0-9]{5}.", ".{11}000000", "EUROPE", [], None), ("dir-tmb", "TMB.{14}", None, "DE", [], None), ("dir-1h9", "1H9.{8}333.{3}", None, "DE", [], None), ("old-tmb", "TMBA.{13}", ".{9}[1-9].{7}", "EUROPE", ["CH"], 1999)],
+        "id string, pattern string, exclude string, scope string, markets array<string>, model_year int, stage string, warning string, conflict_warning string",
+        [("golf-mosel", "WVWZZZ1KZ5P[0-9]{6}", None, "EUROPE", ["DE", "AT", "CH"], 2005, "golf-layout", "Plant by serial layout.", "Year differs."), ("golf-wolfsburg", "WVWZZZ1KZ5W[0-9]{6}", None, "EUROPE", ["DE", "AT", "CH"], 2005, "golf-layout", "Plant by serial layout.", "Year differs."), ("model-y", "XP7Y[A-Z]{3}.{2}TB[0-9]{5}.", ".{11}000000", "EUROPE", [], None, "model-y-layout", "Production year is a calendar year.", "c"), ("dir-tmb", "TMB.{14}", None, "DE", [], None, "directory", "", "c"), ("dir-1h9", "1H9.{8}333.{3}", None, "DE", [], None, "directory", "", "c"), ("old-tmb", "TMBA.{13}", ".{9}[1-9].{7}", "EUROPE", ["CH"], 1999, "old-layout", "Older layout.", "Only 1999.")],
     ),
     "rule_claims": (
         "rule_id string, position int, characters string, code string, value string, source_id string, kind string, claim_rule_id string, keys string",

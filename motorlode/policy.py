@@ -15,6 +15,10 @@ FORMULA_PRIORITY, ENGINE_PRIORITY = 100, 50
 CONVERSION_SCALE = 6
 FALLBACK_MESSAGE = "Possible match from {sourceMarket} data; applicability to {requestedMarket} is unverified."
 UNSPECIFIED_MARKET = "an unspecified market"
+UNKNOWN_MARKET_WARNING = "These possibilities assume US reporting scope; supply market US only when independently known."
+YEAR_CONFLICT_WARNING = "VIN year code does not resolve within this scheme and supplied context."
+YEAR_ALTERNATIVES_WARNING = "The VIN year code has multiple possible cycles; alternatives retain each year's associated facts."
+STAGES = ("public-patterns", "model-make", "engine-model", "displacement-conversion")
 
 # Primary fields and the element codes that decide them.
 PRIMARY = {"make": "Make", "model": "Model", "modelYear": "ModelYear", "productionYear": "ProductionYear"}

@@ -12,7 +12,8 @@ from motorlode.functions import text as T
 from motorlode.operators import approvals, codes, coverage, decide, identity, literals, merge, patterns, quality, wmi
 from motorlode.plans import answer, etl
 from motorlode.plans import specimens as S
-from motorlode.plans.lineage import settled
+from motorlode.plans.lineage import new_folder, settled
+from motorlode.sources import readers, writers
 
 TODAY = datetime.date(2026, 9, 30)
 
@@ -58,12 +59,17 @@ def _literal(spark, d):
     return m, literals.claims(m, S.table(spark, "rule_claims"))
 
 
+def _known(spark, prepared):
+    """Requests of modern format whose key the pattern scheme knows."""
+    modern = prepared.where("structure = 'MODERN_FORMAT'").withColumn("wmi", T.rich_key(F.col("normalized")))
+    return modern.join(S.table(spark, "rich_wmis").select("wmi"), "wmi", "left_semi").select("req_id", "model_year", "market")
+
+
 def _details(spark, d):
     facts, years, fields = _coded_fields(spark, d)
     prepared = settled(_prepared(spark, d))
     matched, held = _literal(spark, d)
-    modern = prepared.where("structure = 'MODERN_FORMAT'").withColumn("wmi", T.rich_key(F.col("normalized")))
-    known = modern.join(S.table(spark, "rich_wmis").select("wmi"), "wmi", "left_semi").select("req_id", "model_year", "market")
+    known = _known(spark, prepared)
     results = literals.results(matched).unionByName(merge.pattern_result(years, known, fields))
     every = fields.drop("value").unionByName(literals.fields(held).drop("value"))
     details, merged = merge.merged(settled(results), settled(every), prepared)
@@ -162,6 +168,18 @@ def details_status(spark, d):
     return _details(spark, d)[2]
 
 
+def details_messages(spark, d):
+    """Stages and warnings of each request's result."""
+    facts, years, fields = _coded_fields(spark, d)
+    prepared = settled(_prepared(spark, d))
+    matched, _ = _literal(spark, d)
+    known = _known(spark, prepared)
+    results = literals.results(matched).unionByName(merge.pattern_result(years, known, fields))
+    texts = literals.messages(matched).unionByName(merge.pattern_messages(years, known, fields))
+    out = merge.messages(results, texts, prepared)
+    return out.select("req_id", _joined("stages").alias("stages"), _joined("warnings").alias("warnings"))
+
+
 def approval_masks(spark, d):
     return approvals.candidates(_prepared(spark, d), S.table(spark, "approvals")).select("req_id", "approval_id", "source_row")
 
@@ -336,7 +354,7 @@ def directory_pages(spark, d):
     """Rows of each page of the directory, and its row numbers that are missing or repeated."""
     rows = _directory(spark, d)
     gaps = quality.gaps(rows.select("page", "row"), "page", "row").groupBy("page").agg(F.count("*").alias("n_gaps"))
-    return rows.groupBy("page").agg(F.count("*").alias("n_rows")).join(gaps, "page", "left").select("page", "n_rows", F.coalesce("n_gaps", F.lit(0).cast("long")).alias("n_gaps"))
+    return quality.page_counts(rows, "page").join(gaps, "page", "left").select("page", "n_rows", F.coalesce("n_gaps", F.lit(0).cast("long")).alias("n_gaps"))
 
 
 def _directory(spark, d):
@@ -349,6 +367,75 @@ def _directory(spark, d):
     return c.select(F.floor(F.col("c_custkey") / 50).cast("int").alias("page"), (F.col("c_custkey") % 50 + 1).cast("int").alias("row"), part1.alias("part1"), part2.alias("part2"), F.col("c_name").alias("name"))
 
 
+def _dump(spark, d) -> str:
+    """Parts and nations as a dump in the shared folder: tabs, backslashes and nulls are escaped."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.regexp_replace(c.cast("string"), r"\\", r"\\\\"), "\t", r"\\t"), F.lit(r"\N"))
+    line = lambda k, text: spark.createDataFrame([(k, -1, text)], "block int, k long, value string")
+    part = _read(spark, d, "part").select(F.lit(1).alias("block"), F.col("p_partkey").cast("long").alias("k"), F.concat_ws("\t", cell(F.col("p_partkey")), cell(F.concat("p_name", F.lit("\t\\"))), cell(F.when(F.col("p_size") > 9, F.col("p_brand")))).alias("value"))
+    nation = _read(spark, d, "nation").select(F.lit(4).alias("block"), F.col("n_nationkey").cast("long").alias("k"), F.concat_ws("\t", cell(F.col("n_nationkey")), cell(F.col("n_name"))).alias("value"))
+    lines = line(0, 'COPY public.part (id, "name", brand) FROM stdin;').unionByName(part).unionByName(line(2, r"\.")).unionByName(line(3, "COPY nation (id, name) FROM stdin;")).unionByName(nation).unionByName(line(5, r"\."))
+    lines.orderBy("block", "k").coalesce(1).select("value").write.text(path := new_folder(spark, "dump"))
+    return path
+
+
+def dump_table(spark, d):
+    return readers.copy_table(spark, _dump(spark, d), "part")
+
+
+def dump_inventory(spark, d):
+    return readers.copy_inventory(spark, _dump(spark, d))
+
+
+def null_marked_text(spark, d):
+    """Parts written as text in the order of their key, nulls marked, and read back."""
+    p = _read(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 9, F.col("p_brand")).alias("p_brand"), F.lit("").alias("empty"))
+    writers.sorted_tsv(p, path := new_folder(spark, "text"), "p_partkey")
+    return readers.null_cells(spark, path, p.columns)
+
+
+def pattern_shards(spark, d):
+    """Parts as patterns of schemas, written by shard; what two of the shards hold."""
+    p = _read(spark, d, "part").select(F.col("p_partkey").cast("int").alias("schema_id"), F.col("p_size").cast("int").alias("pattern_id"), F.col("p_type" if "p_type" in _read(spark, d, "part").columns else "p_name").alias("keys"))
+    writers.bucketed(p, path := new_folder(spark, "patterns"))
+    return readers.shards(spark, path).where("schema_bucket in (3, 77)").select("schema_bucket", "schema_id", "pattern_id")
+
+
+def approval_shards(spark, d):
+    """Approvals copied to each of their prefixes."""
+    writers.by_prefix(S.table(spark, "approvals").drop("wmi"), path := new_folder(spark, "approvals"))
+    return readers.shards(spark, path).select("wmi", "approval_id", "source_row")
+
+
+def folder_manifest(spark, d):
+    """A folder checked against its own manifest without one line and with one more: names and problems."""
+    path = new_folder(spark, "bundle")
+    _read(spark, d, "region").coalesce(1).write.parquet(f"{path}/a")
+    _read(spark, d, "nation").coalesce(1).write.parquet(f"{path}/b")
+    known = writers.manifest(spark, path).where("name not like 'b/%'").select("name", "sha256")
+    found = readers.verified(spark, path, known.unionByName(spark.createDataFrame([("c/gone", "0")], "name string, sha256 string")))
+    return found.where("name not like '%SUCCESS%'").select(F.substring_index("name", "/", 1).alias("folder"), "problem")
+
+
+def set_relations(spark, d):
+    """Parts that are sold and all parts, as sets of keys."""
+    return quality.compared(_read(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), _read(spark, d, "part").select(F.col("p_partkey").alias("k")), ["k"])
+
+
+def ordered_types(spark, d):
+    """The type-code entries with their place in the order of publication."""
+    return codes.ordered(S.table(spark, "types")).select("hsn", "tsn", "source_object_id", F.monotonically_increasing_id().alias("place"))
+
+
+def first_prefixes(spark, d):
+    return coverage.first_groups(_labels(spark, d).select("prefix", "weight"), 20)
+
+
+def model_alias_precedence(spark, d):
+    """Parts as models of a make (brand): the smallest id of each label within it."""
+    models = _read(spark, d, "part").select(F.col("p_brand").alias("make_id"), T.identity_key(F.substring("p_name", 1, 4)).alias("alias"), F.format_string("m%08d", "p_partkey").alias("model_id"))
+    return identity.model_alias_table(models)
+
+
 def latest_editions(spark, d):
     o = _read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").cast("string").alias("edition")).agg(F.max("o_orderkey").alias("locator"))
     return etl.latest(o, ["source"], "edition", "locator")
@@ -396,6 +483,6 @@ QUERIES = {
         pattern_fields, formula_capture, engine_relation, model_make, unit_conversion, literal_rules, literal_fields, merged_fields, details_status, approval_masks, approval_fields, approval_status,
         template_validation, identity_consensus, decision_status, code_decision, source_credits, answer_short, answer_long, constraint_overlaps, orphan_references, duplicate_keys, wmi_export_filter,
         assignment_etl, directory_comparison, directory_counts, inventory_difference, probe_consensus, coverage_matches, coverage_summary, coverage_weighted, target_coverage, top_mismatches, systematic_sample, drift_guard,
-        directory_rules, directory_pages, latest_editions, public_schemas, resolved_values, preferences, document_urls, encoded_cells,
+        directory_rules, directory_pages, latest_editions, details_messages, dump_table, dump_inventory, null_marked_text, pattern_shards, approval_shards, folder_manifest, set_relations, ordered_types, first_prefixes, model_alias_precedence, public_schemas, resolved_values, preferences, document_urls, encoded_cells,
     )
 }

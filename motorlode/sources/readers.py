@@ -2,86 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from motorlode.functions.etl import strict_json, unescape_copy
-
-
-def copy_rows(lines) -> Iterator[tuple[str, list[str], list[str | None] | None]]:
-    """(table, columns, cells) of the COPY blocks of a dump, and (table, columns, None) for each block's
-    beginning. Rows of a wrong width, repeated tables and blocks without an end raise ValueError."""
-    table, columns, seen = None, [], set()
-    for line in lines:
-        line = line.rstrip("\n")
-        if table is None:
-            if line.startswith("COPY ") and line.endswith(" FROM stdin;"):
-                name, _, rest = line[5:-12].partition("(")
-                table, columns = name.strip().rpartition(".")[2], [c.strip().strip('"') for c in rest.rstrip(") ").split(",")]
-                if table in seen:
-                    raise ValueError(f"repeated table {table}")
-                seen.add(table)
-                yield table, columns, None
-        elif line == r"\.":
-            table = None
-        else:
-            cells = line.split("\t")
-            if len(cells) != len(columns):
-                raise ValueError(f"{table}: {len(cells)} cells instead of {len(columns)}")
-            yield table, columns, [unescape_copy(c) for c in cells]
-    if table is not None:
-        raise ValueError(f"{table} has no end")
 
+from motorlode.functions.etl import strict_json, unescaped
 
-class CopyDump(DataSource):
-    """spark.read.format("copydump").load(path): (table, columns, cells) of a dump, read as a stream of lines.
-
-    A dump isn't splittable, so a file is one partition; options: table, one to keep (all are
-    checked). Register with spark.dataSource.register(CopyDump).
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "copydump"
 
-    def schema(self) -> str:
-        return "table string, columns array<string>, cells array<string>"
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at) of the lines of one file, split among tasks; `at` has the order of the lines."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"))
 
-    def reader(self, schema) -> DataSourceReader:
-        return _CopyReader(self.options)
 
+def copy_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, list[str], tuple, tuple]]]:
+    """(numbered lines of a dump, its blocks: table, columns, place of the beginning and of the end).
 
-class _CopyReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path, self.table = options["path"], options.get("table")
+    Only lines that can begin or end a block come to the driver: two a table. Repeated tables and
+    blocks without an end raise ValueError.
+    """
+    lines = _numbered(spark, path)
+    marks = lines.where((F.col("value") == r"\.") | (F.startswith("value", F.lit("COPY ")) & F.endswith("value", F.lit(" FROM stdin;"))))
+    found, table = [], None
+    for value, at in sorted(((r["value"], tuple(r["at"])) for r in marks.collect()), key=lambda x: x[1]):
+        if table is None and value != r"\.":
+            name, _, rest = value[5:-12].partition("(")
+            table = name.strip().rpartition(".")[2], [c.strip().strip('"') for c in rest.rstrip(") ").split(",")], at
+            if table[0] in (x[0] for x in found):
+                raise ValueError(f"repeated table {table[0]}")
+        elif table is not None and value == r"\.":
+            found.append((*table, at))
+            table = None
+    if table is not None:
+        raise ValueError(f"{table[0]} has no end")
+    return lines, found
 
-    def partitions(self):
-        return [InputPartition(p) for p in self.path.split(",")]
 
-    def read(self, partition):
-        with open(partition.value, encoding="utf-8", newline="\n") as lines:
-            for table, columns, cells in copy_rows(lines):
-                if self.table in (None, table):
-                    yield table, columns, cells
+def _at(place: tuple):
+    return F.struct(F.lit(place[0]).cast("long").alias("block"), F.lit(place[1]).cast("long").alias("n"))
 
 
 def copy_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One table of a dump, a string column for each of its own."""
-    spark.dataSource.register(CopyDump)
-    rows = spark.read.format("copydump").option("table", table).load(path)
-    head = rows.where("cells is null").select("columns").first()
-    if head is None:
-        raise ValueError(f"no table {table}")
-    return rows.where("cells is not null").select(*[F.col("cells")[i].alias(c) for i, c in enumerate(head["columns"])])
+    """One table of a dump in plain text, a string column for each of its own; rows of another width raise an error."""
+    lines, found = copy_blocks(spark, path)
+    for name, columns, begin, end in found:
+        if name == table:
+            rows = _split(lines.where((F.col("at") > _at(begin)) & (F.col("at") < _at(end))), columns, None)
+            return rows.select(*[F.when(F.instr(c, "\\") == 0, F.col(c)).otherwise(unescaped(c)).alias(c) for c in columns])
+    raise ValueError(f"no table {table}")
 
 
 def copy_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(table, n_columns, n_rows) of every table of a dump."""
-    spark.dataSource.register(CopyDump)
-    return spark.read.format("copydump").load(path).groupBy("table").agg(F.max(F.size("columns")).alias("n_columns"), F.count("cells").alias("n_rows"))
+    lines, found = copy_blocks(spark, path)
+    inside = F.coalesce(*[F.when((F.col("at") > _at(begin)) & (F.col("at") < _at(end)), k) for k, (_, _, begin, end) in enumerate(found)], F.lit(-1))
+    counts = lines.groupBy(inside.alias("k")).agg(F.count("*").alias("n_rows"))
+    tables = spark.createDataFrame([(k, name, len(columns)) for k, (name, columns, _, _) in enumerate(found)], "k int, table string, n_columns int")
+    return tables.join(counts, "k", "left").select("table", "n_columns", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
 
 
 def _split(lines: DataFrame, names: list[str], null: str | None) -> DataFrame:
@@ -93,9 +69,14 @@ def _split(lines: DataFrame, names: list[str], null: str | None) -> DataFrame:
 
 def null_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A TSV without quoting whose header names its columns; backslash N is null, empty stays empty."""
-    lines = spark.read.text(path)
-    header = lines.first()["value"]
-    return _split(lines.where(F.col("value") != header), header.split("\t"), r"\N")
+    lines = _numbered(spark, path)
+    header, at = lines.groupBy().agg(F.min_by("value", "at"), F.min("at")).first()
+    return _split(lines.where(F.col("at") > _at(at)), header.split("\t"), r"\N")
+
+
+def null_cells(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Text as writers.sorted_tsv writes it, without a header."""
+    return _split(spark.read.option("lineSep", "\n").text(path), names, r"\N")
 
 
 def legacy_tsv(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
@@ -109,7 +90,8 @@ def legacy_tsv(spark: SparkSession, path: str, encoding: str = "cp1252") -> Data
 
         for b in batches:
             for raw in b["content"]:
-                yield pd.DataFrame({"value": bytes(raw).decode(encoding).splitlines(), "n": range(len(bytes(raw).decode(encoding).splitlines()))})
+                found = [x.removesuffix("\r") for x in bytes(raw).decode(encoding).removesuffix("\n").split("\n")]
+                yield pd.DataFrame({"value": found, "n": range(len(found))})
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string, n long")
     header = rows.where("n = 0").first()["value"].split("\t")

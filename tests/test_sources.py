@@ -16,14 +16,36 @@ def test_copy_dump(spark, tmp_path):
 
 
 @pytest.mark.parametrize("bad", ["COPY a (x) FROM stdin;\n1\t2\n\\.\n", "COPY a (x) FROM stdin;\n1\n", "COPY a (x) FROM stdin;\n\\.\nCOPY a (x) FROM stdin;\n\\.\n"])
-def test_copy_dump_rejects(bad):
-    with pytest.raises(ValueError):
-        list(readers.copy_rows(bad.splitlines(keepends=True)))
+def test_copy_dump_rejects(spark, tmp_path, bad):
+    (tmp_path / "dump.sql").write_text(bad)
+    with pytest.raises(Exception, match="cells|no end|repeated"):
+        readers.copy_table(spark, str(tmp_path / "dump.sql"), "a").collect()
+
+
+def test_copy_dump_in_many_splits(spark, tmp_path):
+    """Splits of the file are put in order; a row that looks like a beginning is a row."""
+    rows = [(str(k), "COPY b (y) FROM stdin;" if k == 5 else f"row {k}\\n") for k in range(3000)]
+    text = "COPY a (x, z) FROM stdin;\n" + "".join("\t".join(r) + "\n" for r in rows) + "\\.\n\nCOPY c (x) FROM stdin;\n1\n\\.\n"
+    text = text.replace("5\tCOPY b", "COPY b\t5 COPY b")
+    (tmp_path / "dump.sql").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        assert readers._numbered(spark, str(tmp_path / "dump.sql")).rdd.getNumPartitions() > 3
+        got = {x["x"]: x["z"] for x in readers.copy_table(spark, str(tmp_path / "dump.sql"), "a").collect()}
+        assert len(got) == 3000 and got["7"] == "row 7\n" and got["COPY b"] == "5 COPY b (y) FROM stdin;"
+        assert {x["table"]: x["n_rows"] for x in readers.copy_inventory(spark, str(tmp_path / "dump.sql")).collect()} == {"a": 3000, "c": 1}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
 def test_text_tables(spark, tmp_path):
     (tmp_path / "types.tsv").write_text("hsn\ttsn\tname\n0005\tAMQ\t\\N\n0006\tAMR\t\n")
     assert [tuple(x) for x in readers.null_tsv(spark, str(tmp_path / "types.tsv")).collect()] == [("0005", "AMQ", None), ("0006", "AMR", "")]
+    (tmp_path / "again.tsv").write_text("a\tb\na\tb\n")
+    assert [tuple(x) for x in readers.null_tsv(spark, str(tmp_path / "again.tsv")).collect()] == [("a", "b")]  # a row like the header
+    (tmp_path / "odd.tsv").write_bytes("a\tb\t\r\nx\x0by\x1dz\tw\r\n".encode("cp1252"))
+    assert [tuple(x) for x in readers.legacy_tsv(spark, str(tmp_path / "odd.tsv")).collect()] == [("x\x0by\x1dz", "w")]
     (tmp_path / "legacy.tsv").write_bytes("a\tb\t\nx\tü\t\ny\t\n".encode("cp1252"))
     assert [tuple(x) for x in readers.legacy_tsv(spark, str(tmp_path / "legacy.tsv")).collect()] == [("x", "ü"), ("y", "")]
     (tmp_path / "tagged.tsv").write_text("V\t1\nA\tx\teQ==\n")
@@ -35,6 +57,8 @@ def test_manifest(spark, tmp_path):
     folder = tmp_path / "bundle"
     folder.mkdir()
     (folder / "a.tsv").write_text("x")
+    (folder / "in").mkdir()
+    (folder / "in" / "a.tsv").write_text("same name")
     known = writers.manifest(spark, str(folder)).select("name", "sha256").collect()
     (folder / "a.tsv").write_text("y")
     (folder / "b.tsv").write_text("z")
