@@ -14,6 +14,8 @@ K = 128
 WORDS = 5
 #: Bits of a hash; 48 make 8 characters of base64, and collide once in 2^24 sets of 2^12 shingles.
 HASH_BITS = 48
+#: Bytes of documents as stored for a range of keys, and ranges at most (their bounds are planned on the driver).
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 
 
 def shingle_hashes(text: str, words: int = WORDS):
@@ -96,11 +98,15 @@ def fingerprint(text: str):
 def _dealt(docs: DataFrame, key: str) -> DataFrame:
     """(row, marker, key, text): ranges of ascending keys, each closed by a marker row: its successor.
 
-    Bounds are actual keys near the quantiles, one a shuffle partition; the row at a bound also
-    goes to the range before it, and the very first to the last range.
+    Bounds are actual keys near the quantiles, as many as shuffle partitions or, of larger tables,
+    one for RANGE_BYTES by Spark's estimate of the size; the row at a bound also goes to the range
+    before it, and the very first to the last range. A range is streamed, so its size bounds a task's
+    time and not its memory.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size > 1 << 60 else size  # not known
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     row = docs.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], max(10_000, 20 * parts)).alias("q"), F.min(key).alias("least"), F.sum(F.col(key).isNull().cast("int")).alias("nulls")).first()
     least = None if row["nulls"] else row["least"]
     bounds = sorted({b for b in row["q"] or [] if least is None or b > least})
