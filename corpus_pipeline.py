@@ -61,7 +61,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("secrets", redact_secrets), ("mixing", mix_sources), ("bpe", tokenise)]
 
-#: SQL can express neither the fingerprints nor the merges; tests/llm holds a brute-force version.
+#: SQL can express neither the fingerprints nor the merges. tests/llm runs the five stages over a small corpus
+#: and holds each against what its operator's own brute force or the library says of that stage's input.
 ORACLE_SQL = None
 
 

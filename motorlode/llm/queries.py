@@ -52,5 +52,7 @@ def op10_substrings(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_collisions, op2_secrets, op3_main_text, op4_bottom_k, op5_simhash, op6_mixing, op7_byte_bpe, op8_paragraphs, op9_toxicity, op10_substrings)}
 
-#: DuckDB SQL by query; a query without one is tested against a brute-force version in tests/llm.
+#: DuckDB SQL by query. Those without are tested in tests/llm: op2 (base kinds), op5, op7, op8 (lines and
+#: pieces), op9 (the bigram models' mean ratio) and op10 against brute force or the library, op4 by the sets
+#: that sketches estimate, op3 by pages with known text, and its cut by trying all labellings.
 ORACLES: dict[str, str] = {"op1_collisions": vectors.ORACLE, "op6_mixing": mixing.ORACLE}
