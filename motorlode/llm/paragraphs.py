@@ -25,6 +25,8 @@ BANDS, ROWS = 10, 3
 BLOCK = 1024
 #: Bytes of the places of paragraphs to compare up to which these are broadcast; beyond, documents are shuffled.
 WANTED_BYTES = 16 << 20
+#: Copies of a paragraph from which on its rows aren't shuffled by it, and such paragraphs up to which they are broadcast.
+HOT, HOT_KEYS = 5_000, 200_000
 #: Bytes of text whose words are held at once; a longer text is taken alone.
 SLICE_BYTES = 1_000_000
 #: Bits that number the words of a slice.
@@ -274,7 +276,7 @@ def _near(docs: DataFrame, kinds: DataFrame, similarity: float, block: int) -> D
     met = stored(met.select("h", "kind", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
     one = kinds.join(met.select("h").distinct(), "h").select("one.doc", "one.print", F.struct("h", "one.at", "one.n").alias("w"))
     one = stored(one.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted")))  # a document's own lines
-    held = one.agg(F.sum(F.size("wanted") * 24 + 64)).first()[0] or 0
+    held = one.agg(F.sum(F.size("wanted") * 48 + 96)).first()[0] or 0
     texts = docs.join(F.broadcast(one) if held <= WANTED_BYTES else one, docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"]))
     sets = texts.select("text", "wanted").mapInArrow(_fetch, "h long, shingles binary")
     keys = ["bucket", "x", "y"]
@@ -282,6 +284,17 @@ def _near(docs: DataFrame, kinds: DataFrame, similarity: float, block: int) -> D
     return connected_components(near, "u", "v")
 
 
+def _joined(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """`rows` with the columns of `by` (h, copies, ..), where they have the h. A paragraph that many rows
+    have meets them by broadcast, so that no task gets them all; there are few such paragraphs."""
+    hot = stored(by.where(F.col("copies") >= HOT))
+    n = hot.count()
+    if not 0 < n <= HOT_KEYS:
+        return rows.join(by, "h")
+    cold = rows.join(F.broadcast(hot.select("h")), "h", "left_anti").join(by.where(F.col("copies") < HOT), "h")
+    return cold.unionByName(rows.join(F.broadcast(hot), "h"))
+
+
 def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(key, print, kind, first, words, start, end, component_id, copies, kept): paragraphs that occur again.
 
@@ -304,12 +317,11 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     rooted = kinds.join(groups, kinds["h"] == groups["node"], "left").where("times > 1 or component_id is not null").select("h", "times", "one", F.coalesce("component_id", "h").alias("root"))
     several = rooted.groupBy("root").agg(F.sum("times").alias("copies"), F.min("one").alias("one"))
     named = rooted.select("h", "root").join(several, "root").select("h", "copies", "one")
-    found = lines.drop("bands").join(named, "h")
+    found = _joined(lines.drop("bands"), named)
     pieces = rows.where(F.col("kind") == PIECES).drop("bands")
     again = pieces.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
-    pieces = stored(pieces.join(again, "h"))
-    pieces = pieces.join(pieces.groupBy("h").agg(F.min(place).alias("one")), "h")
-    found = found.unionByName(pieces)
+    pieces = stored(_joined(pieces, again))
+    found = found.unionByName(_joined(pieces.drop("copies"), pieces.groupBy("h").agg(F.first("copies").alias("copies"), F.min(place).alias("one"))))
     return found.select(F.col("doc").alias(key), "print", "kind", F.col("at").alias("first"), F.col("n").alias("words"), "start", "end", F.col("one.doc").alias("component_id"), "copies", place.eqNullSafe(F.col("one")).alias("kept"))
 
 
