@@ -67,7 +67,7 @@ _CHAIN: list[tuple[str, str]] = [
     ("texts", f"SELECT l.req_id, l.rule, [r.stage] AS stages, [CASE WHEN l.conflict THEN r.conflict_warning ELSE r.warning END] AS warnings FROM lit_ok l JOIN t_rules r ON l.rule = r.id UNION ALL SELECT r.req_id, 'patterns', {list(P.STAGES)!r}, list_filter([CASE WHEN n.n IS NULL THEN '{P.YEAR_CONFLICT_WARNING}' END, CASE WHEN r.market IS DISTINCT FROM 'US' AND EXISTS (SELECT 1 FROM pfields f WHERE f.req_id = r.req_id) THEN CASE WHEN r.market IS NULL THEN '{P.UNKNOWN_MARKET_WARNING}' ELSE replace(replace('{P.FALLBACK_MESSAGE}', '{{sourceMarket}}', 'US'), '{{requestedMarket}}', r.market) END END, CASE WHEN n.n > 1 THEN '" + P.YEAR_ALTERNATIVES_WARNING.replace("'", "''") + "' END], lambda x: x IS NOT NULL) FROM rich r LEFT JOIN n_years n ON r.req_id = n.req_id"),
     ("spoken", "SELECT m.req_id, h.conflict, h.n_results, x.stages, x.warnings, (m.rule = 'patterns')::INT::VARCHAR || m.rule AS k, CASE WHEN h.conflict THEN m.conflicting AND (m.rule = 'patterns')::INT::VARCHAR || m.rule = min(CASE WHEN m.conflicting THEN (m.rule = 'patterns')::INT::VARCHAR || m.rule END) OVER (PARTITION BY m.req_id) WHEN h.n_results = 0 THEN m.rule = 'patterns' ELSE m.meaningful END AS picked FROM marked m JOIN head h ON m.req_id = h.req_id JOIN texts x ON m.req_id = x.req_id AND m.rule = x.rule"),
     ("spoken_all", "SELECT req_id, count(*) AS n, flatten(list(stages ORDER BY k)) AS stages, flatten(list(warnings ORDER BY k)) AS warnings FROM spoken WHERE picked GROUP BY req_id"),
-    ("cand_fields", "SELECT f.*, h.n_results, (f.status <> 'NEEDS_CONTEXT' AND m.status <> 'NEEDS_CONTEXT') AS applicable FROM allfields f JOIN marked m ON f.req_id = m.req_id AND f.rule = m.rule JOIN head h ON f.req_id = h.req_id WHERE NOT h.conflict"),
+    ("cand_fields", "SELECT f.*, m.scope, h.n_results, (f.status <> 'NEEDS_CONTEXT' AND m.status <> 'NEEDS_CONTEXT') AS applicable FROM allfields f JOIN marked m ON f.req_id = m.req_id AND f.rule = m.rule JOIN head h ON f.req_id = h.req_id WHERE NOT h.conflict"),
     ("chosen_fields", "SELECT * FROM (SELECT *, bool_or(applicable) OVER (PARTITION BY req_id, code) AS any_applicable FROM cand_fields) WHERE applicable OR NOT any_applicable"),
     ("merged0", "SELECT req_id, code, list_sort(list_distinct(flatten(list(vals)))) AS sorted, any_value(vals) AS own, bool_or(status = 'UNKNOWN') AS unknown, bool_or(any_applicable) AS applicable, max(n_results) AS n_results, any_value(status) AS one_status FROM chosen_fields GROUP BY req_id, code"),
     ("merged", "SELECT req_id, code, CASE WHEN n_results = 1 THEN one_status WHEN len(sorted) > 1 THEN 'AMBIGUOUS' WHEN unknown THEN 'UNKNOWN' WHEN applicable THEN 'KNOWN' ELSE 'NEEDS_CONTEXT' END AS status, CASE WHEN n_results = 1 THEN own ELSE sorted END AS vals FROM merged0"),
@@ -188,7 +188,7 @@ _SELECTS: dict[str, str] = {
     "approval_status": "SELECT p.req_id, CASE WHEN any_value(p.structure) <> 'MODERN_FORMAT' THEN 'INVALID_INPUT' WHEN count(a.approval_id) > 0 THEN 'CANDIDATES' ELSE 'NO_MATCH' END AS status, count(a.approval_id) AS n_candidates FROM prep p LEFT JOIN appr a ON p.req_id = a.req_id GROUP BY p.req_id",
     "template_validation": "SELECT row, array_to_string(masks, '|') AS masks, (coalesce(category IN ('M1', 'M1G'), false) AND masks IS NOT NULL) AS accepted FROM ok_masks",
     "identity_consensus": "SELECT req_id, ids, unmapped, labels, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN unmapped OR n = 0 THEN 'UNKNOWN' ELSE 'RESOLVED' END AS status FROM marks",
-    "decision_status": "SELECT req_id, make_status, make, make_reason, make_id, model_status, model, model_reason, model_id, modelYear_status, modelYear, modelYear_reason, productionYear_status, productionYear, concat_ws('|', CASE WHEN unconfirmed AND make_status = 'SUGGESTED' THEN 'MATCH_CONSTRAINTS_UNCONFIRMED:make' END, CASE WHEN len(catalogued) > 0 THEN 'CATALOGUE_MEMBERSHIP_UNCONFIRMED:' || array_to_string(catalogued, ',') END, CASE WHEN len(ruled) > 0 THEN CASE WHEN market IS NULL AND scope = 'US' THEN 'US_MARKET_ASSUMED:' ELSE 'CROSS_MARKET_MATCH:' END || array_to_string(ruled, ',') END) AS assumptions FROM decided",
+    "decision_status": "SELECT req_id, make_status, make, make_reason, make_id, model_status, model, model_reason, model_id, modelYear_status, modelYear, modelYear_reason, productionYear_status, productionYear, concat_ws('|', CASE WHEN unconfirmed AND make_status = 'SUGGESTED' THEN 'MATCH_CONSTRAINTS_UNCONFIRMED:make' END, CASE WHEN len(catalogued) > 0 THEN 'CATALOGUE_MEMBERSHIP_UNCONFIRMED:' || array_to_string(catalogued, ',') END, CASE WHEN len(ruled) > 0 THEN CASE WHEN market IS NULL AND k.markets = ['US'] THEN 'US_MARKET_ASSUMED:' ELSE 'CROSS_MARKET_MATCH[' || array_to_string(k.markets, ',') || ']:' END || array_to_string(ruled, ',') END) AS assumptions FROM decided LEFT JOIN (SELECT d.req_id AS k_req, list_sort(list(DISTINCT c.scope)) AS markets FROM decided d JOIN chosen_fields c ON c.req_id = d.req_id JOIN (VALUES " + ", ".join(f"('{c}', '{n}')" for n, c in P.PRIMARY.items()) + ") m(code, name) ON m.code = c.code WHERE list_contains(d.ruled, m.name) GROUP BY 1) k ON k.k_req = decided.req_id",
     "source_credits": "SELECT p.req_id, p.source_id, string_agg(DISTINCT p.path, '|' ORDER BY p.path) AS paths, any_value(coalesce(s.terms_url, s.license_url, s.reuse_url)) AS terms FROM paths p LEFT JOIN t_sources s ON p.source_id = s.id GROUP BY p.req_id, p.source_id",
     "code_decision": "SELECT g.req_id, g.input_status, " + _status("coalesce(k.n, 0)", "coalesce(k.un, true)", "'KNOWN'") + " AS make_status, CASE WHEN k.n = 1 AND NOT k.un THEN k.nm END AS make, CASE WHEN k.n = 1 AND NOT k.un THEN k.id END AS make_id, CASE WHEN k.n IS NULL THEN CASE WHEN g.input_status = 'VALID' THEN 'NO_TYPE_CODE_MATCH' ELSE 'NO_EVIDENCE' END WHEN k.un THEN 'UNMAPPED_IDENTITY' WHEN k.n > 1 THEN 'COMPETING_IDENTITIES' ELSE 'TYPE_CODE_LOOKUP' END AS make_reason, " + _status("coalesce(m.n, 0)", "coalesce(m.un, true)", "'KNOWN'") + " AS model_status, CASE WHEN m.n = 1 AND NOT m.un THEN m.nm END AS model, CASE WHEN m.n = 1 AND NOT m.un THEN m.id END AS model_id, CASE WHEN m.n IS NULL THEN CASE WHEN g.input_status = 'VALID' AND g.n_candidates = 0 THEN 'NO_TYPE_CODE_MATCH' ELSE 'NO_EVIDENCE' END WHEN m.un THEN 'UNMAPPED_IDENTITY' WHEN m.n > 1 THEN 'COMPETING_IDENTITIES' ELSE 'TYPE_CODE_LOOKUP' END AS model_reason FROM codes_g g LEFT JOIN code_makes k ON g.req_id = k.req_id LEFT JOIN code_models m ON g.req_id = m.req_id",
     "constraint_overlaps": "SELECT a.wmi, a.id AS id_a, b.id AS id_b FROM t_assignments a JOIN t_assignments b ON a.wmi = b.wmi AND a.id < b.id AND greatest(coalesce(a.from_year, 1886), coalesce(b.from_year, 1886)) <= least(coalesce(a.to_year, 9999), coalesce(b.to_year, 9999)) AND (len(a.markets) = 0 OR len(b.markets) = 0 OR list_has_any(a.markets, b.markets)) AND coalesce(a.ambiguity_group <> b.ambiguity_group, true)",

@@ -206,7 +206,7 @@ def identity_consensus(spark, d):
 
 def decision_status(spark, d):
     out = _decided(spark, d)[0]
-    return out.select("req_id", "make_status", "make", "make_reason", "make_id", "model_status", "model", "model_reason", "model_id", "modelYear_status", "modelYear", "modelYear_reason", "productionYear_status", "productionYear", _joined(F.transform("assumptions", lambda a: F.concat(a["code"], F.lit(":"), F.array_join(a["fields"], ",")))).alias("assumptions"))
+    return out.select("req_id", "make_status", "make", "make_reason", "make_id", "model_status", "model", "model_reason", "model_id", "modelYear_status", "modelYear", "modelYear_reason", "productionYear_status", "productionYear", _joined(F.transform("assumptions", lambda a: F.concat(a["code"], F.coalesce(F.concat(F.lit("["), F.array_join(a["sourceMarkets"], ","), F.lit("]")), F.lit("")), F.lit(":"), F.array_join(a["fields"], ",")))).alias("assumptions"))
 
 
 def code_decision(spark, d):

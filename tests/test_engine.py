@@ -135,6 +135,19 @@ def test_answers_keep_nulls_and_long_extends_short(spark):
     assert answer.summary(out).where("req_id = 0").first()["text"].startswith("make: Volkswagen (RESOLVED)")
 
 
+def test_assumptions_name_the_markets_of_their_evidence(spark):
+    """A foreign rule's claims are assumed across markets, whatever scope the merged result has."""
+    r = requests(spark, ("WVWZZZ1KZ5P000001", None, None), ("1HGAA1111AA000001", None, None), ("1HGAA1111AA000001", None, "DE"))
+    out, facts, details, _ = answers(spark, r)
+    got = {x["req_id"]: [a.asDict() for a in x["assumptions"]] for x in out.collect()}
+    cross = [a for a in got[0] if a["code"] == "CROSS_MARKET_MATCH"]
+    assert cross and "EUROPE" in cross[0]["sourceMarkets"] and cross[0]["message"].startswith("Possible match from EUROPE")
+    assert [a["code"] for a in got[1]] in (["US_MARKET_ASSUMED"], []) and all(a["sourceMarkets"] == ["US"] and a["requestedMarket"] == "DE" for a in got[2] if a["code"] == "CROSS_MARKET_MATCH")
+    none = spark.createDataFrame([], "req_id bigint, field string, source_id string")
+    texts = [json.loads(x["answer"])["assumptions"] for x in answer.short(r, out, answer.credits(none, out, S.table(spark, "sources"))).collect()]
+    assert all(set(a) in ({"code", "fields"}, {"code", "fields", "requestedMarket", "sourceMarkets", "message"}) for t in texts for a in t)
+
+
 def test_quality(spark):
     assert [tuple(x) for x in quality.overlaps(S.table(spark, "assignments")).collect()] == [("TMB", "a04", "a10")]
     rows = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 2)], "page int, row int")
