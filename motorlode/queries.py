@@ -18,8 +18,13 @@ from motorlode.sources import readers, writers
 TODAY = datetime.date(2026, 9, 30)
 
 
+# d is a data folder, from whose tables requests are generated, or the requests themselves (see api.py).
 def _prepared(spark, d) -> DataFrame:
-    return wmi.prepared(S.requests(spark, d))
+    return wmi.prepared(d if isinstance(d, DataFrame) else S.requests(spark, d))
+
+
+def _codes(spark, d) -> DataFrame:
+    return d if isinstance(d, DataFrame) else S.code_requests(spark, d)
 
 
 def _joined(c):
@@ -91,7 +96,7 @@ def vin_normalize_structure(spark, d):
 
 
 def type_code_validity(spark, d):
-    return codes.prepared(S.code_requests(spark, d)).select("req_id", "norm_hsn", "norm_tsn", "input_status")
+    return codes.prepared(_codes(spark, d)).select("req_id", "norm_hsn", "norm_tsn", "input_status")
 
 
 def wmi_key_lookup_path(spark, d):
@@ -113,7 +118,7 @@ def wmi_resolution(spark, d):
 
 
 def type_code_lookup(spark, d):
-    return codes.resolve(codes.candidates(S.code_requests(spark, d), S.table(spark, "types")))
+    return codes.resolve(codes.candidates(_codes(spark, d), S.table(spark, "types")))
 
 
 def year_candidates(spark, d):
@@ -210,7 +215,7 @@ def decision_status(spark, d):
 
 
 def code_decision(spark, d):
-    return decide.decide_codes(codes.candidates(S.code_requests(spark, d), S.table(spark, "types")), *_tables(spark, "make_aliases", "model_aliases"))
+    return decide.decide_codes(codes.candidates(_codes(spark, d), S.table(spark, "types")), *_tables(spark, "make_aliases", "model_aliases"))
 
 
 def _credited(spark, decided, facts, held):

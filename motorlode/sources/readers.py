@@ -133,8 +133,12 @@ def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
     return j.select("name", problem.alias("problem")).where("problem is not null")
 
 
-def json_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON array, compressed or not."""
+def json_snapshot(spark: SparkSession, path: str, schema: str, sha256: str | None = None) -> DataFrame:
+    """Rows of a JSON array, compressed or not; a file other than its digest says raises ValueError."""
+    if sha256 is not None:
+        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+        if found != sha256:
+            raise ValueError(f"{path} has the digest {found}")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 

@@ -53,6 +53,18 @@ def test_text_tables(spark, tmp_path):
     assert t["A"].first()["name"] == "y" and t["V"].count() == 1
 
 
+def test_json_snapshot(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    raw = gzip.compress(b'[{"a": 1}, {"a": 2}]')
+    (tmp_path / "rows.json.gz").write_bytes(raw)
+    path = str(tmp_path / "rows.json.gz")
+    assert readers.json_snapshot(spark, path, "a int", hashlib.sha256(raw).hexdigest()).count() == 2
+    with pytest.raises(ValueError):
+        readers.json_snapshot(spark, path, "a int", "0")
+
+
 def test_manifest(spark, tmp_path):
     folder = tmp_path / "bundle"
     folder.mkdir()
