@@ -208,7 +208,7 @@ _SELECTS: dict[str, str] = {
     "dump_table": "SELECT p_partkey::VARCHAR AS id, p_name || chr(9) || chr(92) AS name, CASE WHEN p_size > 9 THEN p_brand END AS brand FROM part",
     "dump_inventory": "SELECT 'part' AS table, 3 AS n_columns, count(*) AS n_rows FROM part UNION ALL SELECT 'nation', 2, count(*) FROM nation",
     "null_marked_text": "SELECT p_partkey::VARCHAR AS p_partkey, p_name, CASE WHEN p_size > 9 THEN p_brand END AS p_brand, '' AS empty FROM part",
-    "pattern_shards": "SELECT (p_partkey % 256)::INT AS schema_bucket, p_partkey::INT AS schema_id, p_size::INT AS pattern_id FROM part WHERE p_partkey % 256 IN (3, 77)",
+    "pattern_shards": "SELECT (p_partkey % 256)::INT AS schema_bucket, p_partkey::INT AS schema_id, p_size::INT AS pattern_id FROM part",
     "approval_shards": "SELECT DISTINCT substr(m, 1, 3) AS wmi, approval_id, source_row FROM (SELECT unnest(masks) AS m, approval_id, source_row FROM t_approvals)",
     "folder_manifest": "SELECT 'b' AS folder, 'UNEXPECTED' AS problem UNION ALL SELECT 'c', 'MISSING'",
     "set_relations": "SELECT count(*) FILTER (a AND b) AS n_both, count(*) FILTER (NOT b) AS only_a, count(*) FILTER (NOT a) AS only_b, count(*) FILTER (NOT a OR NOT b) = 0 AS equal, count(*) FILTER (NOT b) = 0 AS a_within_b FROM (SELECT x.k IS NOT NULL AS a, y.k IS NOT NULL AS b FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) x FULL JOIN (SELECT DISTINCT p_partkey AS k FROM part) y ON x.k = y.k)",
