@@ -125,6 +125,12 @@ def test_near_fingerprints_link_in_split_buckets(spark):
         assert {x: u.root(x) for x in u.up} == {x: v.root(x) for x in v.up}
 
 
+def test_repeated_and_null_vector_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [2.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, None, 1), (3, [1.0, 0.0], None), (4, [], 1), (5, [0.0, 1.0, 0.0], 1)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(7))).collect()
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in got) == Counter([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (2, 0, 2, True), (None, 0, None, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)])
+
+
 # --- paragraphs
 def brute_paragraphs(rows):
     """Rows of all lines, by comparing all pairs of those of five words or more; fewer words: equal ones."""
@@ -291,3 +297,19 @@ def test_pipeline_stages(spark, tmp_path, prose_of):
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()), special_tokens={})
     assert {i: x["n_tokens"] for i, x in kept["bpe"].items()} == {i: len(t.encode_ordinary(x["text"] or "")) for i, x in kept["mixing"].items()}
     assert mixing.BUDGET == 0.6
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_one_doc_id(spark, prose_of):
+    """Of equal rows and of equal texts under one doc_id one stays, of different texts all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, prose_of(1, 60), "en", "b", 1), (1, prose_of(1, 60), "en", "a", 1), (1, prose_of(2, 60), None, None, 1), (2, prose_of(3, 60), "en", "a", 1), (2, prose_of(3, 60), "en", "a", 1), (3, prose_of(3, 60), "en", "a", 1), (None, "x", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert Counter(map(tuple, got)) == Counter([rows[1], rows[2], rows[3], rows[6]])
