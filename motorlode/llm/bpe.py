@@ -18,7 +18,7 @@ from motorlode.llm.common import mapped, whole_texts
 #: The lower bitmap level has words of 2^WORD ranks; the upper level has a bit for each word.
 WORD, LOW = 8, 255
 #: Code points of text that are encoded at once; a longer text is encoded alone.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 # Fixed value: the pattern of which it is known that no match reaches over a single space between
 # two other characters, and that a match takes that space before what follows it.
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from motorlode.llm.common import small, stored, whole_texts
 
 #: Words of texts that a task holds at once, and documents (numbered by two bytes).
-BATCH_WORDS, BATCH_DOCS = 2_000_000, 60_000
+BATCH_WORDS, BATCH_DOCS = 1_200_000, 60_000
 #: Words by which the sums over words are dealt out.
 RANGE_BITS = 18
 #: Words over which a local mean is taken; a phrase in a long text stands out in it.
