@@ -68,36 +68,47 @@ def filled(rows: DataFrame, key: str, budget: float = BUDGET) -> DataFrame:
 def rake(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """(`cells` (a column for each margin, base) with goals and weight, largest miss of a margin left).
 
-    The weight is the tokens to draw of a cell. It starts as all it has, and one margin after the
-    other is scaled to its goals, no cell beyond what it has, until the largest miss, relative to all
-    tokens drawn, is below the tolerance, or for `sweeps` rounds at most. Goals (see filled) follow
+    The weight is the tokens to draw of a cell. Cells of a value that goes whole go whole, and the
+    others make up the rest of the goals. Their weight starts as all they have, and one margin after
+    the other is scaled to its goals, no cell beyond what it has, until the largest miss, relative to
+    all tokens drawn, is below the tolerance, falls by less than half in SWEEPS_AT_ONCE sweeps (goals
+    that can't be met together), or for `sweeps` at most. Goals (see filled) follow
     `targets` (margin: a table (margin, share); values that aren't in it get nothing), else the
     present shares to the power in `temperatures`.
     """
     cells = checkpointed(cells)
     tasks = max(1, -(-cells.count() // CELLS_PER_TASK))
+    whole = F.lit(False)
     for d, power in temperatures.items():
         margin = cells.groupBy(d).agg(F.sum("base").alias("base"))
         if targets and d in targets:
             margin = margin.join(targets[d].groupBy(d).agg(F.sum("share").alias("share")), d, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
         else:
             margin = margin.withColumn("share", F.pow("base", F.lit(power)))
-        cells = cells.join(small(filled(margin, d, budget)).withColumnRenamed("goal", f"goal_{d}"), d)
-    cells = cells.withColumn("weight", F.col("base"))
-    cells = checkpointed(cells.repartition(tasks))  # one task: no window below shuffles
+        goals = filled(margin, d, budget).join(margin.select(d, F.col("base").alias("all")), d)
+        goals = goals.select(d, F.col("goal").alias(f"goal_{d}"), (F.col("goal") >= F.col("all") * (1 - 1e-12)).alias(f"whole_{d}"))
+        cells, whole = cells.join(small(goals), d), whole | F.col(f"whole_{d}")
+    cells = checkpointed(cells.withColumn("whole", whole).withColumn("weight", F.col("base")).repartition(tasks))
+    given = {d: F.sum(F.when(F.col("whole"), F.col("base")).otherwise(0.0)).over(Window.partitionBy(d)) for d in temperatures}
+    cells = cells.withColumns({f"rest_{d}": F.greatest(F.lit(0.0), F.col(f"goal_{d}") - given[d]) for d in temperatures})
+    all_tokens, all_cells = cells.agg(F.sum("base")).first()[0] or 0.0, cells
+    cells = checkpointed(cells.where("not whole").select(*temperatures, "base", "weight", *(f"rest_{d}" for d in temperatures)))
     missed = 0.0
     for k in range(0, sweeps, SWEEPS_AT_ONCE):
         for _ in range(SWEEPS_AT_ONCE):
             for d in temperatures:
                 total = F.sum("weight").over(Window.partitionBy(d).orderBy(*temperatures).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                cells = cells.withColumn("weight", F.least("base", F.col("weight") * F.coalesce(F.try_divide(F.col(f"goal_{d}"), total), F.lit(0.0))))
+                cells = cells.withColumn("weight", F.least("base", F.col("weight") * F.coalesce(F.try_divide(F.col(f"rest_{d}"), total), F.lit(0.0))))
         cells = checkpointed(cells)
-        misses = [F.max(F.abs(F.col(f"sum_{d}") - F.col(f"goal_{d}"))).alias(d) for d in temperatures]
-        row = cells.withColumns({f"sum_{d}": F.sum("weight").over(Window.partitionBy(d)) for d in temperatures}).agg(F.sum("base").alias("all"), *misses).first()
-        missed = max((row[d] or 0.0) / max(1.0, (row["all"] or 0.0) * budget) for d in temperatures)
-        if missed < tolerance:
+        was, missed = missed, 0.0
+        for d in temperatures:
+            miss = cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"rest_{d}")).alias("m")).agg(F.max("m")).first()[0]
+            missed = max(missed, (miss or 0.0) / max(1.0, all_tokens * budget))
+        if missed < tolerance or was and missed > was / 2:
             break
-    return cells, missed
+    raked = cells.select(*temperatures, F.col("weight").alias("raked"))
+    goals = [f"goal_{d}" for d in temperatures]
+    return all_cells.join(small(raked), list(temperatures), "left").select(*temperatures, "base", *goals, F.coalesce("raked", "base").alias("weight")), missed
 
 
 def draw(key, seed: str = SEED):
@@ -136,7 +147,7 @@ def _goals(d: str) -> str:
     return f"""{d}0 AS (SELECT {d}, sum(base) AS base, pow(sum(base), {TEMPERATURES[d]}) AS share FROM c GROUP BY {d}),
 {d}1 AS (SELECT *, sum(base) OVER () * {BUDGET} - sum(base) OVER u + base AS l, sum(share) OVER () - sum(share) OVER u + share AS t
          FROM {d}0 WINDOW u AS (ORDER BY share / base DESC, {d} ROWS UNBOUNDED PRECEDING)),
-{d}2 AS (SELECT {d}, coalesce(least(base, (SELECT arg_max(l / t, share / base) FILTER (l / t * share < base) FROM {d}1) * share), base) AS goal FROM {d}1)"""
+{d}2 AS (SELECT {d}, base AS all_, coalesce(least(base, (SELECT arg_max(l / t, share / base) FILTER (l / t * share < base) FROM {d}1) * share), base) AS goal FROM {d}1)"""
 
 
 #: The same rows in DuckDB: as many sweeps, by a recursive query.
@@ -150,9 +161,12 @@ c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS base FROM e GROUP BY AL
 {_goals("source")},
 {_goals("lang")},
 {_goals("topic")},
+g AS (SELECT c.*, s.goal AS gs, l.goal AS gl, t.goal AS gt, (s.goal >= s.all_ * (1 - 1e-12) OR l.goal >= l.all_ * (1 - 1e-12) OR t.goal >= t.all_ * (1 - 1e-12)) AS whole
+  FROM c JOIN source2 s USING (source) JOIN lang2 l USING (lang) JOIN topic2 t USING (topic)),
+h AS (SELECT *, gs - coalesce(sum(base) FILTER (whole) OVER (PARTITION BY source), 0) AS rs, gl - coalesce(sum(base) FILTER (whole) OVER (PARTITION BY lang), 0) AS rl,
+        gt - coalesce(sum(base) FILTER (whole) OVER (PARTITION BY topic), 0) AS rt FROM g),
 r AS (
-  SELECT c.*, s.goal AS gs, l.goal AS gl, t.goal AS gt, 0 AS it, base AS w
-  FROM c JOIN source2 s USING (source) JOIN lang2 l USING (lang) JOIN topic2 t USING (topic)
+  SELECT source, lang, topic, base, greatest(0, rs) AS gs, greatest(0, rl) AS gl, greatest(0, rt) AS gt, 0 AS it, base AS w FROM h WHERE NOT whole
   UNION ALL
   SELECT source, lang, topic, base, gs, gl, gt, it + 1, w FROM ({_SWEEP.format(g="gt", d="topic", f="(" + _SWEEP.format(g="gl", d="lang", f="(" + _SWEEP.format(g="gs", d="source", f="r") + ")") + ")")}) WHERE it < {SWEEPS}),
 p AS (SELECT source, lang, topic, w / base AS rate FROM r WHERE it = {SWEEPS})

@@ -310,7 +310,7 @@ def test_raking_meets_all_margins(spark):
     got = {x["topic"]: (x["w"], x["b"]) for x in out.groupBy("topic").agg(F.sum("weight").alias("w"), F.sum("base").alias("b")).collect()}
     want = {x["topic"]: x["goal"] for x in mixing.filled(spark.createDataFrame([("t0", got["t0"][1], 0.97), ("t1", got["t1"][1], 0.02), ("t2", got["t2"][1], 0.01), ("t3", got["t3"][1], 0.0)], "topic string, base double, share double"), "topic").collect()}
     assert want["t0"] == got["t0"][1] and want["t3"] == 0 and abs(sum(want.values()) - 0.6 * total) < 1e-6 * total
-    assert missed < 0.02 and got["t3"][0] == 0  # other margins limit how near it comes
+    assert missed < 0.03 and got["t3"][0] == 0  # other margins limit how near it comes
 
 
 def test_drawn_tokens_follow_the_targets(spark, prose_of):
