@@ -95,6 +95,7 @@ def rake(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget
     cells = checkpointed(cells.where("not whole").select(*temperatures, "base", "weight", *(f"rest_{d}" for d in temperatures)))
     missed = 0.0
     for k in range(0, sweeps, SWEEPS_AT_ONCE):
+        cells = cells.coalesce(1) if tasks == 1 else cells  # then no window below shuffles
         for _ in range(SWEEPS_AT_ONCE):
             for d in temperatures:
                 total = F.sum("weight").over(Window.partitionBy(d).orderBy(*temperatures).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
