@@ -121,7 +121,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     tables = F.array(*[F.struct(F.lit(k).cast("short").alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bucket")) for k, m in enumerate(covering_masks(radius))])
     rows = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.table", "t.bucket")
     sizes = rows.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")  # counted before they meet: no task holds a large bucket
-    rows = rows.join(sizes, ["table", "bucket"])
+    rows = rows.hint("merge").join(sizes, ["table", "bucket"])  # Spark takes them for as many as before explode, and would broadcast them
     parts = F.ceil(F.col("n") / block).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -125,6 +125,14 @@ def test_near_fingerprints_link_in_split_buckets(spark):
         assert {x: u.root(x) for x in u.up} == {x: v.root(x) for x in v.up}
 
 
+def test_rows_of_the_masks_are_not_broadcast(spark):
+    """Spark takes exploded rows for as many as before, so its default threshold lets 31 times as many through."""
+    links = simhash.near_links(spark.range(200, numPartitions=4).selectExpr("xxhash64(id) AS fp").distinct())
+    assert links.count() == 0 and links.collect() == []
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan.partition("Initial Plan")[0]
+
+
 def test_repeated_and_null_vector_ids(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [2.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, None, 1), (3, [1.0, 0.0], None), (4, [], 1), (5, [0.0, 1.0, 0.0], 1)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(7))).collect()
