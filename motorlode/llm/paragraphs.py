@@ -25,6 +25,8 @@ BANDS, ROWS = 10, 3
 BLOCK = 1024
 #: Bytes of the places of paragraphs to compare up to which these are broadcast; beyond, documents are shuffled.
 WANTED_BYTES = 16 << 20
+#: Bits of the map that tells which documents have paragraphs to compare: for each such document, and at most (32 MB).
+MAP_BITS, MOST_BITS = 8, 1 << 28
 #: Copies of a paragraph from which on its rows aren't shuffled by it, and such paragraphs up to which they are broadcast.
 HOT, HOT_KEYS = 5_000, 200_000
 #: Bytes of text whose words are held at once; a longer text is taken alone.
@@ -267,17 +269,33 @@ def _verify(similarity: float):
     return run
 
 
+def _asked(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """All rows of `docs` whose doc and print `one` has, and about an eighth of the others.
+
+    A broadcast bitmap of their hashes tells, so that few texts are shuffled to a join in vain.
+    """
+    bits = min(max(MAP_BITS * one.count(), 1 << 15), MOST_BITS)
+    place = F.pmod(F.xxhash64("doc", "print"), F.lit(bits))
+    placed = lambda df: df.withColumns({"part_": F.bitmap_bucket_number(place), "bit_": F.bitmap_bit_position(place)})
+    maps = placed(one.select("doc", "print")).repartition("part_").groupBy("part_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
+    byte = F.conv(F.hex(F.substring("map_", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), F.col("bit_") % 8).cast("int")) > 0
+    return placed(docs).join(F.broadcast(maps), "part_").where(is_set).select(*docs.columns)
+
+
 def _near(docs: DataFrame, kinds: DataFrame, similarity: float, block: int) -> DataFrame:
     """(node, component_id) of different paragraphs that are near others; `kinds` has one row for each."""
     met = kinds.select("h", "kind", F.explode("bands").alias("bucket"))
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = met.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    met = met.hint("merge").join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     met = met.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = stored(met.select("h", "kind", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")))
     one = kinds.join(met.select("h").distinct(), "h").select("one.doc", "one.print", F.struct("h", "one.at", "one.n").alias("w"))
     one = stored(one.groupBy("doc", "print").agg(F.collect_list("w").alias("wanted")))  # a document's own lines
     held = one.agg(F.sum(F.size("wanted") * 48 + 96)).first()[0] or 0
-    texts = docs.join(F.broadcast(one) if held <= WANTED_BYTES else one, docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"]))
+    few = held <= WANTED_BYTES
+    docs = docs if few else _asked(docs, one)
+    texts = docs.join(F.broadcast(one) if few else one, docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"]))
     sets = texts.select("text", "wanted").mapInArrow(_fetch, "h long, shingles binary")
     keys = ["bucket", "x", "y"]
     near = met.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(similarity), "u long, v long")

@@ -214,6 +214,22 @@ def test_passages_within_longer_lines_are_found(spark, monkeypatch, prose_of):
     assert by[40]["longest"] == by[41]["repeated_words"] == 19 and by[41]["first_seen"] == [40] and by[40]["n_dropped"] == 0 and by[42]["longest"] == by[None]["longest"] == 0
 
 
+def test_only_texts_with_paragraphs_to_compare_are_shuffled(spark, monkeypatch, corpus, prose_of):
+    docs = spark.range(20_000, numPartitions=3).selectExpr("nullif(id, 0) AS doc", "xxhash64(id, 'x') AS print", "string(id) AS text")
+    one = docs.where("doc is null or doc % 5 = 1").select("doc", "print")
+    got = paragraphs._asked(docs, one)
+    assert got.columns == docs.columns and one.join(got, one["doc"].eqNullSafe(got["doc"]) & (one["print"] == got["print"])).count() == 4001
+    assert got.count() == got.distinct().count() < 4001 + 0.2 * 16_000
+    asked, near = [], paragraphs._asked
+    monkeypatch.setattr(paragraphs, "_asked", lambda *x: asked.append(near(*x)) or asked[-1])
+    rows = corpus.select("doc_id", "text").unionByName(spark.createDataFrame([(i, prose_of(i % 40, 60) + f" {i}") for i in range(100, 180)] + [(i, prose_of(i, 60)) for i in range(200, 900)], "doc_id long, text string"))
+    want = Counter(map(str, paragraphs.document_repeats(rows).collect()))
+    assert not asked
+    monkeypatch.setattr(paragraphs, "WANTED_BYTES", 0)  # documents are shuffled
+    assert Counter(map(str, paragraphs.document_repeats(rows).collect())) == want
+    assert 80 <= asked[0].count() < 350
+
+
 # --- substrings
 def brute_removed(rows, length):
     raw = [t.encode() for _, t in rows]
