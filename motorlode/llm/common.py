@@ -49,6 +49,37 @@ def whole_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def give_back() -> None:
+    """Memory that this Python worker has freed goes back to the system.
+
+    Workers outlive their tasks, and what their allocators keep for later stands beside the memory of the
+    executor and of other workers.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow, after which the worker gives back the memory it has freed."""
+
+    def giving_back(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(giving_back, schema)
+
+
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow of a function from one RecordBatch to a dict of columns (or None for no rows)."""
     from pyspark.sql.types import _parse_datatype_string
@@ -63,7 +94,7 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
             if batch.num_rows and (cols := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 #: Rows of a narrow table (a few numbers each) that may be broadcast: under 100 MB as a hash table.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import checkpointed
+from motorlode.llm.common import checkpointed, in_arrow
 
 #: Links that one contraction task holds at most on average (two int64 columns: 16 MB).
 LINKS_PER_TASK = 1_000_000
@@ -70,7 +70,7 @@ def connected_components(links: DataFrame, a: str, b: str, per_task: int = LINKS
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = checkpointed(e)
     blocks = max(1, -(-e.count() // per_task))
-    e = checkpointed(e.repartition(blocks).mapInArrow(_contract, "u long, v long"))
+    e = checkpointed(in_arrow(e.repartition(blocks), _contract, "u long, v long"))
     if blocks > 1:
         was = None
         while (now := _signature(e)) != was:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import stored, whole_texts
+from motorlode.llm.common import in_arrow, stored, whole_texts
 from motorlode.llm.components import connected_components
 
 WORDS = 5
@@ -296,9 +296,9 @@ def _near(docs: DataFrame, kinds: DataFrame, similarity: float, block: int) -> D
     few = held <= WANTED_BYTES
     docs = docs if few else _asked(docs, one)
     texts = docs.join(F.broadcast(one) if few else one, docs["doc"].eqNullSafe(one["doc"]) & (docs["print"] == one["print"]))
-    sets = texts.select("text", "wanted").mapInArrow(_fetch, "h long, shingles binary")
+    sets = in_arrow(texts.select("text", "wanted"), _fetch, "h long, shingles binary")
     keys = ["bucket", "x", "y"]
-    near = met.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(similarity), "u long, v long")
+    near = in_arrow(met.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys), _verify(similarity), "u long, v long")
     return connected_components(near, "u", "v")
 
 
@@ -327,7 +327,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     rows repeat their paragraphs. Equal paragraphs are one node, whatever their number.
     """
     docs = whole_texts(docs, text, key).select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    rows = stored(docs.mapInArrow(_rows(similarity), "h long, doc long, print long, at int, n int, start int, end int, kind int, bands array<long>"))
+    rows = stored(in_arrow(docs, _rows(similarity), "h long, doc long, print long, at int, n int, start int, end int, kind int, bands array<long>"))
     place = F.struct("doc", "print", "at", "n")
     lines = rows.where(F.col("kind") < PIECES)
     kinds = stored(lines.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("one"), F.min("kind").alias("kind"), F.first("bands").alias("bands")).where((F.size("bands") > 0) | (F.col("times") > 1)))

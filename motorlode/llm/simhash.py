@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import checkpointed, mapped, whole_texts
+from motorlode.llm.common import checkpointed, in_arrow, mapped, whole_texts
 from motorlode.llm.components import connected_components
 
 BITS = 64
@@ -127,7 +127,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("fp", "table", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     keys = ["table", "bucket", "x", "y"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links_of(radius), "u long, v long")
+    return in_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), _links_of(radius), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:

@@ -18,7 +18,7 @@ import pickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlode.llm.common import small, stored, whole_texts
+from motorlode.llm.common import in_arrow, small, stored, whole_texts
 
 #: Words of texts that a task holds at once, and documents (numbered by two bytes).
 BATCH_WORDS, BATCH_DOCS = 1_200_000, 60_000
@@ -200,7 +200,7 @@ def _merge(batches):
 
 def merged(parts: DataFrame, blocks: int) -> DataFrame:
     """One row for each block of `parts` (block, packed)."""
-    return parts.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, packed binary")
+    return in_arrow(parts.repartition(blocks, "block").sortWithinPartitions("block"), _merge, "block int, packed binary")
 
 
 def _word_sums(words: int):
@@ -230,13 +230,13 @@ def vocabulary_of(rows: DataFrame, bits: int):
     """Sorted hashes of all words of `rows` (text, toxic)."""
     import numpy as np
 
-    parts = {r["block"]: unpacked(r["packed"])[0] for r in merged(rows.mapInArrow(_words(bits), "block int, packed binary"), 1 << bits).toLocalIterator()}
+    parts = {r["block"]: unpacked(r["packed"])[0] for r in merged(in_arrow(rows, _words(bits), "block int, packed binary"), 1 << bits).toLocalIterator()}
     return np.concatenate([np.zeros(0, np.uint64), *(parts[b] for b in sorted(parts))])
 
 
 def count_pairs(rows: DataFrame, vocabulary, bits: int) -> DataFrame:
     """(block, packed) of the counts (pair, ordinary, toxic) of all word pairs of `rows` (text, toxic)."""
-    return merged(rows.mapInArrow(_count(vocabulary, bits), "block int, packed binary"), 1 << bits)
+    return merged(in_arrow(rows, _count(vocabulary, bits), "block int, packed binary"), 1 << bits)
 
 
 def sum_words(pairs: DataFrame, words: int):
@@ -246,7 +246,7 @@ def sum_words(pairs: DataFrame, words: int):
     import numpy as np
 
     sums, bits, times = np.zeros((6, words)), np.zeros((2, words), np.uint64), np.zeros(4, np.int64)
-    parts = merged(pairs.mapInArrow(_word_sums(words), "block int, packed binary"), (words >> RANGE_BITS) + 2)
+    parts = merged(in_arrow(pairs, _word_sums(words), "block int, packed binary"), (words >> RANGE_BITS) + 2)
     for row in parts.toLocalIterator():
         ids, *found = unpacked(row["packed"])
         if row["block"] < 0:
@@ -438,10 +438,10 @@ def features(docs: DataFrame, train: DataFrame, key: str):
     vocabulary = spark.sparkContext.broadcast(packed(known))
     pairs = stored(count_pairs(train, vocabulary, bits))
     model = spark.sparkContext.broadcast(Model(*sum_words(pairs, len(known) + 2)))
-    asked = docs.mapInArrow(_ask(vocabulary, model, bits), "block int, kind int, batch long, packed binary")
+    asked = in_arrow(docs, _ask(vocabulary, model, bits), "block int, kind int, batch long, packed binary")
     both = pairs.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("batch"), "packed").union(asked)
-    sums = both.repartition(1 << bits, "block").sortWithinPartitions("block", "kind", "batch").mapInArrow(_answer(model), "batch long, part int, packed binary")
-    rows = sums.repartition(1 << bits, "batch").sortWithinPartitions("batch", "part").mapInArrow(_finish(key), f"{key} long, " + ", ".join(f"{f} double" for f in FEATURES))
+    sums = in_arrow(both.repartition(1 << bits, "block").sortWithinPartitions("block", "kind", "batch"), _answer(model), "batch long, part int, packed binary")
+    rows = in_arrow(sums.repartition(1 << bits, "batch").sortWithinPartitions("batch", "part"), _finish(key), f"{key} long, " + ", ".join(f"{f} double" for f in FEATURES))
     return stored(rows), model.value.usable
 
 

@@ -133,6 +133,27 @@ def test_rows_of_the_masks_are_not_broadcast(spark):
     assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan.partition("Initial Plan")[0]
 
 
+def test_workers_give_back_what_they_have_freed(spark):
+    """A worker lives on after its task, with what an allocator keeps below a block still in use."""
+
+    def run(batch):
+        import os
+        import sys
+
+        import numpy as np
+
+        blocks = [np.ones(12_000) for _ in range(4_000)]  # 384 MB
+        sys.kept_by_test = np.ones(12_000)
+        del blocks
+        return {"pid": [os.getpid()] * batch.num_rows}
+
+    from motorlode.llm.common import mapped
+
+    pid = mapped(spark.range(1).coalesce(1), run, "pid long").first()["pid"]
+    held = int(next(x for x in open(f"/proc/{pid}/status") if x.startswith("VmRSS")).split()[1]) // 1024
+    assert held < 300
+
+
 def test_repeated_and_null_vector_ids(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [2.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, None, 1), (3, [1.0, 0.0], None), (4, [], 1), (5, [0.0, 1.0, 0.0], 1)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(7))).collect()
