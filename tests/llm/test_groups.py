@@ -302,6 +302,43 @@ def test_substrings_edges(empty, spark):
     assert row["n_removed"] == len(long)
 
 
+def brute_passages(rows, words):
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())) for _, t in rows]
+    split = [[x[0] for x in f] for f in found]
+    count = Counter(tuple(w[k : k + words]) for w in split for k in range(len(w) - words + 1))
+    out = Counter()
+    for (i, _), f, w in zip(rows, found, split):
+        on = np.zeros(len(w), bool)
+        for k in range(len(w) - words + 1):
+            if count[tuple(w[k : k + words])] > 1:
+                on[k : k + words] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(int), [0])))).tolist()
+        spans = ",".join(f"{f[a].start()}:{f[b - 1].end()}" for a, b in zip(edges[::2], edges[1::2]))
+        out[i, len(edges) // 2, int(on.sum()), spans] += 1
+    return out
+
+
+@pytest.mark.parametrize("words", [50, 12, 3])
+def test_passages_equal_brute_force(spark, corpus, texts_of, prose_of, words):
+    rows = [x for x in texts_of(corpus) if len(x[1]) < 9000]
+    common = prose_of(78, 90).split()
+    rows += [(i, prose_of(i, 20) + (" ", "\n", "\t\x0b ")[i % 3].join([" ", *common[: 40 + i % 50], "é"]) + prose_of(i + 60, 15)) for i in range(300, 350)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), words=words).collect()
+    assert Counter((x["doc_id"], x["n_passages"], x["passage_words"], x["passages"]) for x in got) == brute_passages(rows, words)
+
+
+def test_passages_of_short_words(spark, prose_of):
+    passage = " ".join(f"w{k}" for k in range(55))  # over 50 words in under 400 bytes: its bytes stay
+    rows = [(1, f"{prose_of(1, 70)} {passage} {prose_of(2, 70)}"), (2, f"{prose_of(3, 70)} {passage}"), (3, prose_of(4, 200)), (4, f"{passage[: passage.index(' w49')]} x"), (5, "a b " * 100_000)]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["passage_words"] for i in range(1, 6)] == [55, 55, 0, 0, 200_000]  # the last: beyond what is hashed at once
+    assert [got[i]["n_passages"] for i in range(1, 6)] == [1, 1, 0, 0, 1]
+    assert [got[i]["n_removed"] for i in range(1, 5)] == [0] * 4
+    for i, text in rows[:2]:
+        a, b = map(int, got[i]["passages"].split(":"))
+        assert text.encode()[a:b].decode() == passage
+
+
 # --- pipeline
 def test_pipeline_stages(spark, tmp_path, prose_of):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
